@@ -33,6 +33,11 @@ def german_stop_words() -> tuple[str, ...]:
     return tuple(w for w in words.split("\n") if w)
 
 
+def sql_words(words: tuple[str, ...]) -> str:
+    """Words as a SQL list. One parsed text is far cheaper than a literal each."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
 def trim_blanks(text: Column) -> Column:
     """Strip every kind of white space; ``trim`` alone strips only blanks."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -48,7 +53,8 @@ def search_terms(question: Column, stop_words: tuple[str, ...] | None = None) ->
         F.array_remove(F.split(F.lower(question), BLANKS), ""),
         lambda w: F.btrim(w, F.lit(TERM_EDGE_CHARS)),
     )
-    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+    stop_array = F.expr(f"array({sql_words(stop)})") if stop else F.expr("array('')")
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop_array, w))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lower(question)))
 
 
@@ -58,75 +64,51 @@ def tokens(text: Column) -> Column:
 
 
 VOWELS = "aeiouyäöü"
-_REGION = rf"^[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]"
-
-
-def _without(word: Column, ending: Column) -> Column:
-    return F.substring(word, F.lit(1), F.length(word) - F.length(ending))
+_REGION = f"^[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]"
+
+# The published German Snowball rules as one column per step: w is the word so
+# far, r1 and r2 the starts of its regions, e the ending under test, b the rest.
+_STEM_STEPS = (
+    ("w", f"regexp_replace(replace({{token}}, 'ß', 'ss'), '([{VOWELS}])(u|y)([{VOWELS}])', '$1#$2$3')"),
+    ("w", "replace(replace(w, '#u', 'U'), '#y', 'Y')"),
+    ("p1", f"if(length(w) >= 3, nullif(length(regexp_extract(w, '{_REGION}', 0)), 0), null)"),
+    ("r1", "coalesce(if(p1 is null, null, greatest(p1, 3)), length(w))"),
+    ("r2", f"coalesce(p1 + nullif(length(regexp_extract(substring(w, p1 + 1), '{_REGION}', 0)), 0), length(w))"),
+    ("e", "regexp_extract(w, '(ern|em|er|en|es|e|s)$', 1)"),
+    ("b", "left(w, length(w) - length(e))"),
+    ("w", """case when e = '' or length(b) < r1 then w
+                  when e in ('em', 'ern', 'er') then b
+                  when e in ('e', 'en', 'es') then regexp_replace(b, 'niss$', 'nis')
+                  when b rlike '[bdfghklmnrt]$' then b else w end"""),
+    ("e", "regexp_extract(w, '(est|st|en|er)$', 1)"),
+    ("b", "left(w, length(w) - length(e))"),
+    ("w", """case when e = '' or length(b) < r1 then w
+                  when e <> 'st' or b rlike '...[bdfghklmnt]$' then b else w end"""),
+    ("e", "regexp_extract(w, '(isch|lich|heit|keit|end|ung|ig|ik)$', 1)"),
+    ("b", "left(w, length(w) - length(e))"),
+    ("w", """case when e = '' or length(b) < r2 then w
+                  when e in ('end', 'ung')
+                    then if(b rlike '[^e]ig$' and length(b) - 2 >= r2, left(b, length(b) - 2), b)
+                  when e in ('ig', 'ik', 'isch') then if(endswith(b, 'e'), w, b)
+                  when e in ('lich', 'heit')
+                    then if(b rlike '(er|en)$' and length(b) - 2 >= r1, left(b, length(b) - 2), b)
+                  when endswith(b, 'lich') and length(b) - 4 >= r2 then left(b, length(b) - 4)
+                  when endswith(b, 'ig') and length(b) - 2 >= r2 then left(b, length(b) - 2)
+                  else b end"""),
+)
 
 
 def stem_german(df: DataFrame, token: str, out: str) -> DataFrame:
-    """Add the German Snowball stem of a token column.
+    """Add the German stem of a token column.
 
-    The published algorithm as staged projections: region starts are lengths of
-    regex matches and every step removes one suffix. Staying on plain columns
-    keeps the work inside generated code, with no Python and no vocabulary join.
+    Staged projections keep the work inside generated code: no Python and no
+    join with a vocabulary table, whatever share of the tokens one word has.
     """
-    w, r1, r2, p1, end = (f"__{n}" for n in ("w", "r1", "r2", "p1", "end"))
-    c = F.col
-
-    def region_end(start: Column, text: Column) -> Column:
-        head = F.length(F.regexp_extract(text, _REGION, 0))
-        return F.when(head > 0, start + head)
-
-    def cut(frame: DataFrame, pattern: str, rule) -> DataFrame:
-        frame = frame.withColumn(end, F.regexp_extract(c(w), pattern, 1))
-        base = _without(c(w), c(end))
-        return frame.withColumn(w, F.when(c(end) == "", c(w)).otherwise(rule(base)))
-
-    mark = "\u0001"
-    vowel_like = F.regexp_replace(
-        F.regexp_replace(c(token), "ß", "ss"), f"([{VOWELS}])(u|y)([{VOWELS}])", f"$1{mark}$2$3"
-    )
-    vowel_like = F.replace(F.replace(vowel_like, F.lit(mark + "u"), F.lit("U")),
-                           F.lit(mark + "y"), F.lit("Y"))
-    df = df.withColumn(w, vowel_like)
-    df = df.withColumn(p1, F.when(F.length(w) >= 3, region_end(F.lit(0), c(w))))
-    whole = F.length(w)
-    df = df.withColumn(
-        r2, F.coalesce(region_end(c(p1), F.substring(c(w), c(p1) + 1, whole)), whole)
-    ).withColumn(r1, F.when(c(p1).isNull(), whole).otherwise(F.greatest(c(p1), F.lit(3))))
-
-    def in_region(base: Column, start: str) -> Column:
-        return F.length(base) >= c(start)
-
-    df = cut(df, "(ern|em|er|en|es|e|s)$", lambda base:
-             F.when(~in_region(base, r1), c(w))
-              .when(c(end).isin("e", "en", "es"), F.regexp_replace(base, "niss$", "nis"))
-              .when((c(end) != "s") | base.rlike("[bdfghklmnrt]$"), base)
-              .otherwise(c(w)))
-    df = cut(df, "(est|st|en|er)$", lambda base:
-             F.when(~in_region(base, r1), c(w))
-              .when((c(end) != "st") | base.rlike("...[bdfghklmnt]$"), base)
-              .otherwise(c(w)))
-
-    def derivational(base: Column) -> Column:
-        before_e = base.rlike("e$")
-        ig = F.regexp_replace(base, "ig$", "")
-        er_en = F.regexp_replace(base, "(er|en)$", "")
-        keit = F.regexp_replace(base, "(lich|ig)$", "")
-        return (
-            F.when(~in_region(base, r2), c(w))
-            .when(c(end).isin("end", "ung"),
-                  F.when(in_region(ig, r2) & ~ig.rlike("e$"), ig).otherwise(base))
-            .when(c(end).isin("ig", "ik", "isch"), F.when(before_e, c(w)).otherwise(base))
-            .when(c(end).isin("lich", "heit"),
-                  F.when(in_region(er_en, r1), er_en).otherwise(base))
-            .otherwise(F.when(in_region(keit, r2), keit).otherwise(base))
-        )
-
-    df = cut(df, "(isch|lich|heit|keit|end|ung|ig|ik)$", derivational)
-    return df.withColumn(out, F.translate(c(w), "UYäöü", "uyaou")).drop(w, r1, r2, p1, end)
+    keep = [F.col(c) for c in df.columns if c != out]
+    df = df.select("*", F.col(token).alias("token"))
+    for name, rule in _STEM_STEPS:
+        df = df.withColumn(name, F.expr(rule.format(token="token")))
+    return df.select(*keep, F.translate("w", "UYäöü", "uyaou").alias(out))
 
 
 def lexemes(
@@ -145,7 +127,7 @@ def lexemes(
     out = out.withColumn("pos", F.col("pos") + 1)
     if config != "simple":
         stop = german_stop_words() if stop_words is None else stop_words
-        out = out.filter(~F.col("lexeme").isin(*stop))
+        out = out.filter(f"lexeme not in ({sql_words(stop)})") if stop else out
     if config == "german":
         out = stem_german(out, "lexeme", "lexeme")
     return out.select(*keep, "lexeme", "pos")

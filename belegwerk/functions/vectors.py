@@ -56,14 +56,18 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """
     buckets = F.transform(
         tokens(text),
-        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)),
+        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim))
+        .cast("int"),
     )
+    # One mark per bucket sorted in among the buckets: the gap between two
+    # neighbouring marks is the number of tokens in a bucket.
+    marked = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim))))
 
     def unit(counts: Column) -> Column:
         return let(norm(counts), lambda n: F.transform(
             counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
 
-    return let(buckets, lambda bs: let(
-        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                    lambda b: F.size(F.filter(bs, lambda x: x == b)).cast("double")),
+    return let(marked, lambda m: let(
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (
+            F.array_position(m, b + 1) - F.array_position(m, b) - 1).cast("double")),
         unit))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from belegwerk.fixed_values import COVER_WEIGHT
 from belegwerk.functions.text import lexemes
+from belegwerk.operators.question_block import LexemeSets
 from belegwerk.session import LIMITS, Limits, in_blocks, top_k
 
 POSTING_BUCKETS = 64
@@ -29,95 +31,70 @@ def lexeme_bucket(lexeme: Column, buckets: int = POSTING_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def query_lexemes(
-    questions: DataFrame, text: str, config: str = "german"
+# One fold over the merged positions of all lexemes. It keeps, per lexeme, the
+# last place seen; once all are seen, the earliest of them opens a cover that
+# ends here. A cover counts only when its opening moved, so with its first end.
+_COVER_DENSITY = """
+aggregate(
+  transform(
+    array_sort(flatten(transform({positions}, (ps, lex) ->
+      transform(ps, p -> named_struct('pos', p, 'lex', lex))))),
+    (m, nth) -> named_struct('pos', m.pos, 'nth', nth, 'lex', m.lex)),
+  named_struct(
+    'last', transform({positions}, ps -> named_struct('pos', -1, 'nth', -1)),
+    'opened', -1, 'score', 0.0D),
+  (state, place) -> transform(array(
+    transform(state.last, (v, lex) ->
+      if(lex = place.lex, named_struct('pos', place.pos, 'nth', place.nth), v))),
+    last -> transform(array(array_min(last)), first -> named_struct(
+      'last', last,
+      'opened', greatest(state.opened, first.pos),
+      'score', state.score + if(first.pos > 0 and first.pos > state.opened,
+         {weight}D / (1 + (place.pos - first.pos) - (place.nth - first.nth)), 0.0D)))[0])[0],
+  state -> round(state.score, 9))
+"""
+
+
+def cover_density(positions: str, weight: float = COVER_WEIGHT) -> Column:
+    """Cover density of ``array<array<int>>``: sorted positions per lexeme."""
+    return F.expr(_COVER_DENSITY.format(positions=positions, weight=weight))
+
+
+def match_sets(
+    sets: LexemeSets, postings: DataFrame, key: str, k: int | None, buckets: int = POSTING_BUCKETS
 ) -> DataFrame:
-    """``(qid, lexeme)``, distinct: all of them must match.
+    """Texts that hold all lexemes of a set: ``(qid, <key>, score)``.
 
-    ``text`` is a string column. Questions without any lexeme give no row and
-    therefore match nothing.
+    Candidates come from the rarest lexeme of every set; the other lexemes are
+    looked up in the candidates by ``(lexeme, key)``. A lexeme that a third of
+    all texts hold is therefore never expanded, and no join key is hot.
     """
-    return lexemes(questions, text, ["qid"], config).select("qid", "lexeme").distinct()
-
-
-def cover_density_score(positions: Column) -> Column:
-    """Cover density of ``array<array<int>>``: sorted positions per lexeme.
-
-    One fold over the merged positions. It keeps, per lexeme, the last place
-    seen; once all are seen, the earliest of them opens a cover that ends here.
-    A cover counts only when its opening moved, i.e. with its earliest end.
-    """
-    merged = F.array_sort(F.flatten(F.transform(positions, lambda ps, i: F.transform(
-        ps, lambda p: F.struct(p.alias("pos"), i.alias("lex"))))))
-    places = F.transform(merged, lambda m, i: F.struct(
-        m["pos"].alias("pos"), i.alias("nth"), m["lex"].alias("lex")))
-    unseen = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("nth"))
-    start = F.struct(
-        F.transform(positions, lambda _: unseen).alias("last"),
-        F.lit(-1).alias("opened"),
-        F.lit(0.0).alias("score"),
-    )
-
-    def step(state: Column, place: Column) -> Column:
-        here = F.struct(place["pos"].alias("pos"), place["nth"].alias("nth"))
-        moved = F.transform(state["last"], lambda v, i: F.when(i == place["lex"], here).otherwise(v))
-        bound = F.transform(F.array(F.struct(moved.alias("last"))), lambda s: F.struct(
-            s["last"].alias("last"), F.array_min(s["last"]).alias("first")))[0]
-
-        def close(b: Column) -> Column:
-            noise = (place["pos"] - b["first"]["pos"]) - (place["nth"] - b["first"]["nth"])
-            new = (b["first"]["pos"] > 0) & (b["first"]["pos"] > state["opened"])
-            return F.struct(
-                b["last"].alias("last"),
-                F.when(new, b["first"]["pos"]).otherwise(state["opened"]).alias("opened"),
-                (state["score"] + F.when(new, COVER_WEIGHT / (1.0 + noise)).otherwise(0.0))
-                .alias("score"),
-            )
-
-        return F.transform(F.array(bound), close)[0]
-
-    return F.aggregate(places, start, step, lambda s: F.round(s["score"], 9))
-
-
-def _match_block(
-    lex: DataFrame, postings: DataFrame, key: str, k: int | None
-) -> DataFrame:
-    # Questions with the same lexemes have the same answer; rank each set once.
-    sets = lex.groupBy("qid").agg(F.array_sort(F.collect_list("lexeme")).alias("wanted"))
-    asked = sets.select("qid", F.array_join("wanted", " ").alias("set_id"))
-    lex_of_set = (
-        sets.select(F.array_join("wanted", " ").alias("set_id"), "wanted").distinct()
-        .select("set_id", F.size("wanted").alias("n"), F.explode("wanted").alias("lexeme"))
-    )
-    vocabulary = lex_of_set.select("lexeme").distinct()
+    spark = postings.sparkSession
+    vocabulary = sets.vocabulary
+    words = spark.createDataFrame(pa.table({"lexeme": pa.array(vocabulary, pa.string())}))
     on = ["lexeme"]
     if "bucket" in postings.columns:
         # Stored postings are partitioned by this hash: only the directories of
         # the asked lexemes are read (dynamic partition pruning).
-        vocabulary = vocabulary.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
+        words = words.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
         on = ["bucket", "lexeme"]
-    needed = postings.join(F.broadcast(vocabulary), on, "left_semi").select(
-        "lexeme", key, "positions"
-    )
-    # Candidates come from the rarest lexeme of every set, so a lexeme that a
-    # third of all texts hold is looked up in them but never expanded.
-    rare = top_k(
-        lex_of_set.join(needed.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df")),
-                        "lexeme"),
-        1, ["set_id"], [F.asc("df"), F.asc("lexeme")],
-    ).select("set_id", "lexeme")
-    candidates = needed.select("lexeme", key).join(F.broadcast(rare), "lexeme").select("set_id", key)
-    wanted = candidates.join(F.broadcast(lex_of_set), "set_id")
-    found = wanted.join(needed, ["lexeme", key])
+    needed = postings.join(F.broadcast(words), on, "left_semi").select("lexeme", key, "positions")
+    df = dict(needed.groupBy("lexeme").count().toArrow().to_pandas().itertuples(index=False))
+    rarest = F.broadcast(sets.rarest_frame(df))
+    members = F.broadcast(sets.member_frame())
+    candidates = needed.select("lexeme", key).join(rarest, "lexeme").select("set_id", key)
+    found = candidates.join(members, "set_id").join(needed, ["lexeme", key])
     hits = (
         found.groupBy("set_id", key)
         .agg(F.collect_list("positions").alias("positions"), F.max("n").alias("n"))
         .filter(F.size("positions") == F.col("n"))
-        .select("set_id", key, cover_density_score(F.col("positions")).alias("score"))
+        .select("set_id", key, cover_density("positions").alias("score"))
     )
     if k is not None:
         hits = top_k(hits, k, ["set_id"], [F.desc("score"), F.asc(key)]).drop("rank")
-    return hits.join(F.broadcast(asked), "set_id").select("qid", key, "score")
+    return hits.join(F.broadcast(sets.asker_frame()), "set_id").select(
+        F.explode("qids").alias("qid"), key, "score"
+    )
 
 
 def fts_rank(
@@ -126,10 +103,11 @@ def fts_rank(
 ) -> DataFrame:
     """All-lexemes match with cover density: ``(qid, <key>, score)``.
 
-    ``k`` keeps the best rows per question (score, then key).
+    ``k`` keeps the best rows per question (score, then key). A question whose
+    text has no lexeme matches nothing.
     """
     def run(block: DataFrame) -> DataFrame:
-        return _match_block(query_lexemes(block, text, config), postings, key, k)
+        return match_sets(LexemeSets(block, text, config, limits), postings, key, k)
 
     return in_blocks(questions, "qid", [text], run, limits)
 

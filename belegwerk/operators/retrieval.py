@@ -1,6 +1,6 @@
 """The branches of both search modes and their fusion, per block of questions.
 
-Frames: ``questions(qid, question, terms, embedding)``,
+A block holds ``questions(qid, question, terms, embedding)``; the corpus is
 ``parents(id, title, source_url, full_text, summary)``,
 ``chunks(id, parent_id, content, embedding)``.
 """
@@ -9,37 +9,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from belegwerk.fixed_values import (
     FINAL_DOCUMENTS, KEYWORD_CHUNKS, TITLE_SCORE, VECTOR_CHUNKS,
 )
-from belegwerk.functions.text import search_terms
 from belegwerk.functions.urls import safe_url
-from belegwerk.functions.vectors import hashed_embedding
-from belegwerk.operators.models import Model
-from belegwerk.operators.postings import _match_block, query_lexemes
-from belegwerk.operators.substring import question_words, term_hits
+from belegwerk.operators.postings import POSTING_BUCKETS, match_sets
+from belegwerk.operators.question_block import LexemeSets, QuestionBlock
+from belegwerk.operators.substring import term_hits
 from belegwerk.operators.vector_join import block_hits
-from belegwerk.session import Limits, top_k
+from belegwerk.session import top_k
+
 
 def by_score() -> list:
     return [F.desc("score"), F.asc("chunk_id")]
 
 
-def prepare_questions(
-    questions: DataFrame, embedding_model: Model = hashed_embedding,
-    stop_words: tuple[str, ...] | None = None,
-) -> DataFrame:
-    """``(qid, question)`` plus search terms, and a vector unless it has one."""
-    out = questions.withColumn("terms", search_terms(F.col("question"), stop_words))
-    if "embedding" not in questions.columns:
-        out = out.withColumn("embedding", embedding_model(F.col("question")))
-    return out.select("qid", "question", "terms", "embedding")
-
-
 def vector_branch(
-    block: DataFrame, chunks: DataFrame, min_similarity: float, limits: Limits,
+    block: QuestionBlock, chunks: DataFrame, min_similarity: float,
     k: int | None = VECTOR_CHUNKS, route=None,
 ) -> DataFrame:
     """Best chunks by similarity: ``(qid, chunk_id, parent_id, score)``.
@@ -48,14 +35,14 @@ def vector_branch(
     that key, so no join is spent on it here.
     """
     hits = block_hits(
-        block, chunks.filter(F.col("parent_id").isNotNull()), min_similarity, k, limits, route
+        block, chunks.filter(F.col("parent_id").isNotNull()), min_similarity, k, route
     )
     return hits if k is None else top_k(hits, k, ["qid"], by_score()).drop("rank")
 
 
 def keyword_branch(
-    block: DataFrame, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
-    limits: Limits, config: str = "german", k: int = KEYWORD_CHUNKS,
+    block: QuestionBlock, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
+    sets: LexemeSets, k: int = KEYWORD_CHUNKS, buckets: int = POSTING_BUCKETS,
 ) -> DataFrame:
     """Best chunks by cover density, filled up with substring hits of score 0.
 
@@ -64,20 +51,12 @@ def keyword_branch(
     in the ``k`` parents with the smallest first chunk of each term; so every
     term keeps ``k`` parents, whatever share of all parents it matches.
     """
-    lex = query_lexemes(
-        block.select("qid", F.array_join("terms", " ").alias("words")), "words", config
-    )
-    ranked = _match_block(lex, postings, "id", k).withColumnRenamed("id", "chunk_id")
-
-    words = question_words(block, "terms", limits)
-    numbered = words.append_column("term_id", [list(range(words.num_rows))])
-    asked = parents.sparkSession.createDataFrame(
-        numbered.select(["term_id", "qids"]),
-        T.StructType([T.StructField("term_id", T.IntegerType()),
-                      T.StructField("qids", T.ArrayType(block.schema["qid"].dataType))]),
-    )
+    ranked = match_sets(sets, postings, "id", k, buckets).withColumnRenamed("id", "chunk_id")
+
+    words, _ = block.askers
+    asked = block.asker_frame()
     first = chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))
-    hits = term_hits(parents, "full_text", ["id"], words["term"].to_pylist())
+    hits = term_hits(parents, "full_text", ["id"], words)
     per_term = top_k(
         hits.join(first, hits["id"] == first["parent_id"])
         .select("parent_id", "first_chunk", F.explode("term_ids").alias("term_id")),
@@ -124,11 +103,11 @@ def with_passages(fused: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def document_vector_branch(
-    block: DataFrame, parents: DataFrame, chunks: DataFrame, min_similarity: float,
-    limits: Limits, route=None,
+    block: QuestionBlock, parents: DataFrame, chunks: DataFrame, min_similarity: float,
+    route=None,
 ) -> DataFrame:
     """Best similarity per document: ``(qid, title, source_url, score)``."""
-    hits = vector_branch(block, chunks, min_similarity, limits, None, route)
+    hits = vector_branch(block, chunks, min_similarity, None, route)
     best = hits.groupBy("qid", "parent_id").agg(F.max("score").alias("score"))
     names = parents.select(F.col("id").alias("parent_id"), "title", "source_url")
     return best.join(names, "parent_id").groupBy("qid", "title", "source_url").agg(
@@ -137,23 +116,18 @@ def document_vector_branch(
 
 
 def document_title_branch(
-    block: DataFrame, parents: DataFrame, limits: Limits, k: int | None = FINAL_DOCUMENTS,
+    block: QuestionBlock, parents: DataFrame, k: int | None = FINAL_DOCUMENTS,
 ) -> DataFrame:
     """Documents whose title holds any term: ``(qid, title, source_url, score)``.
 
     All scores are equal, so only the first ``k`` by title and URL can be used;
     every term keeps ``k`` documents before questions are attached.
     """
-    words = question_words(block, "terms", limits)
-    numbered = words.append_column("term_id", [list(range(words.num_rows))])
-    asked = parents.sparkSession.createDataFrame(
-        numbered.select(["term_id", "qids"]),
-        T.StructType([T.StructField("term_id", T.IntegerType()),
-                      T.StructField("qids", T.ArrayType(block.schema["qid"].dataType))]),
-    )
+    words, _ = block.askers
+    asked = block.asker_frame()
     documents = parents.select("title", "source_url").distinct()
     by_name = [F.asc("title"), F.asc("source_url")]
-    hits = term_hits(documents, "title", ["title", "source_url"], words["term"].to_pylist())
+    hits = term_hits(documents, "title", ["title", "source_url"], words)
     per_term = hits.select("title", "source_url", F.explode("term_ids").alias("term_id"))
     if k is not None:
         per_term = top_k(per_term, k, ["term_id"], by_name)

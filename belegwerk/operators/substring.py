@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from belegwerk.session import LIMITS, Limits, collect_bounded, in_blocks
+from belegwerk.operators.question_block import QuestionBlock
+from belegwerk.session import LIMITS, Limits, in_blocks
 
 ROWS_PER_BATCH = 1 << 16
 
@@ -115,16 +116,6 @@ def term_hits(df: DataFrame, text: str, keep: list[str], words: list[str]) -> Da
     return hits.filter(F.size("term_ids") > 0)
 
 
-def question_words(questions: DataFrame, terms: str, limits: Limits) -> pa.Table:
-    """The block's distinct ``(term, qids)``, terms lower-cased and sorted."""
-    rows = questions.select("qid", F.explode(terms).alias("t")).select(
-        "qid", F.lower("t").alias("term")
-    )
-    bound = Limits(max(limits.rows, limits.bytes >> 4), limits.bytes)
-    per_term = rows.groupBy("term").agg(F.collect_set("qid").alias("qids"))
-    return collect_bounded(per_term, bound).sort_by("term")
-
-
 def match_terms(
     questions: DataFrame, df: DataFrame, text: str, keep: list[str],
     terms: str = "terms", limits: Limits = LIMITS,
@@ -134,18 +125,19 @@ def match_terms(
     ``questions(qid, terms array<string>)``. The texts are read once per block
     and never shuffled; a pair comes out once, so nothing needs de-duplication.
     """
-    asked = questions.select("qid", terms, F.array_join(terms, " ").alias("__all"))
+    asked = questions.select(
+        "qid", F.transform(terms, F.lower).alias("terms"), F.array_join(terms, " ").alias("__all")
+    )
     schema = T.StructType([questions.schema["qid"]] + [df.schema[c] for c in keep])
 
-    def run(block: DataFrame) -> DataFrame:
+    def run(part: DataFrame) -> DataFrame:
         sc = df.sparkSession.sparkContext
-        words = question_words(block, terms, limits)
-        lists = words["qids"].combine_chunks()
-        qids = lists.flatten().unique()
+        block = QuestionBlock(part.select("qid", "terms"), limits)
+        words, asking = block.askers
+        qids = block.table["qid"].combine_chunks().unique()
         place = {q: i for i, q in enumerate(qids.to_pylist())}
-        masks = [functools.reduce(operator.or_, (1 << place[q] for q in asking))
-                 for asking in lists.to_pylist()]
-        matcher = _Matcher(sc.broadcast(words["term"].to_pylist()), sc.broadcast(masks), qids)
+        masks = [functools.reduce(operator.or_, (1 << place[q] for q in who)) for who in asking]
+        matcher = _Matcher(sc.broadcast(words), sc.broadcast(masks), qids)
         return _lowered(df, text, keep).mapInArrow(matcher.question_rows, schema)
 
     return in_blocks(asked, "qid", ["__all"], run, limits)

@@ -11,32 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from belegwerk.functions.vectors import SCORE_DIGITS
-from belegwerk.session import LIMITS, Limits, collect_bounded, in_blocks, top_k
+from belegwerk.operators.question_block import QuestionBlock, unit_rows
+from belegwerk.session import LIMITS, Limits, in_blocks, top_k
 
 ROWS_PER_PRODUCT = 1024
 PENDING_HITS = 1 << 18
 
 
-def hit_schema(questions: DataFrame, chunks: DataFrame) -> T.StructType:
+def hit_schema(qid_type: T.DataType, chunks: DataFrame) -> T.StructType:
     return T.StructType([
-        T.StructField("qid", questions.schema["qid"].dataType),
+        T.StructField("qid", qid_type),
         T.StructField("chunk_id", chunks.schema["id"].dataType),
         T.StructField("parent_id", chunks.schema["parent_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
 
 
-def unit_rows(vectors: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row matrix of unit vectors and the mask of rows that have a direction."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(-1, dim)
-    length = np.sqrt((rows * rows).sum(axis=1))
-    good = np.isfinite(length) & (length > 0)
-    return rows / np.where(good, length, 1.0)[:, None], good
-
-
 def _best(hits: pa.Table, k: int | None) -> pa.Table:
     """Keep the ``k`` best hits per question, ties by chunk id."""
     if k is None or hits.num_rows == 0:
@@ -106,23 +96,8 @@ class _Scorer:
         yield from out.combine_chunks().to_batches()
 
 
-def question_matrix(questions: DataFrame, limits: Limits) -> tuple[pa.Array, np.ndarray]:
-    """The block's question ids and unit vectors; vectors without direction drop out."""
-    table = collect_bounded(
-        questions.select("qid", "embedding").filter(F.size("embedding") > 0), limits
-    )
-    if table.num_rows == 0:
-        return pa.array([], table.schema.field("qid").type), np.zeros((0, 0))
-    sizes = {len(v) for v in table["embedding"].to_pylist()}
-    if len(sizes) != 1:
-        raise ValueError(f"question vectors of different length: {sorted(sizes)}")
-    rows, good = unit_rows(table["embedding"], sizes.pop())
-    return table["qid"].combine_chunks().filter(pa.array(good)), rows[good]
-
-
 def block_hits(
-    questions: DataFrame, chunks: DataFrame, min_similarity: float, k: int | None,
-    limits: Limits = LIMITS, route=None,
+    block: QuestionBlock, chunks: DataFrame, min_similarity: float, k: int | None, route=None,
 ) -> DataFrame:
     """Hits of one block: chunks stream past the broadcast questions, no shuffle.
 
@@ -131,8 +106,8 @@ def block_hits(
     that need it; chunks then carry ``list_id``.
     """
     spark = chunks.sparkSession
-    schema = hit_schema(questions, chunks)
-    qids, matrix = question_matrix(questions, limits)
+    schema = hit_schema(block.qid_type, chunks)
+    qids, matrix = block.vectors
     if len(qids) == 0:
         return spark.createDataFrame([], schema)
     narrow = chunks.filter(F.size("embedding") == matrix.shape[1])
@@ -159,8 +134,9 @@ def vector_join(
     stay, ranked by score and then chunk id. Null, zero and odd-sized vectors
     never match.
     """
-    def run(block: DataFrame) -> DataFrame:
-        return block_hits(block, chunks, min_similarity, k, limits, route)
+    def run(part: DataFrame) -> DataFrame:
+        block = QuestionBlock(part.select("qid", "embedding"), limits)
+        return block_hits(block, chunks, min_similarity, k, route)
 
     hits = in_blocks(questions, "qid", ["embedding"], run, limits)
     if k is None:

@@ -14,7 +14,8 @@ from belegwerk.fixed_values import (
 from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.models import Model, term_share
-from belegwerk.operators.postings import build_postings
+from belegwerk.operators.postings import POSTING_BUCKETS, build_postings
+from belegwerk.operators.question_block import LexemeSets, QuestionBlock, prepare_questions
 from belegwerk.session import LIMITS, Limits, in_blocks
 
 
@@ -26,6 +27,7 @@ class Corpus:
     chunks: DataFrame
     postings: DataFrame | None = None
     config: str = "german"
+    buckets: int = POSTING_BUCKETS
 
     def keyword_index(self) -> DataFrame:
         if self.postings is not None:
@@ -53,37 +55,37 @@ class Settings:
 PAYLOAD = ["question", "embedding"]
 
 
-def _prepared(questions: DataFrame, settings: Settings) -> DataFrame:
-    return retrieval.prepare_questions(questions, settings.embedding_model)
+def _block(questions: DataFrame, settings: Settings) -> QuestionBlock:
+    prepared = prepare_questions(questions, settings.embedding_model)
+    return QuestionBlock(prepared, settings.limits)
 
 
 def _blocks(questions: DataFrame, settings: Settings, run) -> DataFrame:
     return in_blocks(questions, "qid", PAYLOAD, run, settings.limits)
 
 
+def _keyword(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFrame:
+    words = block.frame("qid", "terms").select("qid", F.array_join("terms", " ").alias("words"))
+    sets = LexemeSets(words, "words", corpus.config, settings.limits)
+    return retrieval.keyword_branch(
+        block, corpus.parents, corpus.chunks, corpus.keyword_index(), sets,
+        settings.keyword_chunks, corpus.buckets,
+    )
+
+
 def keyword_search(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
     """Keyword branch alone: ``(qid, chunk_id, parent_id, score)``."""
-    def run(block: DataFrame) -> DataFrame:
-        return retrieval.keyword_branch(
-            _prepared(block, settings), corpus.parents, corpus.chunks, corpus.keyword_index(),
-            settings.limits, corpus.config, settings.keyword_chunks,
-        )
-
-    return _blocks(questions, settings, run)
+    return _blocks(questions, settings,
+                   lambda part: _keyword(_block(part, settings), corpus, settings))
 
 
-def _fused(block: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
+def _fused(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFrame:
     vector = retrieval.vector_branch(
-        block, corpus.chunks, settings.passage_similarity, settings.limits,
-        settings.vector_chunks, settings.route,
-    )
-    keyword = retrieval.keyword_branch(
-        block, corpus.parents, corpus.chunks, corpus.keyword_index(), settings.limits,
-        corpus.config, settings.keyword_chunks,
+        block, corpus.chunks, settings.passage_similarity, settings.vector_chunks, settings.route
     )
-    fused = retrieval.best_per_parent(vector, keyword)
+    fused = retrieval.best_per_parent(vector, _keyword(block, corpus, settings))
     return retrieval.with_passages(fused, corpus.parents)
 
 
@@ -94,21 +96,18 @@ def hybrid_search(
 
     ``(qid, parent_id, title, source_url, full_text, summary, final_score, fused_rank)``.
     """
-    def run(block: DataFrame) -> DataFrame:
-        return _fused(_prepared(block, settings), corpus, settings)
-
-    return _blocks(questions, settings, run)
+    return _blocks(questions, settings,
+                   lambda part: _fused(_block(part, settings), corpus, settings))
 
 
 def top_passages(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
     """Reranked passages: the columns of ``hybrid_search`` plus ``rerank_score, pos``."""
-    def run(block: DataFrame) -> DataFrame:
-        prepared = _prepared(block, settings)
-        fused = _fused(prepared, corpus, settings)
-        asked = prepared.select("qid", "question")
-        paired = fused.join(F.broadcast(asked), "qid")
+    def run(part: DataFrame) -> DataFrame:
+        block = _block(part, settings)
+        fused = _fused(block, corpus, settings)
+        paired = fused.join(F.broadcast(block.frame("qid", "question")), "qid")
         return assemble.rerank(
             paired, settings.rerank_model, settings.passages, "question", settings.rerank_template
         )
@@ -128,15 +127,12 @@ def document_search(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
     """Documents per question: ``(qid, pos, title, url, score)``."""
-    def run(block: DataFrame) -> DataFrame:
-        prepared = _prepared(block, settings)
+    def run(part: DataFrame) -> DataFrame:
+        block = _block(part, settings)
         vector = retrieval.document_vector_branch(
-            prepared, corpus.parents, corpus.chunks, settings.document_similarity,
-            settings.limits, settings.route,
-        )
-        title = retrieval.document_title_branch(
-            prepared, corpus.parents, settings.limits, settings.documents
+            block, corpus.parents, corpus.chunks, settings.document_similarity, settings.route
         )
+        title = retrieval.document_title_branch(block, corpus.parents, settings.documents)
         return retrieval.ranked_documents(vector, title, k=settings.documents)
 
     return _blocks(questions, settings, run)

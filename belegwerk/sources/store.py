@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from belegwerk.operators.postings import POSTING_BUCKETS, lexeme_bucket
@@ -20,7 +21,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/chunks", CHUNKS)
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    schema = T.StructType(schema.fields + [T.StructField("batch", T.StringType())])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
@@ -29,17 +31,14 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_corpus(
-    parents: DataFrame, chunks: DataFrame, path: str, mode: str = "append"
-) -> None:
-    """Write both tables, chunks first.
+def write_corpus(parents: DataFrame, chunks: DataFrame, path: str, batch: str) -> None:
+    """Add one batch to both tables, chunks first.
 
     A document counts as present once its parents are there, so a run that dies
-    in between leaves nothing visible. The stored parents decide which chunks
-    count; ids are deterministic and a repeated run writes the same ones.
+    in between leaves nothing visible, and running the batch again replaces it.
     """
-    conform(chunks, CHUNKS).write.mode(mode).parquet(f"{path}/chunks")
-    conform(parents, PARENTS).write.mode(mode).parquet(f"{path}/parents")
+    conform(chunks, CHUNKS).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+    conform(parents, PARENTS).write.mode("overwrite").parquet(f"{path}/parents/batch={batch}")
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:

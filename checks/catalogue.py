@@ -3,16 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from belegwerk.fixed_values import CHILD_OVERLAP, CHILD_SIZE, VECTOR_LISTS
+from belegwerk.functions import dialog
+from belegwerk.functions.html import html_to_markdown
+from belegwerk.functions.prompts import system_prompt
+from belegwerk.functions.text import lexemes, search_terms
+from belegwerk.functions.urls import extension, file_name, is_supported, safe_url, source_url
+from belegwerk.functions.vectors import hashed_embedding, quantize_half
+from belegwerk.operators import assemble, retrieval
+from belegwerk.operators.chunking import chunk_recursive
+from belegwerk.operators.integrity import corpus_stats as count_corpus
+from belegwerk.operators.integrity import validate_corpus
+from belegwerk.operators.metrics import RunMetrics, passage_counts
+from belegwerk.operators.models import lead_summary
+from belegwerk.operators.postings import build_postings, fts_match as match_all, fts_rank
+from belegwerk.operators.question_block import QuestionBlock, prepare_questions
+from belegwerk.operators.substring import match_terms
+from belegwerk.operators.vector_join import vector_join
+from belegwerk.operators.vector_lists import build_vector_lists, list_join, nearest_lists, recall
 from belegwerk.plans import search
+from belegwerk.plans.answer import answer_requests
+from belegwerk.plans.corpus_build import build_corpus
+from belegwerk.plans.ingest import ingest
+from belegwerk.session import materialise, shared_folder
+from belegwerk.sources.files import new_sources
+from belegwerk.sources.store import delete_documents, read_chunks, read_parents
+from belegwerk.streaming.ingest import stream_ingest as start_ingest
+from belegwerk.streaming.questions import stream_questions as start_questions
 from checks import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
+GIVEN_SIMILARITY = 0.2
+GIVEN_STRICT = 0.60
+
 
 def register(fn: Query) -> Query:
     _QUERIES[fn.__name__] = fn
@@ -23,6 +53,162 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def scored(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, F.round("score", 6).alias("score"))
+
+
+# --- vectors --------------------------------------------------------------------
+
+@register
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector_join(
+        views.given_questions(spark, sf_dir), views.given_vectors(spark, sf_dir),
+        GIVEN_SIMILARITY, search.VECTOR_CHUNKS,
+    )
+    return scored(hits, "qid", "chunk_id", "rank")
+
+
+@register
+def vector_topk_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector_join(
+        views.given_questions(spark, sf_dir), views.given_vectors(spark, sf_dir),
+        GIVEN_STRICT, search.VECTOR_CHUNKS,
+    )
+    return scored(hits, "qid", "chunk_id", "rank")
+
+
+@register
+def vector_best_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = prepare_questions(views.questions(spark, sf_dir))
+    hits = vector_join(
+        questions, views.corpus(spark, sf_dir).chunks, search.PASSAGE_MIN_SIMILARITY,
+        search.VECTOR_CHUNKS,
+    )
+    best = retrieval.best_per_parent(hits)
+    return best.select("qid", "parent_id", F.round("final_score", 6).alias("final_score"))
+
+
+@register
+def vector_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact join through the clustered table."""
+    lists = build_vector_lists(views.given_vectors(spark, sf_dir))
+    hits = list_join(
+        views.given_questions(spark, sf_dir), lists, GIVEN_SIMILARITY, search.VECTOR_CHUNKS
+    )
+    return scored(hits, "qid", "chunk_id", "rank")
+
+
+@register
+def vector_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact hits that the nearest 1, 5, 10 and all lists give."""
+    questions = views.given_questions(spark, sf_dir)
+    lists = build_vector_lists(views.given_vectors(spark, sf_dir))
+    exact = materialise(
+        vector_join(questions, lists.chunks, GIVEN_SIMILARITY, search.VECTOR_CHUNKS)
+    )
+    out = None
+    for nprobe in (1, 5, 10, VECTOR_LISTS):
+        found = list_join(questions, lists, GIVEN_SIMILARITY, search.VECTOR_CHUNKS, nprobe)
+        row = recall(exact, found).select(F.lit(nprobe).alias("nprobe"), "expected", "found")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register
+def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = views.given_vectors(spark, sf_dir)
+    half = vectors.withColumn("half", quantize_half(F.col("embedding")))
+    gaps = F.zip_with("embedding", "half", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    return half.select("id", F.round(F.array_max(gaps), 6).alias("largest_gap"))
+
+
+@register
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.documents(spark, sf_dir)
+    vector = docs.select("title", hashed_embedding(F.col("text")).alias("v"))
+    parts = F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string"))
+    return vector.select("title", F.array_join(parts, ",").alias("vector"))
+
+
+# --- terms and keywords -----------------------------------------------------------
+
+@register
+def search_term_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search terms of every benchmark sentence and every document text."""
+    asked = views.questions(spark, sf_dir).select(F.col("qid").cast("string").alias("key"), "question")
+    texts = views.documents(spark, sf_dir).select(
+        F.col("title").alias("key"), F.col("text").alias("question"))
+    terms = search_terms(F.col("question"))
+    return asked.unionByName(texts).select("key", F.array_join(terms, " ").alias("terms"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = views.questions(spark, sf_dir)
+    return questions.withColumn("terms", search_terms(F.col("question")))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("qid", F.array_join("terms", " ").alias("words"))
+
+
+@register
+def text_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parents hold any term of a question, with the first and the last."""
+    parents = views.corpus(spark, sf_dir).parents
+    hits = match_terms(_asked(spark, sf_dir), parents, "full_text", ["id"])
+    return hits.groupBy("qid").agg(
+        F.count("*").alias("parents"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
+@register
+def title_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = views.corpus(spark, sf_dir).parents
+    block = QuestionBlock(_asked(spark, sf_dir).select("qid", "terms"))
+    return retrieval.document_title_branch(block, parents, k=None)
+
+
+@register
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_postings(views.corpus(spark, sf_dir).chunks)
+    return index.select("lexeme", "id", F.array_join("positions", ",").alias("positions"))
+
+
+@register
+def postings_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = views.corpus(spark, sf_dir).parents.select("title").distinct()
+    index = build_postings(titles.withColumn("text", F.col("title")), "text", "title")
+    return index.select("lexeme", "title", F.array_join("positions", ",").alias("positions"))
+
+
+@register
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German lexemes of all documents with their counts."""
+    rows = lexemes(views.documents(spark, sf_dir), "text", ["title"])
+    return rows.groupBy("lexeme").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("position_sum")
+    )
+
+
+@register
+def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_all(_words(spark, sf_dir), views.corpus(spark, sf_dir).postings, "words")
+
+
+@register
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fts_rank(_words(spark, sf_dir), views.corpus(spark, sf_dir).postings, "words")
+    return scored(hits, "qid", "id")
+
+
+@register
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.keyword_search(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+    return scored(hits, "qid", "chunk_id", "parent_id")
+
+
+# --- search -----------------------------------------------------------------------
+
 @register
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.hybrid_search(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
@@ -31,3 +217,275 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5("full_text").alias("text_md5"),
         F.round("final_score", 6).alias("final_score"), "fused_rank",
     )
+
+
+@register
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.document_search(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+    return scored(found, "qid", "pos", "title", "url")
+
+
+def _top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_passages(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+
+
+@register
+def rerank_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_passages(spark, sf_dir).select(
+        "qid", "pos", "parent_id", "fused_rank", F.round("rerank_score", 6).alias("rerank_score")
+    )
+
+
+@register
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = assemble.contexts(_top_passages(spark, sf_dir))
+    return texts.select(
+        "qid", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5")
+    )
+
+
+@register
+def passages_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_counts(_top_passages(spark, sf_dir))
+
+
+@register
+def no_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question keeps a row; without documents it gets the empty prompt."""
+    questions = views.questions(spark, sf_dir)
+    found = search.document_answers(questions, views.corpus(spark, sf_dir))
+    n = F.size("documents")
+    prompt = system_prompt(F.lit("SEARCH"), n, F.lit(""))
+    return found.select("qid", "context", n.alias("documents"), prompt.alias("system_prompt"))
+
+
+@register
+def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.passage_answers(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+    return found.select("qid", assemble.references(F.col("documents")).alias("reference_text"))
+
+
+# --- sources and corpus -------------------------------------------------------------
+
+@register
+def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "pages")
+    marked = F.concat("url", F.lit(" ä*~+#%20/"), F.substring("html", 1, 40))
+    return pages.select(
+        "page_id", safe_url(F.col("url")).alias("url"), safe_url(marked).alias("marked_url")
+    )
+
+
+ROTATING_NAMES = (".pdf", ".HTML", ".txt", ".exe", ".Md", "", ".tar.gz", ".JPG", "/.pdf", ".docx.bak")
+
+
+@register
+def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(
+        F.array(*[F.lit(e) for e in ROTATING_NAMES]),
+        (F.col("page_id") % len(ROTATING_NAMES) + 1).cast("int"),
+    )
+    paths = views.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("/data/in/"), "page_id", ending).alias("path"))
+    name = file_name(F.col("path"))
+    return paths.filter(is_supported(F.col("path"))).select(
+        "path", name.alias("filename"), extension(F.col("path")).alias("ext"),
+        source_url(name, "https://files.example/download/").alias("source_url"),
+    )
+
+
+@register
+def incremental_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents not yet indexed, where every labelled document is."""
+    docs = views.titled(views.table(spark, sf_dir, "documents"))
+    known = docs.join(views.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return new_sources(docs.select("title", "doc_id"), known.select("title"), "title")
+
+
+@register
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "pages")
+    text = html_to_markdown(F.col("html"))
+    return pages.select("page_id", F.length(text).alias("n_chars"), text.alias("markdown"))
+
+
+@register
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, chunks = build_corpus(views.documents(spark, sf_dir), method="fixed")
+    del parents
+    return chunks.select("id", "parent_id", "child_idx", F.md5("content").alias("content_md5"))
+
+
+@register
+def chunk_recursive_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.documents(spark, sf_dir)
+    parents = chunk_recursive(docs, "text", out="full_text", index="parent_idx")
+    children = chunk_recursive(
+        parents.select("title", "parent_idx", "full_text"), "full_text",
+        CHILD_SIZE, CHILD_OVERLAP, "content", "child_idx",
+    )
+    return children.select(
+        "title", "parent_idx", "child_idx", F.length("content").alias("n_chars"),
+        F.md5("content").alias("content_md5"),
+    )
+
+
+@register
+def lead3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.documents(spark, sf_dir).select("title", lead_summary(F.col("text")).alias("summary"))
+
+
+@register
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest all documents into a new store and read back what is there."""
+    path = shared_folder(spark)
+    ingest(views.documents(spark, sf_dir), path, method="fixed", batch="all")
+    return _stored_counts(spark, path)
+
+
+def _stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    parents, chunks = read_parents(spark, path), read_chunks(spark, path)
+    per_parent = chunks.groupBy("parent_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return parents.join(per_parent, parents["id"] == per_parent["parent_id"]).groupBy(
+        "title", "source_url", "summary"
+    ).agg(
+        F.count("*").alias("parents"), F.sum("n").alias("chunks"),
+        F.min("first_id").alias("first_chunk"),
+    )
+
+
+@register
+def corpus_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as parents keyed by text, all documents as chunks."""
+    docs = views.table(spark, sf_dir, "documents")
+    labelled = docs.join(views.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    parents = labelled.select(F.md5("text").alias("id"))
+    vectors = views.table(spark, sf_dir, "embeddings")
+    chunks = docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").select(
+        F.col("doc_id").alias("id"), F.md5("text").alias("parent_id"), "embedding"
+    )
+    return validate_corpus(parents, chunks, 64)
+
+
+@register
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after deleting every document labelled toxic."""
+    corpus = views.corpus(spark, sf_dir)
+    toxic = views.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    titles = views.titled(views.table(spark, sf_dir, "documents")).join(toxic, "doc_id", "left_semi")
+    parents, chunks = delete_documents(corpus.parents, corpus.chunks, titles)
+    left = chunks.groupBy("parent_id").agg(F.count("*").alias("chunks"))
+    return parents.join(left, parents["id"] == left["parent_id"]).select("id", "title", "chunks")
+
+
+@register
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = views.corpus(spark, sf_dir)
+    return count_corpus(corpus.parents, corpus.chunks)
+
+
+# --- conversations --------------------------------------------------------------------
+
+@register
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialog.history_windows(views.table(spark, sf_dir, "conversations"))
+
+
+@register
+def last_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialog.last_messages(views.table(spark, sf_dir, "conversations"))
+
+
+@register
+def model_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = views.table(spark, sf_dir, "conversations")
+    systems = turns.groupBy("conv_id").agg(
+        F.concat(F.lit("Turns: "), F.count("*").cast("string")).alias("system_prompt"))
+    return dialog.model_message_rows(turns, systems)
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns; system turns carry a task marker, assistant turns a wrong-case one."""
+    turns = views.table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", (
+        F.when(F.col("role") == "system", F.concat(F.lit("### Task: "), "text"))
+        .when(F.col("role") == "assistant", F.concat("text", F.lit(" CONCISE")))
+        .otherwise(F.col("text"))
+    ).alias("message"))
+
+
+@register
+def system_task_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gated(spark, sf_dir).select(
+        "conv_id", "turn", dialog.is_system_task(F.col("message")).alias("is_task"))
+
+
+@register
+def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = views.table(spark, sf_dir, "conversations")
+    replied = turns.withColumn("reply", dialog.rule_reply(F.col("text")))
+    read = dialog.read_reply(replied, "reply", "text")
+    return read.select("conv_id", "turn", "reply", "intent", "search_query")
+
+
+@register
+def intent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in all shapes: plain, in brackets, with two queries, missing."""
+    turns = views.table(spark, sf_dir, "conversations")
+    reply = (
+        F.when(F.col("turn") == 0, F.concat(F.lit("TYPE: SEARCH\nQUERY:  "), "text", F.lit(" \n")))
+        .when(F.col("turn") == 1, F.concat(F.lit("TYPE: [SEARCH]\nQUERY: "), "text"))
+        .when(F.col("turn") == 2, F.concat(F.lit("TYPE: SMALLTALK\nQUERY: a QUERY: "), "text"))
+        .when(F.col("turn") == 3, F.concat(F.lit("TYPE: SMALLTALK or TYPE: SEARCH "), "text"))
+    )
+    read = dialog.read_reply(turns.withColumn("reply", reply), "reply", "text")
+    return read.select("conv_id", "turn", "intent", "search_query")
+
+
+@register
+def routed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = answer_requests(views.requests(spark, sf_dir), views.corpus(spark, sf_dir))
+    return found.select(
+        "qid", "intent", "search_query", F.md5("context").alias("context_md5"),
+        F.md5("system_prompt").alias("prompt_md5"), "answer", F.col("references").alias("refs"),
+    )
+
+
+# --- streams and metrics -----------------------------------------------------------------
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = views.table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf_dir)
+
+
+@register
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    docs = views.titled(_stream(spark, sf_dir, "documents")).select("title", "text")
+    start_ingest(docs, f"{path}/corpus", f"{path}/checkpoint", method="fixed").awaitTermination()
+    return _stored_counts(spark, f"{path}/corpus")
+
+
+@register
+def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    asked = views.sentences(_stream(spark, sf_dir, "benchmark"), "item_id", "text")
+    answer = partial(search.hybrid_search, corpus=views.corpus(spark, sf_dir))
+    start_questions(asked, answer, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/answers").select(
+        "qid", "parent_id", "fused_rank", F.round("final_score", 6).alias("final_score"))
+
+
+@register
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and wall time of the chunking and the search stage."""
+    metrics = RunMetrics("demo")
+    corpus = views.corpus(spark, sf_dir)
+
+    def drop(df: DataFrame) -> None:
+        df.write.format("noop").mode("overwrite").save()
+
+    metrics.stage("chunk", build_corpus(views.documents(spark, sf_dir), "fixed")[1], drop)
+    metrics.stage("search", search.hybrid_search(views.questions(spark, sf_dir), corpus), drop)
+    return metrics.frame(spark)

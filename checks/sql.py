@@ -192,8 +192,266 @@ FROM fused f JOIN parents p ON p.id = f.parent_id"""),
 ]
 
 
+DOCSEARCH = [
+    ("dvec", """SELECT s.qid, p.title, p.source_url, max(s.score) AS score
+FROM dsim s JOIN parents p ON p.id = s.parent_id GROUP BY ALL"""),
+    ("names", "SELECT DISTINCT title, source_url FROM parents"),
+    ("dtitle", """SELECT DISTINCT qid, title, source_url, 1.0::DOUBLE AS score
+FROM (SELECT qid, unnest(terms) AS term FROM terms) JOIN names ON contains(lower(title), term)"""),
+    ("dtop", ranked("(SELECT * FROM dvec UNION ALL SELECT * FROM dtitle)", 35,
+                    order="score DESC, title, source_url")),
+    ("dfirst", """SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos FROM (
+  SELECT * FROM dtop QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY rank) = 1)"""),
+]
+
+
+def encoded(url: str) -> str:
+    """Percent encoding byte by byte through the reserved set of the engine."""
+    out = f"url_encode({url})"
+    for code, char in (("%3A", ":"), ("%2F", "/"), ("%3F", "?"), ("%26", "&"), ("%3D", "=")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return out
+
+
+def document_similar(threshold: float) -> tuple[str, str]:
+    return ("dsim", similar(threshold)[1])
+
+
+TOP6 = [
+    ("scored", """SELECT c.*, len([t FOR t IN list_distinct(t.terms) IF contains(lower(c.full_text), t)])
+  / len(list_distinct(t.terms)) AS rerank_score FROM cand c JOIN terms t USING (qid)"""),
+    ("top6", ranked("scored", 6, order="rerank_score DESC, fused_rank").replace(" AS rank", " AS pos")
+     .replace("rank <= 6", "pos <= 6")),
+    ("context", r"""SELECT qid, string_agg(concat(E'\n### QUELLE: ', title,
+  E'\nDOKUMENT-INFO (Zusammenfassung): ', coalesce(summary, 'None'),
+  E'\nRELEVANTER ABSCHNITT:\n', full_text, E'\n'), '' ORDER BY pos) AS context FROM top6 GROUP BY qid"""),
+    ("pdocs", """SELECT qid, title, source_url, row_number() OVER (PARTITION BY qid ORDER BY pos) AS pos FROM (
+  SELECT * FROM top6 QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY pos) = 1)"""),
+]
+
+
+def reference_text(src: str) -> str:
+    return rf"""SELECT qid, concat(E'\n\n---\n### 🔍 Referenzen:\n',
+  string_agg(concat('- [', title, '](', {encoded('source_url')}, E')\n'), '' ORDER BY pos)) AS refs
+FROM {src} GROUP BY qid"""
+
+
+SEARCH_EMPTY = ("Teile freundlich mit, dass zu dieser Suche nichts gefunden wurde und passende "
+                "Dokumente vielleicht noch fehlen.")
+SEARCH_FOUND = ("Bestätige in einem Satz, dass Dokumente gefunden wurden. Zähle sie nicht auf; "
+                "die Liste folgt von selbst.")
+SMALLTALK = "Antworte freundlich und biete Hilfe bei Fragen zu den Dokumenten und bei der Suche an."
+PASSAGES = ("Beantworte die Frage vollständig und nur nach den folgenden Abschnitten. Erfinde nichts "
+            "und schreibe keine Quellenliste. Sage es, wenn die Abschnitte nichts hergeben.")
+
+MARKERS = ("### Task:", "JSON format:", "concise", "summarizing", "title with", "Generate a short title",
+           "Summarize the conversation", "Return only the title", "based on the previous")
+
+
+def any_of(x: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def rule_reply(x: str, terms: str) -> str:
+    opening = f"trim(string_split_regex({trimmed(f'lower({x})')}, '{BLANK}+')[1], '?!.,')"
+    greetings = "('hallo', 'hi', 'hey', 'moin', 'servus', 'danke', 'tschüss', 'guten')"
+    return rf"""concat('TYPE: ', CASE
+  WHEN {any_of(f'lower({x})', ('welche dokumente', 'welche pdfs', 'liste', 'suche'))} THEN 'SEARCH'
+  WHEN {opening} IN {greetings} THEN 'SMALLTALK' ELSE 'RAG' END, E'\nQUERY: ', array_to_string({terms}, ' '))"""
+
+
+INTENT = ("CASE WHEN contains(reply, 'TYPE: SEARCH') THEN 'SEARCH' "
+          "WHEN contains(reply, 'TYPE: SMALLTALK') THEN 'SMALLTALK' ELSE 'RAG' END")
+
+
+def reply_query(question: str) -> str:
+    return f"coalesce({trimmed("string_split(reply, 'QUERY:')[2]")}, {question})"
+
+
+NEWEST = ("newest", "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations")
+HISTORY = ("history", rf"""SELECT conv_id, count(*) FILTER (back > 1) AS n_before,
+  coalesce(string_agg(concat(role, ': ', {trimmed("string_split(text, '### Referenzen:')[1]")}, E'\n'), ''
+           ORDER BY turn) FILTER (back > 1), '') AS history
+FROM newest WHERE back <= 4 GROUP BY conv_id""")
+REQUESTS = [
+    STOPS, NEWEST, HISTORY,
+    ("requests", """SELECT conv_id AS qid, CASE WHEN greeted THEN 'Hallo! ' || text
+  WHEN role = 'user' THEN 'Welche Dokumente gibt es zu ' || text ELSE text END AS message
+FROM newest JOIN (SELECT conv_id, bool_or(role = 'system') AS greeted FROM conversations GROUP BY ALL) USING (conv_id)
+WHERE back = 1"""),
+    ("replied", f"""SELECT qid, message, {rule_reply('message', 'terms')} AS reply
+FROM (SELECT *, {terms_of('message')} AS terms FROM requests, stops) WHERE NOT {any_of('message', MARKERS)}"""),
+    ("routed", f"SELECT qid, message, {INTENT} AS intent, {reply_query('message')} AS search_query FROM replied"),
+    ("questions", "SELECT qid, search_query AS question FROM routed WHERE intent <> 'SMALLTALK'"),
+]
+
+
+def after(first: list, rest: list) -> list:
+    """``rest`` on top of other questions than the benchmark's."""
+    return first + [p for p in rest if p[0] not in {name for name, _ in first}]
+
+
+def given(threshold: float) -> str:
+    return query(
+        ("q", "SELECT item_id AS qid, embedding AS v FROM benchmark JOIN embeddings ON item_id = vec_id"),
+        ("sim", f"""SELECT * FROM (SELECT qid, vec_id AS chunk_id, {cosine('q.v', 'e.embedding')} AS score
+FROM q CROSS JOIN embeddings e) WHERE score > {threshold}"""),
+        final=f"SELECT qid, chunk_id, rank, round(score, 6) AS score FROM ({ranked('sim', 25)})",
+    )
+
+
+STORED = """SELECT title, source_url, summary, count(*) AS parents, sum(n)::BIGINT AS chunks,
+  min(first_id) AS first_chunk
+FROM parents JOIN (SELECT parent_id, count(*) AS n, min(id) AS first_id FROM chunks GROUP BY parent_id) c
+ON c.parent_id = parents.id GROUP BY ALL"""
+
+MARKDOWN_RULES = (
+    (r"<!--.*?-->", "", "gs"),
+    (r"<(script|style|head)\b[^>]*>.*?</(script|style|head)\s*>", "", "gsi"),
+    (r"\s+", " ", "g"),
+    (r"<h1\b[^>]*>", r"\n\n# ", "gi"),
+    (r"<h2\b[^>]*>", r"\n\n## ", "gi"),
+    (r"<h3\b[^>]*>", r"\n\n### ", "gi"),
+    (r"<h[4-6]\b[^>]*>", r"\n\n#### ", "gi"),
+    (r"<li\b[^>]*>", r"\n- ", "gi"),
+    (r"<br\s*/?>", r"\n", "gi"),
+    (r"</?(p|div|article|section|ul|ol|table|tr|nav|header|footer|main|aside|h[1-6])\b[^>]*>", r"\n\n", "gi"),
+    (r"<[^>]*>", "", "g"),
+    (r"[ \t]*\n[ \t]*", r"\n", "g"),
+    (r"\n{3,}", r"\n\n", "g"),
+    (r"[ \t]{2,}", " ", "g"),
+    (r"^\s+|\s+$", "", "g"),
+)
+
+
+def markdown(html: str) -> str:
+    out = html
+    for pattern, text, flags in MARKDOWN_RULES:
+        out = f"regexp_replace({out}, '{pattern}', E'{text}', '{flags}')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                       ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{char}')"
+    return out
+
+
 def queries() -> dict[str, str]:
+    """SQL per registered query; those left out have no SQL form."""
     q: dict[str, str] = {}
+    q["vector_topk"] = q["vector_lists"] = given(0.2)
+    q["vector_topk_strict"] = given(0.6)
+    sims = ASKED + EMBEDDED + [similar(0.60), ("vec", ranked("sim", 25))]
+    q["vector_best_parent"] = query(*sims, final="""SELECT qid, parent_id, round(max(score), 6) AS final_score
+FROM vec GROUP BY ALL""")
+    q["hashed_embeddings"] = query(
+        DOCS, *embedding("dv", "docs", "title", "text"),
+        final="""SELECT title, array_to_string([round(x::DOUBLE * 10000)::INT FOR x IN coalesce(v, [0 FOR i IN range(64)])], ',')
+AS vector FROM docs LEFT JOIN dv USING (title)""")
+
+    q["search_term_lists"] = query(*TERMS, DOCS, final=f"""
+SELECT qid::VARCHAR AS key, array_to_string(terms, ' ') AS terms FROM terms
+UNION ALL SELECT title, array_to_string({terms_of('text')}, ' ') FROM docs, stops""")
+    q["text_any_match"] = query(*TERMS, *KEYWORD, final="""SELECT qid, count(*) AS parents,
+  min(parent_id) AS first_id, max(parent_id) AS last_id FROM phit GROUP BY qid""")
+    names = PARENTS + [DOCSEARCH[1], DOCSEARCH[2]]
+    q["title_any_match"] = query(*TERMS, *names, final="SELECT qid, title, source_url, score FROM dtitle")
+    q["postings"] = query(*LEXED, final="""SELECT lexeme, id, array_to_string(list(pos ORDER BY pos), ',') AS positions
+FROM occ GROUP BY ALL""")
+    title_tokens = [STOPS, DOCS, ("ttok", token_rows("(SELECT title, title AS t FROM docs)", "title", "t"))]
+    live = "(SELECT token FROM {} WHERE NOT list_contains((SELECT l FROM stops), token))"
+    q["postings_title"] = query(*title_tokens, *stems(live.format("ttok")), final="""SELECT lexeme, title,
+  array_to_string(list(pos ORDER BY pos), ',') AS positions FROM ttok JOIN stem USING (token) GROUP BY ALL""")
+    q["stemmed_terms"] = query(STOPS, DOCS, ("dtok", token_rows("docs", "title", "text")),
+                               *stems(live.format("dtok")), final="""SELECT lexeme, count(*) AS n,
+  sum(pos)::BIGINT AS position_sum FROM dtok JOIN stem USING (token) GROUP BY lexeme""")
+    q["fts_match"] = query(*FTS, final="SELECT qid, id FROM full_hit")
+    q["cover_density"] = query(*FTS, final="SELECT qid, id, round(score, 6) AS score FROM fts")
+    q["keyword_topk"] = query(*KEYWORD, final="""SELECT qid, chunk_id, parent_id, round(score, 6) AS score FROM kw""")
+
     q["hybrid_fusion"] = query(*HYBRID, final="""SELECT qid, parent_id, title, source_url, summary,
   md5(full_text) AS text_md5, round(final_score, 6) AS final_score, fused_rank FROM cand""")
+    q["stream_questions"] = query(*HYBRID, final="""SELECT qid, parent_id, fused_rank,
+  round(final_score, 6) AS final_score FROM cand""")
+    ranked_docs = TERMS + ASKED[1:] + EMBEDDED + [document_similar(0.65)] + DOCSEARCH
+    q["document_search"] = query(*ranked_docs, final=f"""SELECT qid, pos, title, {encoded('source_url')} AS url,
+  round(score, 6) AS score FROM dfirst""")
+    q["no_hits"] = query(*ranked_docs, final=f"""SELECT qid, 'Dokument-Suche abgeschlossen.' AS context,
+  count(title) AS documents, CASE WHEN count(title) = 0 THEN '{SEARCH_EMPTY}' ELSE '{SEARCH_FOUND}' END AS system_prompt
+FROM questions LEFT JOIN dfirst USING (qid) GROUP BY qid""")
+    top = HYBRID + TOP6
+    q["rerank_top6"] = query(*top, final="""SELECT qid, pos, parent_id, fused_rank,
+  round(rerank_score, 6) AS rerank_score FROM top6""")
+    q["context_blocks"] = query(*top, final="""SELECT qid, length(context) AS n_chars, md5(context) AS context_md5
+FROM context""")
+    q["passages_per_question"] = query(*top, final="SELECT qid, count(*) AS passages FROM top6 GROUP BY qid")
+    q["reference_list"] = query(*top, ("refs", reference_text("pdocs")), final="""SELECT qid,
+  coalesce(refs, '') AS reference_text FROM questions LEFT JOIN refs USING (qid)""")
+
+    q["safe_urls"] = f"""SELECT page_id, {encoded('url')} AS url,
+  {encoded("concat(url, ' ä*~+#%20/', substring(html, 1, 40))")} AS marked_url FROM pages"""
+    names = "['.pdf', '.HTML', '.txt', '.exe', '.Md', '', '.tar.gz', '.JPG', '/.pdf', '.docx.bak']"
+    q["source_filter"] = query(
+        ("paths", f"SELECT concat('/data/in/', page_id, ({names})[page_id % 10 + 1]) AS path FROM pages"),
+        ("named", "SELECT path, string_split(path, '/')[-1] AS filename FROM paths"),
+        ("typed", """SELECT *, CASE WHEN contains(ltrim(filename, '.'), '.')
+  THEN lower('.' || string_split(filename, '.')[-1]) ELSE '' END AS ext FROM named"""),
+        final=f"""SELECT path, filename, ext, '{BASE}' || filename AS source_url FROM typed
+WHERE ext IN ('.pdf', '.docx', '.pptx', '.xlsx', '.html', '.asc', '.md', '.txt', '.png', '.jpg', '.jpeg', '.tiff')""")
+    q["incremental_new"] = """SELECT concat(source, '_', lang, '_', doc_id, '.txt') AS title, doc_id
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+    md = markdown("html")
+    q["html_markdown"] = f"SELECT page_id, length(markdown) AS n_chars, markdown FROM (SELECT page_id, {md} AS markdown FROM pages)"
+    q["chunk_fixed"] = query(*CHUNKS, final="""SELECT id, parent_id, child_idx, md5(content) AS content_md5 FROM chunks""")
+    q["lead3_summary"] = query(DOCS, final="SELECT title, summary FROM docs")
+    q["corpus_build"] = q["stream_ingest"] = query(*CHUNKS, final=STORED)
+    q["corpus_checks"] = query(
+        ("p", "SELECT md5(text) AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
+        ("c", """SELECT doc_id AS id, md5(text) AS parent_id, len(embedding) AS n
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id"""),
+        final="""SELECT 'parent id repeated' AS rule, id, count(*) AS n FROM p GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'chunk id repeated', id::VARCHAR, count(*) FROM c GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'chunk without parent', id::VARCHAR, count(*) FROM c WHERE parent_id NOT IN (SELECT id FROM p) GROUP BY id
+UNION ALL SELECT 'vector length', id::VARCHAR, count(*) FROM c WHERE n <> 64 GROUP BY id""")
+    q["delete_cascade"] = query(
+        *CHUNKS,
+        ("toxic", """SELECT concat(source, '_', lang, '_', doc_id, '.txt') AS title
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 1"""),
+        final="""SELECT p.id, p.title, count(*) AS chunks FROM parents p JOIN chunks c ON c.parent_id = p.id
+WHERE p.title NOT IN (SELECT title FROM toxic) GROUP BY ALL""")
+    q["corpus_stats"] = query(*CHUNKS, final="""SELECT count(DISTINCT title) AS documents, count(*) AS parents,
+  (SELECT count(*) FROM chunks) AS chunks FROM parents""")
+
+    q["history_window"] = query(NEWEST, HISTORY, final="SELECT * FROM history")
+    q["last_message"] = "SELECT * FROM conversations QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)"
+    q["model_messages"] = """SELECT conv_id, -1 AS pos, 'system' AS role, concat('Turns: ', count(*)) AS content
+FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, turn, CASE WHEN role = 'user' OR turn = max(turn) OVER (PARTITION BY conv_id)
+  THEN 'user' ELSE 'assistant' END, text FROM conversations"""
+    q["system_task_gate"] = f"""SELECT conv_id, turn, {any_of('m', MARKERS)} AS is_task FROM (
+  SELECT *, CASE role WHEN 'system' THEN '### Task: ' || text WHEN 'assistant' THEN text || ' CONCISE' ELSE text END AS m
+  FROM conversations)"""
+    q["intent_rules"] = query(
+        STOPS, ("t", f"SELECT *, {terms_of('text')} AS terms FROM conversations, stops"),
+        ("r", f"SELECT *, {rule_reply('text', 'terms')} AS reply FROM t"),
+        final=f"SELECT conv_id, turn, reply, {INTENT} AS intent, {reply_query('text')} AS search_query FROM r")
+    q["intent_parse"] = query(
+        ("r", r"""SELECT *, CASE turn WHEN 0 THEN concat(E'TYPE: SEARCH\nQUERY:  ', text, E' \n')
+  WHEN 1 THEN concat(E'TYPE: [SEARCH]\nQUERY: ', text)
+  WHEN 2 THEN concat(E'TYPE: SMALLTALK\nQUERY: a QUERY: ', text)
+  WHEN 3 THEN concat('TYPE: SMALLTALK or TYPE: SEARCH ', text) END AS reply FROM conversations"""),
+        final=f"SELECT conv_id, turn, {INTENT} AS intent, {reply_query('text')} AS search_query FROM r")
+    q["routed_answers"] = query(
+        *after(REQUESTS, HYBRID + TOP6 + [document_similar(0.65)] + DOCSEARCH),
+        ("refs", f"""{reference_text("(SELECT qid, title, source_url, pos FROM pdocs JOIN routed USING (qid) "
+            "WHERE intent = 'RAG' UNION ALL SELECT qid, title, source_url, pos FROM dfirst JOIN routed USING (qid) "
+            "WHERE intent = 'SEARCH')")}"""),
+        ("full_row", """SELECT r.*, CASE intent WHEN 'SMALLTALK' THEN '' WHEN 'SEARCH' THEN 'Dokument-Suche abgeschlossen.'
+  ELSE coalesce(context, 'Keine relevanten Dokumente gefunden.') END AS context, coalesce(refs, '') AS refs
+FROM routed r LEFT JOIN context USING (qid) LEFT JOIN refs USING (qid)"""),
+        ("prompted", rf"""SELECT *, CASE WHEN intent = 'SEARCH' AND refs = '' THEN '{SEARCH_EMPTY}'
+  WHEN intent = 'SEARCH' THEN '{SEARCH_FOUND}' WHEN intent = 'SMALLTALK' THEN '{SMALLTALK}'
+  ELSE concat('{PASSAGES}', E'\n\n', context) END AS prompt,
+  regexp_extract(string_split(context, E'RELEVANTER ABSCHNITT:\n')[2], '^([^.!?]*[.!?]+)', 1) AS sentence FROM full_row"""),
+        final=f"""SELECT qid, intent, search_query, md5(context) AS context_md5, md5(prompt) AS prompt_md5,
+  CASE WHEN length(sentence) > 0 THEN sentence ELSE prompt END AS answer, refs FROM prompted
+UNION ALL SELECT qid, NULL, NULL, md5(''), NULL, message, '' FROM requests WHERE {any_of('message', MARKERS)}""")
     return q

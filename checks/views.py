@@ -7,11 +7,12 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from belegwerk.functions import dialog
 from belegwerk.operators.postings import build_postings
-from belegwerk.plans.corpus_build import build_corpus
+from belegwerk.plans.ingest import ingest
 from belegwerk.plans.search import Corpus
 from belegwerk.session import shared_folder, spread
-from belegwerk.sources.store import read_postings, write_corpus, write_postings
+from belegwerk.sources.store import read_chunks, read_parents, read_postings, write_postings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +59,32 @@ def given_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a request ``(qid, message, history)``.
+
+    The invented prose names no intent, so the opening is put in front of it: a
+    greeting where the conversation has a system turn, a call for documents
+    where the user spoke last.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    greeted = turns.groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("greeted"))
+    message = (
+        F.when(F.col("greeted"), F.concat(F.lit("Hallo! "), "text"))
+        .when(F.col("role") == "user", F.concat(F.lit("Welche Dokumente gibt es zu "), "text"))
+        .otherwise(F.col("text"))
+    )
+    return (
+        dialog.last_messages(turns).join(greeted, "conv_id")
+        .join(dialog.history_windows(turns), "conv_id")
+        .select(F.col("conv_id").alias("qid"), message.alias("message"), "history")
+    )
+
+
 @functools.lru_cache(maxsize=None)
 def _stored_corpus(spark: SparkSession, sf_dir: str) -> str:
     path = shared_folder(spark)
-    parents, chunks = build_corpus(documents(spark, sf_dir), method="fixed")
-    write_corpus(parents, chunks, path, mode="overwrite")
-    write_postings(build_postings(spark.read.parquet(f"{path}/chunks")), f"{path}/postings")
+    ingest(documents(spark, sf_dir), path, method="fixed", batch="all")
+    write_postings(build_postings(read_chunks(spark, path)), f"{path}/postings")
     return path
 
 
@@ -76,6 +97,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """
     path = _stored_corpus(spark, sf_dir)
     return Corpus(
-        spark.read.parquet(f"{path}/parents"), spark.read.parquet(f"{path}/chunks"),
+        read_parents(spark, path), read_chunks(spark, path),
         read_postings(spark, f"{path}/postings"),
     )
