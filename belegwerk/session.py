@@ -42,8 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Keep unions from claiming their children's partitioning.
+
+    Spark 4.1 lets a union of equally partitioned children count as partitioned
+    and then aggregates without a shuffle. When adaptive execution coalesces the
+    children differently, e.g. because one reuses an exchange, keys of one group
+    sit in different partitions and the aggregate returns doubles.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there."""
+    sound_unions(df.sparkSession)
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -83,6 +95,7 @@ def in_blocks(
     another, each result written to the shared folder, so that the driver never
     holds more than one block. ``run`` must treat questions independently.
     """
+    sound_unions(questions.sparkSession)
     width = F.lit(0).cast("long")
     for name in payload:
         kind = dict(questions.dtypes).get(name)
