@@ -17,11 +17,10 @@ from belegwerk.functions.urls import extension, file_name, is_supported, safe_ur
 from belegwerk.functions.vectors import hashed_embedding, quantize_half
 from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.chunking import chunk_recursive
-from belegwerk.operators.integrity import corpus_stats as count_corpus
-from belegwerk.operators.integrity import validate_corpus
+from belegwerk.operators.integrity import corpus_stats, validate_corpus
 from belegwerk.operators.metrics import RunMetrics, passage_counts
 from belegwerk.operators.models import lead_summary
-from belegwerk.operators.postings import build_postings, fts_match as match_all, fts_rank
+from belegwerk.operators.postings import build_postings, fts_match, fts_rank
 from belegwerk.operators.question_block import QuestionBlock, prepare_questions
 from belegwerk.operators.substring import match_terms
 from belegwerk.operators.vector_join import vector_join
@@ -33,8 +32,8 @@ from belegwerk.plans.ingest import ingest
 from belegwerk.session import materialise, shared_folder
 from belegwerk.sources.files import new_sources
 from belegwerk.sources.store import delete_documents, read_chunks, read_parents
-from belegwerk.streaming.ingest import stream_ingest as start_ingest
-from belegwerk.streaming.questions import stream_questions as start_questions
+from belegwerk.streaming.ingest import stream_ingest
+from belegwerk.streaming.questions import stream_questions
 from checks import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +44,8 @@ GIVEN_STRICT = 0.60
 
 
 def register(fn: Query) -> Query:
-    _QUERIES[fn.__name__] = fn
+    """Register a query under its name without the ``q_`` that keeps names apart."""
+    _QUERIES[fn.__name__.removeprefix("q_")] = fn
     return fn
 
 
@@ -123,7 +123,7 @@ def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.documents(spark, sf_dir)
     vector = docs.select("title", hashed_embedding(F.col("text")).alias("v"))
     parts = F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string"))
@@ -133,7 +133,7 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- terms and keywords -----------------------------------------------------------
 
 @register
-def search_term_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search terms of every benchmark sentence and every document text."""
     asked = views.questions(spark, sf_dir).select(F.col("qid").cast("string").alias("key"), "question")
     texts = views.documents(spark, sf_dir).select(
@@ -191,8 +191,8 @@ def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_all(_words(spark, sf_dir), views.corpus(spark, sf_dir).postings, "words")
+def q_fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fts_match(_words(spark, sf_dir), views.corpus(spark, sf_dir).postings, "words")
 
 
 @register
@@ -268,7 +268,7 @@ def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and corpus -------------------------------------------------------------
 
 @register
-def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.table(spark, sf_dir, "pages")
     marked = F.concat("url", F.lit(" ä*~+#%20/"), F.substring("html", 1, 40))
     return pages.select(
@@ -303,7 +303,7 @@ def incremental_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.table(spark, sf_dir, "pages")
     text = html_to_markdown(F.col("html"))
     return pages.select("page_id", F.length(text).alias("n_chars"), text.alias("markdown"))
@@ -317,7 +317,7 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def chunk_recursive_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.documents(spark, sf_dir)
     parents = chunk_recursive(docs, "text", out="full_text", index="parent_idx")
     children = chunk_recursive(
@@ -379,9 +379,9 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = views.corpus(spark, sf_dir)
-    return count_corpus(corpus.parents, corpus.chunks)
+    return corpus_stats(corpus.parents, corpus.chunks)
 
 
 # --- conversations --------------------------------------------------------------------
@@ -460,19 +460,19 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @register
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     docs = views.titled(_stream(spark, sf_dir, "documents")).select("title", "text")
-    start_ingest(docs, f"{path}/corpus", f"{path}/checkpoint", method="fixed").awaitTermination()
+    stream_ingest(docs, f"{path}/corpus", f"{path}/checkpoint", method="fixed").awaitTermination()
     return _stored_counts(spark, f"{path}/corpus")
 
 
 @register
-def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     asked = views.sentences(_stream(spark, sf_dir, "benchmark"), "item_id", "text")
     answer = partial(search.hybrid_search, corpus=views.corpus(spark, sf_dir))
-    start_questions(asked, answer, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
+    stream_questions(asked, answer, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/answers").select(
         "qid", "parent_id", "fused_rank", F.round("final_score", 6).alias("final_score"))
 

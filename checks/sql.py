@@ -342,12 +342,12 @@ def queries() -> dict[str, str]:
     sims = ASKED + EMBEDDED + [similar(0.60), ("vec", ranked("sim", 25))]
     q["vector_best_parent"] = query(*sims, final="""SELECT qid, parent_id, round(max(score), 6) AS final_score
 FROM vec GROUP BY ALL""")
-    q["hashed_embeddings"] = query(
+    q["hashed_embedding"] = query(
         DOCS, *embedding("dv", "docs", "title", "text"),
         final="""SELECT title, array_to_string([round(x::DOUBLE * 10000)::INT FOR x IN coalesce(v, [0 FOR i IN range(64)])], ',')
 AS vector FROM docs LEFT JOIN dv USING (title)""")
 
-    q["search_term_lists"] = query(*TERMS, DOCS, final=f"""
+    q["search_terms"] = query(*TERMS, DOCS, final=f"""
 SELECT qid::VARCHAR AS key, array_to_string(terms, ' ') AS terms FROM terms
 UNION ALL SELECT title, array_to_string({terms_of('text')}, ' ') FROM docs, stops""")
     q["text_any_match"] = query(*TERMS, *KEYWORD, final="""SELECT qid, count(*) AS parents,
@@ -386,7 +386,7 @@ FROM context""")
     q["reference_list"] = query(*top, ("refs", reference_text("pdocs")), final="""SELECT qid,
   coalesce(refs, '') AS reference_text FROM questions LEFT JOIN refs USING (qid)""")
 
-    q["safe_urls"] = f"""SELECT page_id, {encoded('url')} AS url,
+    q["safe_url"] = f"""SELECT page_id, {encoded('url')} AS url,
   {encoded("concat(url, ' ä*~+#%20/', substring(html, 1, 40))")} AS marked_url FROM pages"""
     names = "['.pdf', '.HTML', '.txt', '.exe', '.Md', '', '.tar.gz', '.JPG', '/.pdf', '.docx.bak']"
     q["source_filter"] = query(
@@ -399,7 +399,7 @@ WHERE ext IN ('.pdf', '.docx', '.pptx', '.xlsx', '.html', '.asc', '.md', '.txt',
     q["incremental_new"] = """SELECT concat(source, '_', lang, '_', doc_id, '.txt') AS title, doc_id
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
     md = markdown("html")
-    q["html_markdown"] = f"SELECT page_id, length(markdown) AS n_chars, markdown FROM (SELECT page_id, {md} AS markdown FROM pages)"
+    q["html_to_markdown"] = f"SELECT page_id, length(markdown) AS n_chars, markdown FROM (SELECT page_id, {md} AS markdown FROM pages)"
     q["chunk_fixed"] = query(*CHUNKS, final="""SELECT id, parent_id, child_idx, md5(content) AS content_md5 FROM chunks""")
     q["lead3_summary"] = query(DOCS, final="SELECT title, summary FROM docs")
     q["corpus_build"] = q["stream_ingest"] = query(*CHUNKS, final=STORED)
