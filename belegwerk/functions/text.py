@@ -43,6 +43,16 @@ def trim_blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+@functools.lru_cache(maxsize=8)
+def _literals_of(words: tuple[str, ...], context: SparkContext) -> list[Column]:
+    return [F.lit(w) for w in words]
+
+
+def _literals(words: tuple[str, ...]) -> list[Column]:
+    """Words as columns, made once: they outnumber all other calls to the JVM."""
+    return _literals_of(words, SparkContext._active_spark_context)
+
+
 def search_terms(question: Column, stop_words: tuple[str, ...] | None = None) -> Column:
     """Lower-cased words without edge punctuation, stop words and single letters.
 
@@ -53,8 +63,8 @@ def search_terms(question: Column, stop_words: tuple[str, ...] | None = None) ->
         F.array_remove(F.split(F.lower(question), BLANKS), ""),
         lambda w: F.btrim(w, F.lit(TERM_EDGE_CHARS)),
     )
-    stop_array = F.expr(f"array({sql_words(stop)})") if stop else F.expr("array('')")
-    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop_array, w))
+    known = _literals(stop)
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*known))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lower(question)))
 
 

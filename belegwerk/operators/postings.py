@@ -80,9 +80,15 @@ def match_sets(
         on = ["bucket", "lexeme"]
     needed = postings.join(F.broadcast(words), on, "left_semi").select("lexeme", key, "positions")
     df = dict(needed.groupBy("lexeme").count().toArrow().to_pandas().itertuples(index=False))
-    rarest = F.broadcast(sets.rarest_frame(df))
+    single, several = sets.rarest_frames(df)
+    # A lone lexeme is its own cover at every place: weight times frequency.
+    alone = needed.join(F.broadcast(single), "lexeme").select(
+        "set_id", key, F.round(F.lit(COVER_WEIGHT) * F.size("positions"), 9).alias("score")
+    )
+    if k is not None:
+        alone = top_k(alone, k, ["set_id"], [F.desc("score"), F.asc(key)]).drop("rank")
     members = F.broadcast(sets.member_frame())
-    candidates = needed.select("lexeme", key).join(rarest, "lexeme").select("set_id", key)
+    candidates = needed.select("lexeme", key).join(F.broadcast(several), "lexeme").select("set_id", key)
     found = candidates.join(members, "set_id").join(needed, ["lexeme", key])
     hits = (
         found.groupBy("set_id", key)
@@ -92,7 +98,7 @@ def match_sets(
     )
     if k is not None:
         hits = top_k(hits, k, ["set_id"], [F.desc("score"), F.asc(key)]).drop("rank")
-    return hits.join(F.broadcast(sets.asker_frame()), "set_id").select(
+    return hits.unionByName(alone).join(F.broadcast(sets.asker_frame()), "set_id").select(
         F.explode("qids").alias("qid"), key, "score"
     )
 

@@ -127,14 +127,18 @@ class LexemeSets:
             "lexeme": pa.array([r[2] for r in rows], pa.string()),
         }))
 
-    def rarest_frame(self, df: dict[str, int]) -> DataFrame:
-        """``(set_id, lexeme)``: the rarest lexeme of every set that can match."""
-        rows = [(i, min(s, key=lambda w: (df[w], w)))
+    def rarest_frames(self, df: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+        """``(set_id, lexeme)`` of the sets that can match: lone lexemes, rarest of several."""
+        rows = [(i, min(s, key=lambda w: (df[w], w)), len(s))
                 for i, s in enumerate(self.sets) if all(w in df for w in s)]
-        return self.spark.createDataFrame(pa.table({
-            "set_id": pa.array([r[0] for r in rows], pa.int32()),
-            "lexeme": pa.array([r[1] for r in rows], pa.string()),
-        }))
+
+        def frame(rows: list[tuple]) -> DataFrame:
+            return self.spark.createDataFrame(pa.table({
+                "set_id": pa.array([r[0] for r in rows], pa.int32()),
+                "lexeme": pa.array([r[1] for r in rows], pa.string()),
+            }))
+
+        return frame([r for r in rows if r[2] == 1]), frame([r for r in rows if r[2] > 1])
 
     def asker_frame(self) -> DataFrame:
         """``(set_id, qids)``."""

@@ -16,7 +16,7 @@ from belegwerk.fixed_values import (
 from belegwerk.functions.urls import safe_url
 from belegwerk.operators.postings import POSTING_BUCKETS, match_sets
 from belegwerk.operators.question_block import LexemeSets, QuestionBlock
-from belegwerk.operators.substring import term_hits
+from belegwerk.operators.substring import first_per_term, term_hits
 from belegwerk.operators.vector_join import block_hits
 from belegwerk.session import top_k
 
@@ -57,10 +57,10 @@ def keyword_branch(
     asked = block.asker_frame()
     first = chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))
     hits = term_hits(parents, "full_text", ["id"], words)
-    per_term = top_k(
+    per_term = first_per_term(
         hits.join(first, hits["id"] == first["parent_id"])
-        .select("parent_id", "first_chunk", F.explode("term_ids").alias("term_id")),
-        k, ["term_id"], [F.asc("first_chunk")],
+        .select("parent_id", "first_chunk", "term_ids"),
+        k, ["first_chunk", "parent_id"],
     )
     chosen = (
         per_term.join(F.broadcast(asked), "term_id")
@@ -126,16 +126,17 @@ def document_title_branch(
     words, _ = block.askers
     asked = block.asker_frame()
     documents = parents.select("title", "source_url").distinct()
-    by_name = [F.asc("title"), F.asc("source_url")]
+    by_name = ["title", "source_url"]
     hits = term_hits(documents, "title", ["title", "source_url"], words)
-    per_term = hits.select("title", "source_url", F.explode("term_ids").alias("term_id"))
-    if k is not None:
-        per_term = top_k(per_term, k, ["term_id"], by_name)
+    if k is None:
+        per_term = hits.select(*by_name, F.explode("term_ids").alias("term_id"))
+    else:
+        per_term = first_per_term(hits, k, by_name)
     rows = per_term.join(F.broadcast(asked), "term_id").select(
         F.explode("qids").alias("qid"), "title", "source_url"
     ).distinct()
     if k is not None:
-        rows = top_k(rows, k, ["qid"], by_name).drop("rank")
+        rows = top_k(rows, k, ["qid"], [F.asc(c) for c in by_name]).drop("rank")
     return rows.withColumn("score", F.lit(float(TITLE_SCORE)))
 
 

@@ -9,12 +9,13 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from belegwerk.operators.question_block import QuestionBlock
-from belegwerk.session import LIMITS, Limits, in_blocks
+from belegwerk.session import LIMITS, Limits, in_blocks, top_k
 
 ROWS_PER_BATCH = 1 << 16
 
@@ -116,6 +117,63 @@ def term_hits(df: DataFrame, text: str, keep: list[str], words: list[str]) -> Da
     return hits.filter(F.size("term_ids") > 0)
 
 
+class _FirstPerTerm:
+    """Keeps, per task, the ``k`` rows of every term that come first in an order.
+
+    Rows carry ``term_ids`` and order columns; a row leaves the task once per
+    term it is among the first for. Arrow batches are reduced as they come, so a
+    task holds at most ``k`` rows per term however often a term occurs.
+    """
+
+    def __init__(self, k: int, order: list[str]):
+        self.k, self.order = k, order
+
+    def _reduce(self, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in self.order])
+        return rows.take(pa.array(self._kept(rows["term_id"].to_numpy())))
+
+    def _kept(self, term: np.ndarray) -> np.ndarray:
+        """Positions of the first ``k`` occurrences of every term."""
+        by_term = np.argsort(term, kind="stable")
+        ordered = term[by_term]
+        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        place = np.arange(len(ordered)) - np.repeat(start, np.diff(np.r_[start, len(ordered)]))
+        return by_term[place < self.k]
+
+    def _first(self, batch: pa.RecordBatch) -> pa.Table:
+        batch = batch.sort_by([(c, "ascending") for c in self.order])
+        lists = batch.column("term_ids")
+        term = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        kept = self._kept(term)
+        out = pa.Table.from_batches([batch.drop_columns(["term_ids"]).take(pa.array(row[kept]))])
+        return out.append_column("term_id", pa.array(term[kept], pa.int32()))
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = self._first(batch)
+                best = rows if best is None else self._reduce(pa.concat_tables([best, rows]))
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+
+def first_per_term(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """The first ``k`` rows of every term: the columns of ``hits`` with ``term_id``.
+
+    ``hits`` has ``term_ids`` and otherwise only order columns. Tasks reduce to
+    ``k`` rows per term before the shuffle, so a term that a third of all texts
+    hold costs no more than any other.
+    """
+    schema = T.StructType(
+        [f for f in hits.schema.fields if f.name != "term_ids"]
+        + [T.StructField("term_id", T.IntegerType())]
+    )
+    local = hits.mapInArrow(_FirstPerTerm(k, order).__call__, schema)
+    return top_k(local, k, ["term_id"], [F.asc(c) for c in order]).drop("rank")
+
+
 def match_terms(
     questions: DataFrame, df: DataFrame, text: str, keep: list[str],
     terms: str = "terms", limits: Limits = LIMITS,
