@@ -1,12 +1,15 @@
-"""Tokens, search terms and German lexemes as column expressions (JVM only)."""
+"""Tokens and search terms as column expressions; German lexemes."""
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zipfile
+from collections.abc import Iterator
 from glob import glob
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,51 +77,79 @@ def tokens(text: Column) -> Column:
 
 
 VOWELS = "aeiouyäöü"
-_REGION = f"^[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]"
-
-# The published German Snowball rules as one column per step: w is the word so
-# far, r1 and r2 the starts of its regions, e the ending under test, b the rest.
-_STEM_STEPS = (
-    ("w", f"regexp_replace(replace({{token}}, 'ß', 'ss'), '([{VOWELS}])(u|y)([{VOWELS}])', '$1#$2$3')"),
-    ("w", "replace(replace(w, '#u', 'U'), '#y', 'Y')"),
-    ("p1", f"if(length(w) >= 3, nullif(length(regexp_extract(w, '{_REGION}', 0)), 0), null)"),
-    ("r1", "coalesce(if(p1 is null, null, greatest(p1, 3)), length(w))"),
-    ("r2", f"coalesce(p1 + nullif(length(regexp_extract(substring(w, p1 + 1), '{_REGION}', 0)), 0), length(w))"),
-    ("e", "regexp_extract(w, '(ern|em|er|en|es|e|s)$', 1)"),
-    ("b", "left(w, length(w) - length(e))"),
-    ("w", """case when e = '' or length(b) < r1 then w
-                  when e in ('em', 'ern', 'er') then b
-                  when e in ('e', 'en', 'es') then regexp_replace(b, 'niss$', 'nis')
-                  when b rlike '[bdfghklmnrt]$' then b else w end"""),
-    ("e", "regexp_extract(w, '(est|st|en|er)$', 1)"),
-    ("b", "left(w, length(w) - length(e))"),
-    ("w", """case when e = '' or length(b) < r1 then w
-                  when e <> 'st' or b rlike '...[bdfghklmnt]$' then b else w end"""),
-    ("e", "regexp_extract(w, '(isch|lich|heit|keit|end|ung|ig|ik)$', 1)"),
-    ("b", "left(w, length(w) - length(e))"),
-    ("w", """case when e = '' or length(b) < r2 then w
-                  when e in ('end', 'ung')
-                    then if(b rlike '[^e]ig$' and length(b) - 2 >= r2, left(b, length(b) - 2), b)
-                  when e in ('ig', 'ik', 'isch') then if(endswith(b, 'e'), w, b)
-                  when e in ('lich', 'heit')
-                    then if(b rlike '(er|en)$' and length(b) - 2 >= r1, left(b, length(b) - 2), b)
-                  when endswith(b, 'lich') and length(b) - 4 >= r2 then left(b, length(b) - 4)
-                  when endswith(b, 'ig') and length(b) - 2 >= r2 then left(b, length(b) - 2)
-                  else b end"""),
-)
-
-
-def stem_german(df: DataFrame, token: str, out: str) -> DataFrame:
-    """Add the German stem of a token column.
-
-    Staged projections keep the work inside generated code: no Python and no
-    join with a vocabulary table, whatever share of the tokens one word has.
+_REGION = re.compile(f"[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]")
+_HIDDEN = re.compile(f"([{VOWELS}])([uy])([{VOWELS}])")
+_STEP_1 = re.compile("(ern|em|er|en|es|e|(?<=[bdfghklmnrt])s)$")
+_STEP_1_ANY = re.compile("(ern|em|er|en|es|e|s)$")
+_STEP_2 = re.compile("(est|en|er|(?<=...[bdfghklmnt])st)$")
+_STEP_2_ANY = re.compile("(est|st|en|er)$")
+_STEP_3 = re.compile("(isch|lich|heit|keit|end|ung|ig|ik)$")
+_BEFORE = {
+    "end": re.compile("(?<!e)ig$"), "ung": re.compile("(?<!e)ig$"),
+    "lich": re.compile("(er|en)$"), "heit": re.compile("(er|en)$"), "keit": re.compile("(lich|ig)$"),
+}
+_PLAIN = str.maketrans("UYäöü", "uyaou")
+
+
+def german_stem(word: str) -> str:
+    """Stem of a lower-case word by the published German Snowball rules."""
+    w = _HIDDEN.sub(lambda m: m[1] + m[2].upper() + m[3], word.replace("ß", "ss"))
+    first = _REGION.match(w) if len(w) >= 3 else None
+    second = _REGION.match(w, first.end()) if first else None
+    r1 = max(first.end(), 3) if first else len(w)
+    r2 = second.end() if second else len(w)
+
+    # The longest ending decides, even where it then may not be cut.
+    for any_ending, allowed in ((_STEP_1_ANY, _STEP_1), (_STEP_2_ANY, _STEP_2)):
+        end = any_ending.search(w)
+        cut = allowed.search(w)
+        if end and cut and end.start() == cut.start() >= r1:
+            w = w[:cut.start()]
+            if allowed is _STEP_1 and end[0] in ("e", "en", "es") and w.endswith("niss"):
+                w = w[:-1]
+    end = _STEP_3.search(w)
+    if end and end.start() >= r2:
+        base = w[:end.start()]
+        if end[0] not in ("ig", "ik", "isch"):
+            w = base
+            before = _BEFORE[end[0]].search(base)
+            limit = r1 if end[0] in ("lich", "heit") else r2
+            if before and before.start() >= limit:
+                w = base[:before.start()]
+        elif not base.endswith("e"):
+            w = base
+    return w.translate(_PLAIN)
+
+
+class Stemmer:
+    """Stems the ``lexeme`` column of Arrow batches, each distinct word once.
+
+    Words repeat so much that looking them up in a per-task memory is far
+    cheaper than a rule chain per token, and no vocabulary table is joined.
     """
-    keep = [F.col(c) for c in df.columns if c != out]
-    df = df.select("*", F.col(token).alias("token"))
-    for name, rule in _STEM_STEPS:
-        df = df.withColumn(name, F.expr(rule.format(token="token")))
-    return df.select(*keep, F.translate("w", "UYäöü", "uyaou").alias(out))
+
+    MEMORY = 1 << 20
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+
+    def stem(self, words: pa.Array) -> pa.Array:
+        coded = words.dictionary_encode()
+        if len(self.known) > self.MEMORY:
+            self.known.clear()
+        stems = []
+        for word in coded.dictionary.to_pylist():
+            if word not in self.known:
+                self.known[word] = german_stem(word)
+            stems.append(self.known[word])
+        return pa.array(stems, pa.string()).take(coded.indices)
+
+
+def stem_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stemmer = Stemmer()
+    for batch in batches:
+        at = batch.schema.get_field_index("lexeme")
+        yield batch.set_column(at, "lexeme", stemmer.stem(batch.column(at)))
 
 
 def lexemes(
@@ -138,6 +169,5 @@ def lexemes(
     if config != "simple":
         stop = german_stop_words() if stop_words is None else stop_words
         out = out.filter(f"lexeme not in ({sql_words(stop)})") if stop else out
-    if config == "german":
-        out = stem_german(out, "lexeme", "lexeme")
-    return out.select(*keep, "lexeme", "pos")
+    out = out.select(*keep, "lexeme", "pos")
+    return out.mapInArrow(stem_batches, out.schema) if config == "german" else out

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from belegwerk.fixed_values import NO_SUMMARY, SUMMARY_INPUT_CHARS
 from belegwerk.functions.text import search_terms, trim_blanks
+from belegwerk.functions.vectors import let
 
 Model = Callable[..., Column]
 
@@ -77,7 +78,9 @@ def summarise(prompt_or_text: Column, model: Model, fallback: str = NO_SUMMARY)
 
 def term_share(question: Column, passage: Column) -> Column:
     """Stand-in reranker: share of distinct search terms found in the passage."""
+    def share(pair: Column) -> Column:
+        found = F.filter(pair["terms"], lambda t: F.contains(pair["text"], t))
+        return F.size(found) / F.size(pair["terms"])
+
     terms = F.array_distinct(search_terms(question))
-    text = F.lower(passage)
-    found = F.filter(terms, lambda t: F.contains(text, t))
-    return F.size(found) / F.size(terms)
+    return let(F.struct(terms.alias("terms"), F.lower(passage).alias("text")), share)

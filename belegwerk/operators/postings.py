@@ -2,29 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from belegwerk.fixed_values import COVER_WEIGHT
-from belegwerk.functions.text import lexemes
+from belegwerk.functions.text import lexemes, stem_batches
 from belegwerk.operators.question_block import LexemeSets
 from belegwerk.session import LIMITS, Limits, in_blocks, top_k
 
 POSTING_BUCKETS = 64
 
 
+class _GroupAdjacent:
+    """Gathers the positions of every lexeme of a text from its adjacent rows."""
+
+    def __init__(self, key: str, stemmed: bool):
+        self.key, self.stemmed = key, stemmed
+
+    def _group(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        grouped = rows.group_by(["lexeme", self.key], use_threads=False).aggregate([("pos", "list")])
+        yield from grouped.rename_columns(["lexeme", self.key, "positions"]).combine_chunks().to_batches()
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in stem_batches(batches) if self.stemmed else batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            # The last text may go on in the next batch: its rows wait.
+            last = pc.equal(rows[self.key], rows[self.key][-1])
+            whole = rows.num_rows - pc.sum(last).as_py()
+            if whole:
+                yield from self._group(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None:
+            yield from self._group(held)
+
+
 def build_postings(
     df: DataFrame, text: str = "content", key: str = "id", config: str = "german"
 ) -> DataFrame:
     """``(lexeme, <key>, positions)`` with sorted 1-based token positions.
 
-    A filter on ``lexeme`` applied to the result moves below the aggregate, so
-    an unstored index is built only for the lexemes that a query needs.
+    ``key`` is unique. All tokens of a text leave the same row, so they are
+    gathered where they are, in Arrow batches; nothing is shuffled.
     """
-    return lexemes(df, text, [key], config).groupBy("lexeme", key).agg(
-        F.sort_array(F.collect_list("pos")).alias("positions")
-    )
+    schema = T.StructType([
+        T.StructField("lexeme", T.StringType()), df.schema[key],
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+    ])
+    german = config == "german"
+    rows = lexemes(df, text, [key], "stopped" if german else config)
+    return rows.mapInArrow(_GroupAdjacent(key, german).__call__, schema)
 
 
 def lexeme_bucket(lexeme: Column, buckets: int = POSTING_BUCKETS) -> Column:

@@ -58,8 +58,12 @@ class _Scorer:
                 pieces = [p for p in pieces if p[1] is not None]
             for at, wanted in pieces:
                 q = matrix if wanted is None else matrix[wanted]
-                scores = np.round(rows[at] @ q.T, SCORE_DIGITS)
-                i, j = np.nonzero((scores > self.threshold) & good[at][:, None])
+                products = rows[at] @ q.T
+                # Round only what can pass; the threshold is tested after rounding.
+                i, j = np.nonzero(products > self.threshold - 1e-6)
+                scores = np.round(products[i, j], SCORE_DIGITS)
+                passed = (scores > self.threshold) & good[at][i]
+                i, j, scores = i[passed], j[passed], scores[passed]
                 if not len(i):
                     continue
                 row = pa.array(at[i])
@@ -67,7 +71,7 @@ class _Scorer:
                     "q": (j if wanted is None else wanted[j]).astype(np.int32),
                     "chunk_id": part.column("id").take(row),
                     "parent_id": part.column("parent_id").take(row),
-                    "score": scores[i, j],
+                    "score": scores,
                 })
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

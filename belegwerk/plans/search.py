@@ -16,12 +16,12 @@ from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.models import Model, term_share
 from belegwerk.operators.postings import POSTING_BUCKETS, build_postings
 from belegwerk.operators.question_block import LexemeSets, QuestionBlock, prepare_questions
-from belegwerk.session import LIMITS, Limits, in_blocks
+from belegwerk.session import LIMITS, Limits, in_blocks, materialise
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tables of one corpus. Without stored postings they are derived per query."""
+    """Tables of one corpus. Without stored postings a search builds its own."""
 
     parents: DataFrame
     chunks: DataFrame
@@ -32,7 +32,8 @@ class Corpus:
     def keyword_index(self) -> DataFrame:
         if self.postings is not None:
             return self.postings
-        return build_postings(self.chunks, "content", "id", self.config)
+        # A search reads the index several times: write it rather than repeat it.
+        return materialise(build_postings(self.chunks, "content", "id", self.config))
 
 
 @dataclass(frozen=True)
