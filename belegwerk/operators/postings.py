@@ -110,9 +110,11 @@ def match_sets(
     words = spark.createDataFrame(pa.table({"lexeme": pa.array(vocabulary, pa.string())}))
     on = ["lexeme"]
     if "bucket" in postings.columns:
-        # Stored postings are partitioned by this hash: only the directories of
-        # the asked lexemes are read (dynamic partition pruning).
+        # Stored postings are partitioned by this hash: name the directories of
+        # the asked lexemes, so that only those are listed and read.
         words = words.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+        asked = [str(r[0]) for r in words.select("bucket").distinct().collect()]
+        postings = postings.filter(f"bucket in ({', '.join(asked)})" if asked else "false")
         on = ["bucket", "lexeme"]
     needed = postings.join(F.broadcast(words), on, "left_semi").select("lexeme", key, "positions")
     df = dict(needed.groupBy("lexeme").count().toArrow().to_pandas().itertuples(index=False))
