@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +49,20 @@ def register(fn: Query) -> Query:
     return fn
 
 
+def _wide(query: Query) -> Query:
+    """Counts and ranks as longs, the type they have in the SQL."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.select(*[
+            F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes
+        ])
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _wide(query) for name, query in _QUERIES.items()}
 
 
 def scored(df: DataFrame, *columns: str) -> DataFrame:
@@ -471,7 +483,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     asked = views.sentences(_stream(spark, sf_dir, "benchmark"), "item_id", "text")
-    answer = partial(search.hybrid_search, corpus=views.corpus(spark, sf_dir))
+    answer = functools.partial(search.hybrid_search, corpus=views.corpus(spark, sf_dir))
     stream_questions(asked, answer, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/answers").select(
         "qid", "parent_id", "fused_rank", F.round("final_score", 6).alias("final_score"))
