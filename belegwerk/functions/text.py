@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import functools
-import os
 import re
-import zipfile
 from collections.abc import Iterator
-from glob import glob
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -15,25 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from belegwerk.fixed_values import TERM_EDGE_CHARS
+from belegwerk.functions.stop_words import GERMAN
 
 # Unicode white space, plus the four ASCII separators that count as blanks too.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-@functools.lru_cache(maxsize=None)
 def german_stop_words() -> tuple[str, ...]:
-    """The German stop list that ships with Spark ML."""
-    if SparkContext._active_spark_context is not None:
-        from pyspark.ml.feature import StopWordsRemover
-
-        return tuple(StopWordsRemover.loadDefaultStopWords("german"))
-    import pyspark
-
-    jar = glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/german.txt").decode("utf-8")
-    return tuple(w for w in words.split("\n") if w)
+    """The German stop list, the same with and without a session."""
+    return GERMAN
 
 
 def sql_words(words: tuple[str, ...]) -> str:
