@@ -50,12 +50,14 @@ def strings(body: np.ndarray, at: np.ndarray, kind: pa.DataType = pa.binary()) -
     )
 
 
-def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes that are no ASCII blank, as starts, ends and their text's row.
+def words(
+    body: np.ndarray, at: np.ndarray, members: np.ndarray = ~BLANKS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of member bytes (by default no ASCII blank): starts, ends, their text's row.
 
     Texts are neighbours in ``body``, so a run also ends where a text ends.
     """
-    inside = ~BLANKS[body]
+    inside = members[body]
     edge = np.zeros(len(body) + 1, bool)
     edge[at] = True
     before = np.zeros(len(body), bool)
