@@ -25,11 +25,15 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class RunHash:
-    """Hash of any run ``body[start:end]`` from prefix sums of one polynomial."""
+    """Hash of any run ``body[start:end]`` from prefix sums of one polynomial.
+
+    ``body`` holds bytes or code points.
+    """
 
     def __init__(self, body: np.ndarray):
         self.sums = np.zeros(len(body) + 1, np.uint64)
-        np.cumsum(_SYMBOL[body] * powers(BASE, len(body))[:len(body)], out=self.sums[1:])
+        symbols = _SYMBOL[body] if body.dtype == np.uint8 else mix(body + np.uint64(BASE))
+        np.cumsum(symbols * powers(BASE, len(body))[:len(body)], out=self.sums[1:])
         self.shift = powers(INVERSE, len(body))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
