@@ -30,7 +30,9 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0]:at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(
+    texts: pa.Array, limit: int = SLICE_BYTES, rows: int = 4096
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``limit`` bytes: first row, end row, bytes, offsets.
 
     A text is never cut; one longer than the limit is a run of its own.
@@ -38,7 +40,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     body, at = flat(texts)
     lo = 0
     while lo < len(at) - 1:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1), lo + rows)
         yield lo, hi, body[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
         lo = hi
 

@@ -18,10 +18,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """``base ** 0`` to ``base ** n`` modulo 2**64; kept for the next call."""
+    if len(_POWERS.get(base, ())) <= n:
+        out = np.full(n + 1 + n // 4, base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n + 1]
 
 
 class RunHash:
@@ -39,3 +45,10 @@ class RunHash:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.shift[starts]
         return mix(raw + np.asarray(ends - starts, np.uint64) * np.uint64(BASE))
+
+    def every(self, size: int) -> np.ndarray:
+        """Hash of each run of ``size`` neighbours, in order."""
+        raw = self.sums[size:] - self.sums[:-size]
+        raw *= self.shift[:len(raw)]
+        raw += np.uint64(size * BASE & (1 << 64) - 1)
+        return mix(raw)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +60,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, offset: float |
         if before - now < 1e-9:
             break
     return w
+
+
+def with_text_column(
+    docs: DataFrame, name: str, kind: str, work: Callable[[pa.Array], pa.Array], text: str = "text"
+) -> DataFrame:
+    """``docs`` with one more column that ``work`` makes of each batch of texts."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    at = docs.columns.index(text)
+    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">") + f",{name}:{kind}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, work(batch.column(at))], [*batch.schema.names, name]
+            )
+
+    return docs.mapInArrow(run, f"struct<{schema}>")

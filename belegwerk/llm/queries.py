@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm import bpe_text, chat, fingerprints, packing, quality, toxicity, vectors
+from belegwerk.llm import bpe_text, chat, fingerprints, jaccard, packing, quality, repeats, toxicity, vectors
 from belegwerk.session import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,10 +41,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(materialise(narrow))
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_text.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -55,8 +67,8 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op1_near_vectors, op2_toxic_spans, op3_chat_format, op4_best_fit_packing, op7_byte_bpe,
-        op9_phrase_fingerprints, op10_quality_ranking,
+        op1_near_vectors, op2_toxic_spans, op3_chat_format, op4_best_fit_packing, op5_shingle_join, op7_byte_bpe,
+        op8_repeated_strings, op9_phrase_fingerprints, op10_quality_ranking,
     )
     return {f.__name__: f for f in named}
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from belegwerk.llm.arrow_text import LOWER, slices, words
 from belegwerk.llm.hashing import RunHash, mix
-from belegwerk.llm.labelled import held_out, logistic, sigmoid, training_sample
+from belegwerk.llm.labelled import held_out, logistic, training_sample, with_text_column
 from belegwerk.session import materialise
 
 BITS = 18
@@ -153,16 +153,6 @@ def train(features: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int
     return model
 
 
-@dataclass(frozen=True)
-class Detector:
-    """The rule from a document's marginals to its score."""
-
-    rule: np.ndarray  # constant, highest log odds, log of the expected number of toxic words
-
-    def score(self, highest: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return sigmoid(aggregate(highest, expected) @ self.rule)
-
-
 def aggregate(highest: np.ndarray, expected: np.ndarray) -> np.ndarray:
     p = np.clip(highest, 1e-5, 1 - 1e-5)
     return np.stack([np.ones(len(p)), np.log(p / (1 - p)), np.log1p(expected)], 1)
@@ -245,76 +235,100 @@ def sentences(sample: DataFrame, known: np.ndarray, most: int = 40_000, longest:
     return np.frombuffer(data, np.int32).reshape(-1, width), flat, first.astype(np.int64)
 
 
-def tag(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """``(key, highest, expected, spans)`` of every whole text.
+TAGS = "struct<highest:double,expected:double,spans:array<struct<begin:long,end:long>>>"
+
+
+def tag(docs: DataFrame, model: Field, name: str = "tags", text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` with ``highest``, ``expected`` and ``spans`` of every whole text.
 
     ``spans`` are the offending stretches as code point offsets: neighbouring
     words with a marginal of at least ``least``. ``highest`` is the largest
     marginal, ``expected`` the sum of those of at least ``least``.
     """
-    kind = docs.schema[key].dataType.simpleString()
     packed = model.weights.astype(np.float32)
+    own = Field(packed, model.moves, model.start)
+
+    def one(body: np.ndarray, at: np.ndarray) -> pa.StructArray:
+        t, n = tokenize(body, at), len(at) - 1
+        p = own.marginals(t.features, Chains(t.first, len(t.row)))
+        highest = np.zeros(n)
+        np.maximum.at(highest, t.row, p)
+        hit = np.flatnonzero(p >= least)
+        expected = np.bincount(t.row[hit], p[hit], n)
+        points = np.zeros(len(body) + 1, np.int64)
+        np.cumsum((body & 0xC0) != 0x80, out=points[1:])
+        opens = np.ones(len(hit), bool)
+        opens[1:] = (hit[1:] != hit[:-1] + 1) | (t.row[hit[1:]] != t.row[hit[:-1]])
+        from_ = np.flatnonzero(opens)
+        to = np.append(from_, len(hit))[1:] - 1
+        row = t.row[hit[from_]]
+        begin = points[t.starts[hit[from_]]] - points[at[row]]
+        end = points[t.ends[hit[to]]] - points[at[row]]
+        bounds = np.searchsorted(row, np.arange(n + 1))
+        spans = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["begin", "end"])
+        return pa.StructArray.from_arrays(
+            [pa.array(highest), pa.array(expected, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans)],
+            ["highest", "expected", "spans"],
+        )
+
+    def work(texts: pa.Array) -> pa.Array:
+        parts = [one(body, at) for _, _, body, at in slices(texts)]
+        return pa.concat_arrays(parts) if parts else one(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+
+    return with_text_column(docs, name, TAGS, work, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Field(packed, model.moves, model.start)
-        for batch in batches:
-            for lo, hi, body, at in slices(batch.column(1)):
-                t, n = tokenize(body, at), hi - lo
-                p = own.marginals(t.features, Chains(t.first, len(t.row)))
-                highest = np.zeros(n)
-                np.maximum.at(highest, t.row, p)
-                hit = np.flatnonzero(p >= least)
-                expected = np.bincount(t.row[hit], p[hit], n)
-                points = np.zeros(len(body) + 1, np.int64)
-                np.cumsum((body & 0xC0) != 0x80, out=points[1:])
-                opens = np.ones(len(hit), bool)
-                opens[1:] = (hit[1:] != hit[:-1] + 1) | (t.row[hit[1:]] != t.row[hit[:-1]])
-                from_ = np.flatnonzero(opens)
-                to = np.append(from_, len(hit))[1:] - 1
-                row = t.row[hit[from_]]
-                begin = points[t.starts[hit[from_]]] - points[at[row]]
-                end = points[t.ends[hit[to]]] - points[at[row]]
-                bounds = np.searchsorted(row, np.arange(n + 1))
-                spans = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["begin", "end"])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, n), pa.array(highest), pa.array(expected),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans),
-                ], ["key", "highest", "expected", "spans"])
 
-    schema = f"key {kind}, highest double, expected double, spans array<struct<begin:long,end:long>>"
-    return docs.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+@dataclass(frozen=True)
+class Detector:
+    """A trained field and the rule from a document's marginals to its score."""
 
+    field: Field
+    rule: tuple[float, float, float]
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 6000) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, spans)`` of every document.
+    def score(self, docs: DataFrame, name: str = "_toxic") -> DataFrame:
+        """``docs`` with a struct of the score and the spans of every whole text.
+
+        The score is the logistic function of the highest marginal's log odds and
+        the log of the expected number of toxic words.
+        """
+        constant, by_odds, by_count = self.rule
+        p = F.least(F.greatest(F.col("_tags.highest"), F.lit(1e-5)), F.lit(1 - 1e-5))
+        z = constant + by_odds * F.log(p / (1 - p)) + by_count * F.log1p("_tags.expected")
+        return tag(docs, self.field, "_tags").withColumn(
+            name, F.struct((1 / (1 + F.exp(-z))).alias("score"), F.col("_tags.spans").alias("spans"))
+        ).drop("_tags")
 
-    Learned from at most ``per_class`` learnable documents of each class and
-    40,000 of their sentences; the rule from marginals to scores from the same rows.
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Detector:
+    """Train on at most ``per_class`` learnable documents of each class.
+
+    The field uses 40,000 of their sentences, the rule their marginals.
     """
     chosen = training_sample(labels, "toxic", per_class)
-    sample = materialise(docs.join(chosen.hint("broadcast"), "doc_id").select("doc_id", "text", "label"))
+    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     model = train(*sentences(sample, telling(sample)))
-    tagged = materialise(tag(docs, model))
-    seen = tagged.join(chosen.hint("broadcast"), "doc_id").select("doc_id", "label", "highest", "expected").toPandas()
+    seen = tag(sample, model, "t").select("doc_id", "label", "t.highest", "t.expected").toPandas()
     seen = seen.drop_duplicates("doc_id").sort_values("doc_id")
     y = seen["label"].to_numpy(float)
-    if len(np.unique(y)) == 2:
-        share = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
-        x = aggregate(seen["highest"].to_numpy(), seen["expected"].to_numpy())
-        rule = logistic(x, y, 1e-4, weight=weight)
-    else:
-        rule = np.array([-6.0, 1.0, 0.0])
-    detector = Detector(rule)
+    if len(np.unique(y)) < 2:
+        return Detector(model, (-6.0, 1.0, 0.0))
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    share = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
+    x = aggregate(seen["highest"].to_numpy(), seen["expected"].to_numpy())
+    return Detector(model, tuple(logistic(x, y, 1e-4, weight=weight).tolist()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = detector.score(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), batch.column(3)], ["doc_id", "score", "spans"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = tagged.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<begin:long,end:long>>")
-    return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), "spans",
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 6000) -> DataFrame:
+    """``(doc_id, held_out, score, predicted, spans)`` of every document."""
+    docs = docs.select("doc_id", "text")
+    return learn(docs, labels, per_class).score(docs).select(
+        "doc_id", held_out("doc_id").alias("held_out"), F.col("_toxic.score").alias("score"),
+        (F.col("_toxic.score") >= threshold).cast("int").alias("predicted"), F.col("_toxic.spans").alias("spans"),
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 6000) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, unchanged."""
+    scored = learn(docs, labels, per_class).score(docs)
+    return scored.filter(F.col("_toxic.score") < threshold).drop("_toxic")

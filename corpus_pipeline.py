@@ -1,5 +1,63 @@
+"""Training-data pipeline: each stage works on all that the one before has kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from belegwerk.llm import jaccard, packing, quality, repeats, toxicity
+from belegwerk.session import materialise
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.7."""
+    return quality.keep_good(docs, labels(spark, sf_dir))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below 0.3."""
+    return toxicity.keep_clean(docs, labels(spark, sf_dir))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that a document of a smaller id has."""
+    return repeats.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' token pieces in sequences of 2048 tokens."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path(VOCABULARY))
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(materialise(narrow))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("toxicity", keep_clean),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("suffix-array dedup", cut_repeats),
+    ("best-fit packing", pack),
+]
+
+#: Classifiers and tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        docs = materialise(docs) if n < len(STAGES) else docs
+    return docs
