@@ -41,6 +41,7 @@ from belegwerk.session import materialise
 SEVERAL = (1 << 40) - 1  # in place of a text's hash: more than one text
 CELL_TEXTS = 30_000  # fragments that one suffix order holds
 PIECE = 1 << (PLACE_BITS - 1)
+SLICE = 1 << 20  # bytes hashed at once: every byte costs about a hundred of arrays
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,7 +50,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     A text longer than ``PIECE`` bytes is walked in pieces that overlap by a window
     less one byte, so every window is whole in one piece.
     """
-    for lo, hi, body, at in slices(texts):
+    for lo, hi, body, at in slices(texts, SLICE):
         if len(body) <= PIECE:
             yield body, at, np.arange(lo, hi), np.zeros(hi - lo, np.int64)
             continue
