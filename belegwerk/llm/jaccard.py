@@ -297,7 +297,9 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, c
     numbered = shared_rows(clusters.select("key", F.col("doc_id").alias("id")))
     placed = into_cells(numbered, cell)
     texts = docs.withColumnRenamed("doc_id", "id")
-    rows = clusters.select("key", F.col("doc_id").alias("id")).join(texts, "id").select("key", "id", "text")
+    # One plan at every size: clusters grow with the input, so they are never broadcast.
+    chosen = clusters.select("key", F.col("doc_id").alias("id")).hint("shuffle_merge")
+    rows = chosen.join(texts, "id").select("key", "id", "text")
     sets = rows.mapInArrow(whole, f"key {kind}, id {kind}, codes binary").dropDuplicates(["key", "id"])
     return materialise(by_group(placed.join(sets, ["key", "id"]), ["codes"], links))
 
