@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from belegwerk.llm.hashing import RunHash
+from belegwerk.llm.hashing import RunHash, mix
 
 WIDTH, GRAM = 50, 16
 REACH = WIDTH - GRAM + 1  # places of a run in a window
@@ -54,4 +54,5 @@ def fragments(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     stop[:-1] = new | ~inside
     ends = np.flatnonzero(stop)
     end = ends[np.searchsorted(ends, first, "right")]
-    return first, end, code[spot[first]], np.searchsorted(at, first, "right") - 1
+    # Anchors are least values: mixed again, they spread evenly over all numbers.
+    return first, end, mix(code[spot[first]] + np.uint64(1)), np.searchsorted(at, first, "right") - 1
