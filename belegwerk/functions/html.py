@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns (the subset Java and RE2 share) and their replacement,
 # applied in this order.
 HTML_RULES = (
     (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(script|style|head)\b[^>]*>.*?</(script|style|head)\s*>", ""),
+    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
+    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
+    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
     (r"\s+", " "),
     (r"(?i)<h1\b[^>]*>", "\n\n# "),
     (r"(?i)<h2\b[^>]*>", "\n\n## "),
@@ -24,10 +30,12 @@ HTML_RULES = (
     (r"[ \t]{2,}", " "),
     (r"^\s+|\s+$", ""),
 )
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
-)
+
+
+@F.pandas_udf(T.StringType())
+def decode_entities(text: pd.Series) -> pd.Series:
+    """Named and numeric character references once; hard spaces become blanks."""
+    return text.map(lambda t: unescape(t).replace("\xa0", " ") if t and "&" in t else t)
 
 
 def html_to_markdown(html: Column) -> Column:
@@ -35,6 +43,4 @@ def html_to_markdown(html: Column) -> Column:
     out = html
     for pattern, replacement in HTML_RULES:
         out = F.regexp_replace(out, pattern, replacement)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return decode_entities(out)

@@ -52,9 +52,11 @@ def fill_template(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
-def summary_prompt(text: Column, template: str = SUMMARY_TEMPLATE) -> Column:
-    """Prompt over the leading characters that the summary model may read."""
-    return fill_template(template, text=F.substring(text, 1, SUMMARY_INPUT_CHARS))
+def summary_prompt(
+    text: Column, template: str = SUMMARY_TEMPLATE, most: int | None = SUMMARY_INPUT_CHARS
+) -> Column:
+    """Prompt over the first ``most`` characters, what the model reads; None: all."""
+    return fill_template(template, text=text if most is None else F.substring(text, 1, most))
 
 
 def intent_prompt(question: Column, history: Column, template: str = INTENT_TEMPLATE) -> Column:

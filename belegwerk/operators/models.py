@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from belegwerk.fixed_values import NO_SUMMARY, SUMMARY_INPUT_CHARS
+from belegwerk.fixed_values import NO_SUMMARY
 from belegwerk.functions.text import search_terms, trim_blanks
 from belegwerk.functions.vectors import let
 
@@ -66,9 +66,8 @@ def text_model(
 
 def lead_summary(text: Column) -> Column:
     """Stand-in summary: the first three sentences, or the whole text."""
-    head = F.substring(text, 1, SUMMARY_INPUT_CHARS)
-    lead = trim_blanks(F.regexp_extract(head, r"^((?:[^.!?]*[.!?]+\s*){1,3})", 1))
-    return F.when(lead == "", trim_blanks(head)).otherwise(lead)
+    lead = trim_blanks(F.regexp_extract(text, r"^((?:[^.!?]*[.!?]+\s*){1,3})", 1))
+    return F.when(lead == "", trim_blanks(text)).otherwise(lead)
 
 
 def summarise(prompt_or_text: Column, model: Model, fallback: str = NO_SUMMARY) -> Column:

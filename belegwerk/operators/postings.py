@@ -63,8 +63,8 @@ def build_postings(
     return rows.mapInArrow(_GroupAdjacent(key, german).__call__, schema)
 
 
-def lexeme_bucket(lexeme: Column, buckets: int = POSTING_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
+def lexeme_bucket(lexeme: Column) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(POSTING_BUCKETS)).cast("int")
 
 
 # One fold over the merged positions of all lexemes. It keeps, per lexeme, the
@@ -97,7 +97,7 @@ def cover_density(positions: str, weight: float = COVER_WEIGHT) -> Column:
 
 
 def match_sets(
-    sets: LexemeSets, postings: DataFrame, key: str, k: int | None, buckets: int = POSTING_BUCKETS
+    sets: LexemeSets, postings: DataFrame, key: str, k: int | None
 ) -> DataFrame:
     """Texts that hold all lexemes of a set: ``(qid, <key>, score)``.
 
@@ -112,7 +112,7 @@ def match_sets(
     if "bucket" in postings.columns:
         # Stored postings are partitioned by this hash: name the directories of
         # the asked lexemes, so that only those are listed and read.
-        words = words.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+        words = words.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
         asked = [str(r[0]) for r in words.select("bucket").distinct().collect()]
         postings = postings.filter(f"bucket in ({', '.join(asked)})" if asked else "false")
         on = ["bucket", "lexeme"]

@@ -14,11 +14,11 @@ from belegwerk.fixed_values import (
     FINAL_DOCUMENTS, KEYWORD_CHUNKS, TITLE_SCORE, VECTOR_CHUNKS,
 )
 from belegwerk.functions.urls import safe_url
-from belegwerk.operators.postings import POSTING_BUCKETS, match_sets
+from belegwerk.operators.postings import match_sets
 from belegwerk.operators.question_block import LexemeSets, QuestionBlock
 from belegwerk.operators.substring import first_per_term, term_hits
 from belegwerk.operators.vector_join import block_hits
-from belegwerk.session import top_k
+from belegwerk.session import ranked, top_k
 
 
 def by_score() -> list:
@@ -42,7 +42,7 @@ def vector_branch(
 
 def keyword_branch(
     block: QuestionBlock, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
-    sets: LexemeSets, k: int = KEYWORD_CHUNKS, buckets: int = POSTING_BUCKETS,
+    sets: LexemeSets, k: int = KEYWORD_CHUNKS,
 ) -> DataFrame:
     """Best chunks by cover density, filled up with substring hits of score 0.
 
@@ -51,7 +51,7 @@ def keyword_branch(
     in the ``k`` parents with the smallest first chunk of each term; so every
     term keeps ``k`` parents, whatever share of all parents it matches.
     """
-    ranked = match_sets(sets, postings, "id", k, buckets).withColumnRenamed("id", "chunk_id")
+    ranked = match_sets(sets, postings, "id", k).withColumnRenamed("id", "chunk_id")
 
     words, _ = block.askers
     asked = block.asker_frame()
@@ -97,9 +97,7 @@ def with_passages(fused: DataFrame, parents: DataFrame) -> DataFrame:
     """
     wide = parents.select(F.col("id").alias("parent_id"), "title", "source_url", "full_text", "summary")
     joined = wide.join(F.broadcast(fused), "parent_id")
-    return top_k(
-        joined, 1 << 30, ["qid"], [F.desc("final_score"), F.asc("parent_id")], "fused_rank"
-    )
+    return ranked(joined, ["qid"], [F.desc("final_score"), F.asc("parent_id")], "fused_rank")
 
 
 def document_vector_branch(
@@ -143,7 +141,7 @@ def document_title_branch(
 def first_by_title(rows: DataFrame, rank: str, keep: list[str]) -> DataFrame:
     """First-seen distinct by title per question, renumbered from 1 in ``pos``."""
     first = top_k(rows, 1, ["qid", "title"], [F.asc(rank)], "__nth").drop("__nth")
-    return top_k(first, 1 << 30, ["qid"], [F.asc(rank)], "pos").select("qid", "pos", "title", *keep)
+    return ranked(first, ["qid"], [F.asc(rank)], "pos").select("qid", "pos", "title", *keep)
 
 
 def ranked_documents(*branches: DataFrame, k: int = FINAL_DOCUMENTS) -> DataFrame:

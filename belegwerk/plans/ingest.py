@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from belegwerk.fixed_values import DEFAULT_FILE_BASE_URL
 from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators.models import Model, lead_summary
+from belegwerk.operators.postings import build_postings
 from belegwerk.plans.corpus_build import build_chunks, build_parents
 from belegwerk.schemas import ERRORS, conform
 from belegwerk.session import materialise
 from belegwerk.sources.files import new_sources
-from belegwerk.sources.store import read_parents, write_corpus
+from belegwerk.sources.store import read_parents, write_corpus, write_postings
 
 
 def ingest(
@@ -26,7 +27,8 @@ def ingest(
 
     A document goes in whole or not at all: one that has no text, or a chunk
     without a vector, is kept out and noted in ``ingest_errors``. A name that
-    comes twice counts once. Repeating a ``batch`` name replaces what that batch
+    comes twice counts once: with a text rather than without, then by the text's
+    hash. Postings are written with the batch, before its parents. Repeating a ``batch`` name replaces what that batch
     wrote, so a restarted run leaves no doubles. Parents and chunks are staged
     in the shared folder: splitter and models run once per document.
     """
@@ -35,8 +37,9 @@ def ingest(
     known = read_parents(spark, path)
     if "batch" in known.columns:
         known = known.filter(F.col("batch") != batch)
-    fresh = new_sources(docs, known, "title").dropDuplicates(["title"])
-    fresh = materialise(fresh.select("title", "text"))
+    first = F.min(F.struct(F.col("text").isNull(), F.sha2("text", 256), "text"))
+    fresh = new_sources(docs, known, "title").groupBy("title").agg(first.alias("first"))
+    fresh = materialise(fresh.select("title", "first.text"))
     parents = materialise(
         build_parents(fresh.filter("text is not null"), method, base_url, summary_model)
     )
@@ -51,4 +54,5 @@ def ingest(
     whole = parents.join(failed.select("title"), "title", "left_anti")
     kept = chunks.join(whole.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
     conform(failed, ERRORS).write.mode("overwrite").parquet(f"{path}/ingest_errors/batch={batch}")
+    write_postings(build_postings(kept), f"{path}/postings/batch={batch}")
     write_corpus(whole, kept, path, batch)

@@ -14,7 +14,7 @@ from belegwerk.fixed_values import (
 from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.models import Model, term_share
-from belegwerk.operators.postings import POSTING_BUCKETS, build_postings
+from belegwerk.operators.postings import build_postings
 from belegwerk.operators.question_block import LexemeSets, QuestionBlock, prepare_questions
 from belegwerk.session import LIMITS, Limits, in_blocks, materialise
 
@@ -27,7 +27,6 @@ class Corpus:
     chunks: DataFrame
     postings: DataFrame | None = None
     config: str = "german"
-    buckets: int = POSTING_BUCKETS
 
     def keyword_index(self) -> DataFrame:
         if self.postings is not None:
@@ -70,7 +69,7 @@ def _keyword(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFr
     sets = LexemeSets(words, "words", corpus.config, settings.limits)
     return retrieval.keyword_branch(
         block, corpus.parents, corpus.chunks, corpus.keyword_index(), sets,
-        settings.keyword_chunks, corpus.buckets,
+        settings.keyword_chunks,
     )
 
 

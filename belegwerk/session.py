@@ -115,11 +115,15 @@ def in_blocks(
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def ranked(df: DataFrame, by: list[str], order: list, rank: str = "rank") -> DataFrame:
+    """Every row with its 1-based rank within its key."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def top_k(df: DataFrame, k: int, by: list[str], order: list, rank: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows per key with their 1-based rank.
 
     The rank filter lets Spark cut every partition to ``k`` rows per key before
     the shuffle, so a hot key never reaches one task whole.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return ranked(df, by, order, rank).filter(F.col(rank) <= k)

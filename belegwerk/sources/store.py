@@ -9,6 +9,12 @@ from pyspark.sql.utils import AnalysisException
 
 from belegwerk.operators.postings import POSTING_BUCKETS, lexeme_bucket
 from belegwerk.schemas import CHUNKS, PARENTS, conform
+from belegwerk.session import materialise
+
+POSTINGS = (
+    T.StructType().add("id", T.StringType()).add("lexeme", T.StringType())
+    .add("positions", T.ArrayType(T.IntegerType())).add("bucket", T.IntegerType())
+)
 
 
 def read_parents(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +64,29 @@ def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The postings of the chunks, or an empty table where none were written yet."""
+    return _read(spark, path, POSTINGS)
+
+
+def delete_from_store(spark: SparkSession, path: str, titles: DataFrame) -> None:
+    """Take documents ``titles(title)`` out of parents, chunks and postings.
+
+    Only the batches that hold one of them are rewritten: parents first, so that
+    a run that dies in between shows no document without its chunks.
+    """
+    doomed = materialise(titles.select("title").distinct())
+    parents, chunks = read_parents(spark, path), read_chunks(spark, path)
+    if "batch" not in parents.columns:
+        return
+    held = parents.join(doomed, "title", "left_semi").select("batch").distinct()
+    for batch in sorted(r["batch"] for r in held.collect()):  # batches, not documents
+        mine = [df.filter(F.col("batch") == batch) for df in (parents, chunks)]
+        kept, left = map(materialise, delete_documents(*mine, doomed))
+        postings = read_postings(spark, f"{path}/postings").filter(F.col("batch") == batch)
+        words = materialise(postings.join(left.select("id"), "id", "left_semi").drop("batch", "bucket"))
+        conform(kept, PARENTS).write.mode("overwrite").parquet(f"{path}/parents/batch={batch}")
+        conform(left, CHUNKS).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+        write_postings(words, f"{path}/postings/batch={batch}")
 
 
 def delete_documents(

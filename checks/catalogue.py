@@ -282,7 +282,7 @@ def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.table(spark, sf_dir, "pages")
-    marked = F.concat("url", F.lit(" ä*~+#%20/"), F.substring("html", 1, 40))
+    marked = F.concat("url", F.lit(" ä*~+#%20/"), "html")
     return pages.select(
         "page_id", safe_url(F.col("url")).alias("url"), safe_url(marked).alias("marked_url")
     )

@@ -28,9 +28,8 @@ def trimmed(x: str) -> str:
 
 
 def lead3(text: str) -> str:
-    head = f"substring({text}, 1, 20000)"
-    lead = trimmed(f"regexp_extract({head}, '^((?:[^.!?]*[.!?]+\\s*){{1,3}})', 1)")
-    return f"CASE WHEN {lead} = '' THEN {trimmed(head)} ELSE {lead} END"
+    lead = trimmed(f"regexp_extract({text}, '^((?:[^.!?]*[.!?]+\\s*){{1,3}})', 1)")
+    return f"CASE WHEN {lead} = '' THEN {trimmed(text)} ELSE {lead} END"
 
 
 def words_of(q: str) -> str:
@@ -308,7 +307,9 @@ ON c.parent_id = parents.id GROUP BY ALL"""
 
 MARKDOWN_RULES = (
     (r"<!--.*?-->", "", "gs"),
-    (r"<(script|style|head)\b[^>]*>.*?</(script|style|head)\s*>", "", "gsi"),
+    (r"<script\b[^>]*>.*?</script\s*>", "", "gsi"),
+    (r"<style\b[^>]*>.*?</style\s*>", "", "gsi"),
+    (r"<head\b[^>]*>.*?</head\s*>", "", "gsi"),
     (r"\s+", " ", "g"),
     (r"<h1\b[^>]*>", r"\n\n# ", "gi"),
     (r"<h2\b[^>]*>", r"\n\n## ", "gi"),
@@ -330,9 +331,9 @@ def markdown(html: str) -> str:
     for pattern, text, flags in MARKDOWN_RULES:
         out = f"regexp_replace({out}, '{pattern}', E'{text}', '{flags}')"
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                       ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+                       ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&middot;", "·")):
         out = f"replace({out}, '{name}', '{char}')"
-    return out
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"  # also without its end, as browsers read it
 
 
 def queries() -> dict[str, str]:
@@ -388,7 +389,7 @@ FROM context""")
   coalesce(refs, '') AS reference_text FROM questions LEFT JOIN refs USING (qid)""")
 
     q["safe_url"] = f"""SELECT page_id, {encoded('url')} AS url,
-  {encoded("concat(url, ' ä*~+#%20/', substring(html, 1, 40))")} AS marked_url FROM pages"""
+  {encoded("concat(url, ' ä*~+#%20/', html)")} AS marked_url FROM pages"""
     names = "['.pdf', '.HTML', '.txt', '.exe', '.Md', '', '.tar.gz', '.JPG', '/.pdf', '.docx.bak']"
     q["source_filter"] = query(
         ("paths", f"SELECT concat('/data/in/', page_id, ({names})[page_id % 10 + 1]) AS path FROM pages"),

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belegwerk.functions import dialog
-from belegwerk.operators.postings import build_postings
 from belegwerk.plans.ingest import ingest
 from belegwerk.plans.search import Corpus
 from belegwerk.session import shared_folder, spread
-from belegwerk.sources.store import read_chunks, read_parents, read_postings, write_postings
+from belegwerk.sources.store import read_chunks, read_parents, read_postings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +83,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_corpus(spark: SparkSession, sf_dir: str) -> str:
     path = shared_folder(spark)
     ingest(documents(spark, sf_dir), path, method="fixed", batch="all")
-    write_postings(build_postings(read_chunks(spark, path)), f"{path}/postings")
     return path
 
 
