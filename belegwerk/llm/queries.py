@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm import bpe_text, chat, fingerprints, jaccard, packing, quality, repeats, toxicity, vectors
+from belegwerk.llm import bpe_text, chat, fingerprints, jaccard, packing, quality, repeats, token_counts, toxicity, vectors
 from belegwerk.session import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_text.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -67,7 +71,7 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op1_near_vectors, op2_toxic_spans, op3_chat_format, op4_best_fit_packing, op5_shingle_join, op7_byte_bpe,
+        op1_near_vectors, op2_toxic_spans, op3_chat_format, op4_best_fit_packing, op5_shingle_join, op6_section_tokens, op7_byte_bpe,
         op8_repeated_strings, op9_phrase_fingerprints, op10_quality_ranking,
     )
     return {f.__name__: f for f in named}
