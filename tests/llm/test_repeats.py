@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from belegwerk.llm import queries, repeats
@@ -56,9 +57,8 @@ def test_edge_cases(spark):
     ])
 
 
-@pytest.mark.parametrize("seed, few", [(1, 30_000), (2, 3)])
-def test_random_passages(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(repeats, "CELL_TEXTS", few)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_passages(spark, seed):
     r = random.Random(seed)
     shared = [prose(r, n) for n in (49, 50, 51, 80, 150, 400)]
     rows = []
@@ -73,12 +73,31 @@ def test_empty(spark):
     assert repeats.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_long_text_in_pieces(spark, monkeypatch):
+def test_long_text_in_pieces(monkeypatch):
+    """Pieces of one text hold each of its windows once."""
     monkeypatch.setattr(repeats, "PIECE", 1000)
-    r = random.Random(6)
-    base = prose(r, 7000)
-    monkeypatch.setattr("belegwerk.llm.arrow_text.SLICE_BYTES", 500)
-    same(spark, [(1, base), (2, prose(r, 900) + base[900:1100] + prose(r, 3000) + base[:60])])
+    for size in (999, 1000, 1001, 1951, 1952, 7000):
+        text = prose(random.Random(size), size)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        seen = []
+        for body, at, rows, begin in repeats.pieces(pa.array([text])):
+            first, end, _, row = fragments(body, at)
+            seen += [k + begin[0] for a, b in zip(first.tolist(), end.tolist()) for k in range(a, b)]
+            assert (body == raw[begin[0]:begin[0] + len(body)]).all() and rows.tolist() == [0]
+        assert sorted(seen) == list(range(len(raw) - WIDTH + 1))
+
+
+@pytest.mark.parametrize("most", [1, 3, 30_000])
+def test_owners_of_windows_in_split_cells(monkeypatch, most):
+    monkeypatch.setattr(repeats, "CELL_TEXTS", most)
+    r = random.Random(11)
+    base = prose(r, 200).encode()
+    texts = [base[a:a + r.randrange(50, 80)] for a in (r.randrange(100) for _ in range(30))]
+    docs = np.array([r.randrange(20) for _ in texts])
+    at = np.append(0, np.cumsum([len(t) for t in texts]))
+    got = repeats.window_owners(np.frombuffer(b"".join(texts), np.uint8), at, docs)
+    windows = [(t[k:k + WIDTH], d) for t, d in zip(texts, docs.tolist()) for k in range(len(t) - WIDTH + 1)]
+    assert got.tolist() == [min(d for s, d in windows if s == w) for w, _ in windows]
 
 
 def test_suffix_order_is_lexical():
