@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from belegwerk.llm.arrow_text import LOWER, slices, words
@@ -158,8 +158,23 @@ def aggregate(highest: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(p)), np.log(p / (1 - p)), np.log1p(expected)], 1)
 
 
-def telling(sample: DataFrame, ratio: float = 20.0, least: int = 3) -> np.ndarray:
-    """Hashes of words and beginnings that toxic texts of the sample have much more often."""
+def surprise(toxic: Column, clean: Column, share: float) -> Column:
+    """Log-likelihood ratio of the counts against chance, with ``share`` of the texts toxic."""
+    n = toxic + clean
+
+    def part(count: Column, expected: Column) -> Column:
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(F.lit(0.0))
+
+    return 2 * (part(toxic, n * share) + part(clean, n * (1 - share)))
+
+
+def telling(sample: DataFrame, ratio: float = 20.0, least: int = 3, chance: float = 18.0) -> np.ndarray:
+    """Hashes of words and beginnings that toxic texts of the sample have much more often.
+
+    Their share of the toxic texts is at least ``ratio`` times that of the clean ones,
+    and the log-likelihood ratio is at least ``chance``: so words that a small
+    sample has in a few toxic texts by chance are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +204,7 @@ def telling(sample: DataFrame, ratio: float = 20.0, least: int = 3) -> np.ndarra
     found = counts.filter(
         (F.col("toxic") >= least)
         & (F.col("toxic") / sizes[1] >= ratio * (F.col("clean") + 1) / sizes[0])
+        & (surprise(F.col("toxic"), F.col("clean"), sizes[1] / (sizes[0] + sizes[1])) >= chance)
     ).select("h").toArrow()
     return np.sort(np.asarray(found.column(0).to_numpy()).astype(np.int64).view(np.uint64))
 
@@ -196,13 +212,15 @@ def telling(sample: DataFrame, ratio: float = 20.0, least: int = 3) -> np.ndarra
 def sentences(sample: DataFrame, known: np.ndarray, most: int = 40_000, longest: int = 64) -> tuple[np.ndarray, ...]:
     """Tagged training chains: features, tags and first words of at most ``most`` sentences.
 
-    Every sentence with a toxic token is a candidate and one in eight of the
-    others; of a longer sentence the stretch around its first toxic token is used.
+    Half of them have a toxic token. They are drawn by text and sentence, so a sentence
+    that many texts share is drawn as often as it occurs; of a longer sentence the
+    stretch around its first toxic token is used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
+            draw = batch.column(2).to_numpy().view(np.uint64)
             for lo, _, body, at in slices(batch.column(0)):
                 t = tokenize(body, at)
                 tags = np.isin(t.own, known).any(1) & (labels[lo + t.row] == 1) if len(known) else np.zeros(len(t.row), bool)
@@ -210,9 +228,7 @@ def sentences(sample: DataFrame, known: np.ndarray, most: int = 40_000, longest:
                 rows = []
                 for a, b in zip(t.first.tolist(), ends.tolist()):
                     toxic = np.flatnonzero(tags[a:b])
-                    order = int(mix(t.own[a:b, 0].sum(keepdims=True))[0] >> np.uint64(1))
-                    if not len(toxic) and order % 8:
-                        continue
+                    order = int(mix(t.own[a:b, 0].sum(keepdims=True) ^ draw[lo + t.row[a]])[0] >> np.uint64(1))
                     if b - a > longest:
                         a = max(a, a + (int(toxic[0]) if len(toxic) else 0) - longest // 2)
                         b = min(b, a + longest)
@@ -223,7 +239,7 @@ def sentences(sample: DataFrame, known: np.ndarray, most: int = 40_000, longest:
                         ["toxic", "h", "features", "tags"],
                     )
 
-    found = sample.select("text", "label").mapInArrow(run, "toxic boolean, h long, features binary, tags binary")
+    found = sample.select("text", "label", F.xxhash64("doc_id")).mapInArrow(run, "toxic boolean, h long, features binary, tags binary")
     halves = [
         found.filter(F.col("toxic") == side).orderBy("h", "features").limit(most // 2).toArrow() for side in (True, False)
     ]
