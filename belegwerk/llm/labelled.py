@@ -37,21 +37,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, offset: float | np.ndarray = 0.0,
-             weight: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
-    """Weights of a ridge logistic regression by damped Newton steps."""
+             weight: np.ndarray | None = None, rounds: int = 40, block: int = 4096) -> np.ndarray:
+    """Weights of a ridge logistic regression by damped Newton steps.
+
+    Products run over blocks of rows, so that no second copy of ``x`` is made.
+    """
     w = np.zeros(x.shape[1])
     weight = np.ones(len(y)) if weight is None else weight
     scale = max(weight.sum(), 1.0)
+    cuts = [slice(k, k + block) for k in range(0, len(x), block)]
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(x[c] @ w for c in cuts)]) + offset
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w + offset
+        z = scores(w)
         return float((weight * (np.logaddexp(0, z) - y * z)).sum() / scale + ridge * (w @ w) / 2)
 
     now = loss(w)
     for _ in range(rounds):
-        p = sigmoid(x @ w + offset)
-        gradient = x.T @ (weight * (p - y)) / scale + ridge * w
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x / scale + ridge * np.eye(len(w))
+        p = sigmoid(scores(w))
+        wrong, bend = weight * (p - y), weight * p * (1 - p)
+        gradient = sum(x[c].T @ wrong[c] for c in cuts) / scale + ridge * w
+        curve = sum((x[c] * bend[c][:, None]).T @ x[c] for c in cuts) / scale + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, gradient)
         rate = 1.0
         while rate > 1e-4 and loss(w - rate * step) > now:
