@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm import bpe_text, chat, fingerprints, jaccard, packing, quality, repeats, token_counts, toxicity, vectors
+from belegwerk.llm import bpe_text, chat, fingerprints, jaccard, language, manifest, middle, packing, quality, repeats, sql, token_counts, toxicity, vectors
 from belegwerk.session import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,13 +69,29 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_near_vectors, op2_toxic_spans, op3_chat_format, op4_best_fit_packing, op5_shingle_join, op6_section_tokens, op7_byte_bpe,
-        op8_repeated_strings, op9_phrase_fingerprints, op10_quality_ranking,
+        op8_repeated_strings, op9_phrase_fingerprints, op10_quality_ranking, op11_merkle_manifest, op12_fill_in_middle,
+        op13_language_spans,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.queries()
