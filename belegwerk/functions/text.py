@@ -159,3 +159,8 @@ def lexemes(
         out = out.filter(f"lexeme not in ({sql_words(stop)})") if stop else out
     out = out.select(*keep, "lexeme", "pos")
     return out.mapInArrow(stem_batches, out.schema) if config == "german" else out
+
+
+def document_key() -> Column:
+    """The document of a parent, as one string that sorts by title and then URL."""
+    return F.concat(F.coalesce("title", F.lit("")), F.lit("\u0001"), F.coalesce("source_url", F.lit("")))

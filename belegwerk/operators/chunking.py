@@ -130,10 +130,11 @@ def split_children(
     parents: DataFrame, method: str = "recursive",
     size: int = CHILD_SIZE, overlap: int = CHILD_OVERLAP,
 ) -> DataFrame:
-    """Child chunks of parent blocks ``(id, full_text)``."""
+    """Child chunks of parent blocks ``(id, full_text)``, with their ``document`` if they have it."""
     cut = {"recursive": recursive_chunks, "fixed": fixed_chunks}[method]
+    kept = ["document"] if "document" in parents.columns else []
     rows = parents.select(
-        F.col("id").alias("parent_id"),
+        F.col("id").alias("parent_id"), *kept,
         F.posexplode(cut(F.col("full_text"), size, overlap)).alias("child_idx", "content"),
     )
     return rows.withColumn("id", stable_id(F.col("parent_id"), F.col("child_idx"), F.col("content")))

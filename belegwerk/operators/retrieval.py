@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from belegwerk.fixed_values import (
     FINAL_DOCUMENTS, KEYWORD_CHUNKS, TITLE_SCORE, VECTOR_CHUNKS,
 )
+from belegwerk.functions.text import document_key
 from belegwerk.functions.urls import safe_url
 from belegwerk.operators.postings import match_sets
 from belegwerk.operators.question_block import LexemeSets, QuestionBlock
@@ -42,20 +43,23 @@ def vector_branch(
 
 def keyword_branch(
     block: QuestionBlock, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
-    sets: LexemeSets, k: int = KEYWORD_CHUNKS,
+    sets: LexemeSets, k: int = KEYWORD_CHUNKS, families: DataFrame | None = None,
 ) -> DataFrame:
     """Best chunks by cover density, filled up with substring hits of score 0.
 
     A chunk qualifies when it matches all lexemes or its parent holds any term.
     The fill needs only the ``k`` smallest chunk ids per question, and those lie
     in the ``k`` parents with the smallest first chunk of each term; so every
-    term keeps ``k`` parents, whatever share of all parents it matches.
+    term keeps ``k`` parents, whatever share of all parents it matches. The first chunk of
+    each parent is read from stored ``families(parent_id, first_chunk)``, if there are any.
     """
     ranked = match_sets(sets, postings, "id", k).withColumnRenamed("id", "chunk_id")
 
     words, _ = block.askers
     asked = block.asker_frame()
-    first = chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))
+    first = families
+    if first is None:
+        first = chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))
     hits = term_hits(parents, "full_text", ["id"], words)
     per_term = first_per_term(
         hits.join(first, hits["id"] == first["parent_id"])
@@ -90,24 +94,35 @@ def best_per_parent(*branches: DataFrame) -> DataFrame:
 
 
 def with_passages(fused: DataFrame, parents: DataFrame) -> DataFrame:
-    """Fetch the wide columns of fused parents and rank them per question.
+    """Rank fused parents per question and fetch their wide columns.
 
     The fused side is small by construction (two top-k lists per question of
-    one block), so it is broadcast and the texts stay where they are.
+    one block), so it is broadcast; it is ranked while narrow, and the texts stay where they are.
     """
+    there = parents.select(F.col("id").alias("parent_id")).join(F.broadcast(fused), "parent_id")
+    order = ranked(there, ["qid"], [F.desc("final_score"), F.asc("parent_id")], "fused_rank")
     wide = parents.select(F.col("id").alias("parent_id"), "title", "source_url", "full_text", "summary")
-    joined = wide.join(F.broadcast(fused), "parent_id")
-    return ranked(joined, ["qid"], [F.desc("final_score"), F.asc("parent_id")], "fused_rank")
+    return wide.join(F.broadcast(order), "parent_id").select(
+        "parent_id", "title", "source_url", "full_text", "summary", "qid", "final_score", "fused_rank"
+    )
 
 
 def document_vector_branch(
     block: QuestionBlock, parents: DataFrame, chunks: DataFrame, min_similarity: float,
-    route=None,
+    route=None, k: int = FINAL_DOCUMENTS,
 ) -> DataFrame:
-    """Best similarity per document: ``(qid, title, source_url, score)``."""
-    hits = vector_branch(block, chunks, min_similarity, None, route)
-    best = hits.groupBy("qid", "parent_id").agg(F.max("score").alias("score"))
+    """Best similarity of the ``k`` best documents: ``(qid, title, source_url, score)``.
+
+    A task keeps the best chunk of the ``k`` best documents of each question: a document
+    among the best of all is among the best where its best chunk is. Chunks
+    that do not carry their ``document`` get it from their parent first.
+    """
     names = parents.select(F.col("id").alias("parent_id"), "title", "source_url")
+    chunks = chunks.filter(F.col("parent_id").isNotNull())
+    if "document" not in chunks.columns:
+        chunks = chunks.join(names.select("parent_id", document_key().alias("document")), "parent_id")
+    hits = block_hits(block, chunks, min_similarity, k, route, "document")
+    best = hits.groupBy("qid", "parent_id").agg(F.max("score").alias("score"))
     return best.join(names, "parent_id").groupBy("qid", "title", "source_url").agg(
         F.max("score").alias("score")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from belegwerk.fixed_values import DEFAULT_FILE_BASE_URL
+from belegwerk.functions.text import document_key
 from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators.chunking import split_children, split_parents
 from belegwerk.operators.models import Model, lead_summary, summarise
@@ -33,7 +34,7 @@ def build_chunks(
     parents: DataFrame, method: str = "recursive", embedding_model: Model = hashed_embedding,
 ) -> DataFrame:
     """Chunks with their vector on the same row; no positional zip, no join."""
-    return split_children(parents, method).withColumn(
+    return split_children(parents.withColumn("document", document_key()), method).withColumn(
         "embedding", embedding_model(F.col("content"))
     )
 

@@ -21,6 +21,7 @@ CHUNKS = T.StructType([
     T.StructField("parent_id", T.StringType()),
     T.StructField("content", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("document", T.StringType()),
 ])
 
 ERRORS = T.StructType([
