@@ -16,6 +16,7 @@ from belegwerk.operators.question_block import LexemeSets
 from belegwerk.session import LIMITS, Limits, in_blocks, top_k
 
 POSTING_BUCKETS = 64
+ALL_LEXEMES = -1  # bucket of a small batch, whose postings are one file
 
 
 class _GroupAdjacent:
@@ -108,15 +109,12 @@ def match_sets(
     spark = postings.sparkSession
     vocabulary = sets.vocabulary
     words = spark.createDataFrame(pa.table({"lexeme": pa.array(vocabulary, pa.string())}))
-    on = ["lexeme"]
     if "bucket" in postings.columns:
         # Stored postings are partitioned by this hash: name the directories of
         # the asked lexemes, so that only those are listed and read.
-        words = words.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
-        asked = [str(r[0]) for r in words.select("bucket").distinct().collect()]
-        postings = postings.filter(f"bucket in ({', '.join(asked)})" if asked else "false")
-        on = ["bucket", "lexeme"]
-    needed = postings.join(F.broadcast(words), on, "left_semi").select("lexeme", key, "positions")
+        asked = [str(r[0]) for r in words.select(lexeme_bucket(F.col("lexeme"))).distinct().collect()]
+        postings = postings.filter(f"bucket in ({', '.join([*asked, str(ALL_LEXEMES)])})" if asked else "false")
+    needed = postings.join(F.broadcast(words), "lexeme", "left_semi").select("lexeme", key, "positions")
     df = dict(needed.groupBy("lexeme").count().toArrow().to_pandas().itertuples(index=False))
     single, several = sets.rarest_frames(df)
     # A lone lexeme is its own cover at every place: weight times frequency.

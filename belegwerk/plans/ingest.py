@@ -12,10 +12,12 @@ from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators.models import Model, lead_summary
 from belegwerk.operators.postings import build_postings
 from belegwerk.plans.corpus_build import build_chunks, build_parents
-from belegwerk.schemas import ERRORS, conform
+from belegwerk.operators.vector_lists import VectorLists, assign_lists, radii_of
 from belegwerk.session import materialise
 from belegwerk.sources.files import new_sources
-from belegwerk.sources.store import read_parents, write_corpus, write_postings
+from belegwerk.sources.store import Folder, Snapshot, bucketed, listed, snapshot, write_batch
+
+SMALL_BATCH = 20_000  # chunks; their postings are one file
 
 
 def ingest(
@@ -28,31 +30,56 @@ def ingest(
     A document goes in whole or not at all: one that has no text, or a chunk
     without a vector, is kept out and noted in ``ingest_errors``. A name that
     comes twice counts once: with a text rather than without, then by the text's
-    hash. Postings are written with the batch, before its parents. Repeating a ``batch`` name replaces what that batch
-    wrote, so a restarted run leaves no doubles. Parents and chunks are staged
-    in the shared folder: splitter and models run once per document.
+    hash. All tables of the batch, postings and vector lists among them, begin to count
+    with one commit. Repeating a ``batch`` name replaces what that batch wrote, so a
+    restarted run leaves no doubles. Splitter and models run once per document, and
+    chunks are written once unless some of the batch's documents fail.
     """
     spark = docs.sparkSession
     batch = batch or uuid.uuid4().hex
-    known = read_parents(spark, path)
-    if "batch" in known.columns:
-        known = known.filter(F.col("batch") != batch)
+    snap = snapshot(spark, path)
+    known = snap.read("parents", snap.batches() - {batch})
     first = F.min(F.struct(F.col("text").isNull(), F.sha2("text", 256), "text"))
     fresh = new_sources(docs, known, "title").groupBy("title").agg(first.alias("first"))
     fresh = materialise(fresh.select("title", "first.text"))
-    parents = materialise(
-        build_parents(fresh.filter("text is not null"), method, base_url, summary_model)
+
+    def written(table: str, df: DataFrame, rows: int = -1) -> tuple[Folder, DataFrame]:
+        folder = write_batch(path, table, df, batch, rows)
+        return folder, Snapshot(spark, path, (folder,)).read(table).drop("batch")
+
+    parents_at, parents = written(
+        "parents", build_parents(fresh.filter("text is not null"), method, base_url, summary_model)
     )
-    chunks = materialise(build_chunks(parents, method, embedding_model))
-    failed = (
-        parents.join(chunks.filter("embedding is null").select(F.col("parent_id").alias("id")),
-                     "id", "left_semi")
-        .select("title", F.lit("no vector").alias("error"))
-        .unionByName(fresh.filter("text is null").select("title", F.lit("no text").alias("error")))
-        .distinct()
+    chunks_at, chunks = written("chunks", build_chunks(parents, method, embedding_model))
+    failed = parents.join(
+        chunks.filter("embedding is null").select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi"
+    ).select("title").distinct()
+    failed = materialise(failed)
+    if failed.limit(1).count():
+        lost = materialise(parents.join(failed, "title", "left_semi").select(F.col("id").alias("parent_id")))
+        parents_at, parents = written("parents", parents.join(failed, "title", "left_anti"))
+        chunks_at, chunks = written("chunks", chunks.join(lost, "parent_id", "left_anti"))
+    errors = failed.select("title", F.lit("no vector").alias("error")).unionByName(
+        fresh.filter("text is null").select("title", F.lit("no text").alias("error"))
     )
-    whole = parents.join(failed.select("title"), "title", "left_anti")
-    kept = chunks.join(whole.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-    conform(failed, ERRORS).write.mode("overwrite").parquet(f"{path}/ingest_errors/batch={batch}")
-    write_postings(build_postings(kept), f"{path}/postings/batch={batch}")
-    write_corpus(whole, kept, path, batch)
+    rows = chunks.count()
+    added = [
+        Folder(parents_at.table, batch, parents_at.write, parents.count()),
+        Folder(chunks_at.table, batch, chunks_at.write, rows),
+        written("ingest_errors", errors.coalesce(1))[0],
+        written("families", families(chunks))[0],
+        written("postings", bucketed(build_postings(chunks), rows <= SMALL_BATCH))[0],
+        written("title_postings", build_postings(
+            parents.select("title").distinct().withColumn("words", F.col("title")), "words", "title"
+        ))[0],
+    ]
+    lists = VectorLists.stored(snap)
+    if lists is not None:
+        vectors_at, vectors = written("vectors", listed(assign_lists(chunks, lists.centroids), rows <= SMALL_BATCH))
+        added += [vectors_at, written("radii", radii_of(vectors, lists.centroids))[0]]
+    snap.commit(added, [f for f in snap.folders if f.batch == batch])
+
+
+def families(chunks: DataFrame) -> DataFrame:
+    """``(parent_id, first_chunk)``: the smallest chunk id of every parent."""
+    return chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))

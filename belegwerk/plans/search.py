@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belegwerk.fixed_values import (
@@ -16,7 +16,9 @@ from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.models import Model, term_share
 from belegwerk.operators.postings import build_postings
 from belegwerk.operators.question_block import LexemeSets, QuestionBlock, prepare_questions
+from belegwerk.operators.vector_lists import VectorLists, reachable_lists
 from belegwerk.session import LIMITS, Limits, in_blocks, materialise
+from belegwerk.sources.store import snapshot
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,8 @@ class Corpus:
     chunks: DataFrame
     postings: DataFrame | None = None
     config: str = "german"
+    families: DataFrame | None = None
+    lists: VectorLists | None = None
 
     def keyword_index(self) -> DataFrame:
         if self.postings is not None:
@@ -35,6 +39,15 @@ class Corpus:
         return materialise(build_postings(self.chunks, "content", "id", self.config))
 
 
+def stored_corpus(spark: SparkSession, path: str, config: str = "german") -> Corpus:
+    """All tables of the corpus at ``path``, as of one snapshot."""
+    snap = snapshot(spark, path)
+    return Corpus(
+        snap.read("parents"), snap.read("chunks"), snap.read("postings"), config,
+        snap.read("families"), VectorLists.stored(snap),
+    )
+
+
 @dataclass(frozen=True)
 class Settings:
     """Numbers and models of a search; the defaults are the fixed values."""
@@ -69,10 +82,17 @@ def _keyword(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFr
     sets = LexemeSets(words, "words", corpus.config, settings.limits)
     return retrieval.keyword_branch(
         block, corpus.parents, corpus.chunks, corpus.keyword_index(), sets,
-        settings.keyword_chunks,
+        settings.keyword_chunks, corpus.families,
     )
 
 
+def _vectors(corpus: Corpus, settings: Settings, min_similarity: float) -> tuple[DataFrame, object]:
+    """The table that holds the vectors, and the route of questions to its lists."""
+    if corpus.lists is None:
+        return corpus.chunks, settings.route
+    return corpus.lists.chunks, settings.route or reachable_lists(corpus.lists, min_similarity)
+
+
 def keyword_search(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
@@ -82,8 +102,9 @@ def keyword_search(
 
 
 def _fused(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFrame:
+    chunks, route = _vectors(corpus, settings, settings.passage_similarity)
     vector = retrieval.vector_branch(
-        block, corpus.chunks, settings.passage_similarity, settings.vector_chunks, settings.route
+        block, chunks, settings.passage_similarity, settings.vector_chunks, route
     )
     fused = retrieval.best_per_parent(vector, _keyword(block, corpus, settings))
     return retrieval.with_passages(fused, corpus.parents)
@@ -129,8 +150,9 @@ def document_search(
     """Documents per question: ``(qid, pos, title, url, score)``."""
     def run(part: DataFrame) -> DataFrame:
         block = _block(part, settings)
+        chunks, route = _vectors(corpus, settings, settings.document_similarity)
         vector = retrieval.document_vector_branch(
-            block, corpus.parents, corpus.chunks, settings.document_similarity, settings.route
+            block, corpus.parents, chunks, settings.document_similarity, route, settings.documents
         )
         title = retrieval.document_title_branch(block, corpus.parents, settings.documents)
         return retrieval.ranked_documents(vector, title, k=settings.documents)

@@ -1,92 +1,293 @@
-"""Corpus tables on storage: append, read, delete with cascade."""
+"""Corpus tables on storage: immutable folders, and a log of commits that says which count.
+
+A writer puts its rows into new folders and then adds one small file to the log, which
+names the folders that begin to count and those that cease to. That file is there whole
+or not at all, so readers see all of a change or nothing, whenever a run dies; what a
+dead run has left behind counts for nothing. A table is read as of one snapshot of the
+log; folders that others replace meanwhile stay until ``vacuum``.
+
+Any number of writers may add batches at the same time. Rewriting ones (delete, compact)
+check after the commit that no other one has replaced the same folders, and raise if so;
+run one at a time.
+
+Tables: parents, chunks, families (the first chunk of every parent), postings (of the
+chunks' texts), title_postings, ingest_errors, and of the optional vector index vectors,
+centroids and radii.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from belegwerk.operators.postings import POSTING_BUCKETS, lexeme_bucket
-from belegwerk.schemas import CHUNKS, PARENTS, conform
+from belegwerk.operators.postings import ALL_LEXEMES, POSTING_BUCKETS, lexeme_bucket
+from belegwerk.schemas import CHUNKS, ERRORS, PARENTS, conform
 from belegwerk.session import materialise
 
+POSITIONS = T.ArrayType(T.IntegerType())
 POSTINGS = (
     T.StructType().add("id", T.StringType()).add("lexeme", T.StringType())
-    .add("positions", T.ArrayType(T.IntegerType())).add("bucket", T.IntegerType())
+    .add("positions", POSITIONS).add("bucket", T.IntegerType())
+)
+FAMILIES = T.StructType().add("parent_id", T.StringType()).add("first_chunk", T.StringType())
+TITLE_POSTINGS = T.StructType().add("title", T.StringType()).add("lexeme", T.StringType()).add("positions", POSITIONS)
+VECTORS = (
+    T.StructType().add("id", T.StringType()).add("parent_id", T.StringType())
+    .add("embedding", T.ArrayType(T.FloatType())).add("document", T.StringType()).add("list_id", T.IntegerType())
+)
+CENTROIDS = T.StructType().add("list_id", T.IntegerType()).add("centroid", T.ArrayType(T.DoubleType()))
+RADII = T.StructType().add("list_id", T.IntegerType()).add("radius", T.DoubleType()).add("vectors", T.LongType())
+TABLES = {
+    "parents": PARENTS, "chunks": CHUNKS, "postings": POSTINGS, "title_postings": TITLE_POSTINGS, "ingest_errors": ERRORS,
+    "families": FAMILIES, "vectors": VECTORS, "centroids": CENTROIDS, "radii": RADII,
+}
+PARTITIONED = {"postings": ["bucket"], "vectors": ["list_id"]}
+LOG = (
+    T.StructType().add("added", T.BooleanType()).add("table", T.StringType()).add("batch", T.StringType())
+    .add("write", T.StringType()).add("rows", T.LongType())
 )
 
 
-def read_parents(spark: SparkSession, path: str) -> DataFrame:
-    """The parents table, or an empty one where none was written yet."""
-    return _read(spark, f"{path}/parents", PARENTS)
+@dataclass(frozen=True, order=True)
+class Folder:
+    """Rows of one batch of a table, written once."""
 
+    table: str
+    batch: str
+    write: str
+    rows: int = -1  # parents and chunks only
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks table, or an empty one where none was written yet."""
-    return _read(spark, f"{path}/chunks", CHUNKS)
+    def path(self, root: str) -> str:
+        return f"{root}/{self.table}/write={self.write}/batch={self.batch}"
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    schema = T.StructType(schema.fields + [T.StructField("batch", T.StringType())])
+def _or_none(read) -> DataFrame | None:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return read()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The folders that count at one moment; tables are read as they were then."""
+
+    spark: SparkSession
+    path: str
+    folders: tuple[Folder, ...]
+
+    def of(self, table: str, batches: Iterable[str] | None = None) -> list[Folder]:
+        wanted = None if batches is None else set(batches)
+        return [f for f in self.folders if f.table == table and (wanted is None or f.batch in wanted)]
 
+    def batches(self) -> set[str]:
+        return {f.batch for f in self.of("parents")}
 
-def write_corpus(parents: DataFrame, chunks: DataFrame, path: str, batch: str) -> None:
-    """Add one batch to both tables, chunks first.
+    def read(self, table: str, batches: Iterable[str] | None = None) -> DataFrame:
+        """Rows of a table with their ``batch``; none where nothing was written."""
+        schema = T.StructType([*TABLES[table].fields, T.StructField("batch", T.StringType())])
+        paths = [f.path(self.path) for f in self.of(table, batches)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}")
+        return reader.parquet(*paths).select(schema.fieldNames())
 
-    A document counts as present once its parents are there, so a run that dies
-    in between leaves nothing visible, and running the batch again replaces it.
+    def commit(self, added: Iterable[Folder], removed: Iterable[Folder] = ()) -> None:
+        """Let folders begin and cease to count, all at once."""
+        rows = [(True, *_columns(f)) for f in added] + [(False, *_columns(f)) for f in removed]
+        if rows:
+            log = self.spark.createDataFrame(rows, LOG)
+            log.coalesce(1).write.parquet(f"{self.path}/log/commit={uuid.uuid4().hex}")
+
+
+def _columns(f: Folder) -> tuple:
+    return f.table, f.batch, f.write, f.rows
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame | None:
+    schema = T.StructType([*LOG.fields, T.StructField("commit", T.StringType())])
+    return _or_none(lambda: spark.read.schema(schema).parquet(f"{path}/log"))
+
+
+def snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """What counts in the corpus at ``path`` now; nothing where none was written yet.
+
+    The driver gets one row for each folder that counts, as for any listing of files;
+    ``compact`` keeps those few.
     """
-    conform(chunks, CHUNKS).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-    conform(parents, PARENTS).write.mode("overwrite").parquet(f"{path}/parents/batch={batch}")
+    log = _log(spark, path)
+    if log is None:
+        return Snapshot(spark, path, ())
+    key = ["table", "batch", "write"]
+    live = log.groupBy(*key).agg(F.min("added").alias("live"), F.max("rows").alias("rows")).filter("live")
+    return Snapshot(spark, path, tuple(sorted(Folder(r.table, r.batch, r.write, r.rows) for r in live.collect())))
 
 
-def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store postings in hash directories, sorted by lexeme within a file.
+def read_parents(spark: SparkSession, path: str) -> DataFrame:
+    """The parents table, or an empty one where none was written yet."""
+    return snapshot(spark, path).read("parents")
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks table, or an empty one where none was written yet."""
+    return snapshot(spark, path).read("chunks")
 
-    Hot lexemes are spread over several files by a second hash on the text id.
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """The postings of the chunks, or an empty table where none were written yet."""
+    return snapshot(spark, path).read("postings")
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that could not go in, each with the reason."""
+    return snapshot(spark, path).read("ingest_errors")
+
+
+def write_batch(root: str, table: str, df: DataFrame, batch: str, rows: int = -1) -> Folder:
+    """Write one batch of a table to a new folder, which does not count yet."""
+    folder = Folder(table, batch, uuid.uuid4().hex, rows)
+    shaped = conform(df, TABLES[table]) if table in ("parents", "chunks", "ingest_errors") else df
+    writer = shaped.write
+    if table in PARTITIONED:
+        writer = writer.partitionBy(*PARTITIONED[table])
+    writer.parquet(folder.path(root))
+    return folder
+
+
+def bucketed(postings: DataFrame, small: bool) -> DataFrame:
+    """Postings dealt to hash directories and sorted by lexeme within a file.
+
+    Hot lexemes are spread over several files by a second hash on the text id. The
+    postings of a ``small`` batch are one sorted file.
     """
-    key = next(c for c in postings.columns if c not in ("lexeme", "positions"))
-    spark = postings.sparkSession
-    files = max(POSTING_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (
+    if small:
+        return postings.withColumn("bucket", F.lit(ALL_LEXEMES)).coalesce(1).sortWithinPartitions("lexeme")
+    files = max(POSTING_BUCKETS, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (
         postings.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
-        .repartition(files, "bucket", F.pmod(F.xxhash64(key), F.lit(max(1, files // POSTING_BUCKETS))))
+        .repartition(files, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, files // POSTING_BUCKETS))))
         .sortWithinPartitions("bucket", "lexeme")
-        .write.mode(mode).partitionBy("bucket").parquet(path)
     )
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The postings of the chunks, or an empty table where none were written yet."""
-    return _read(spark, path, POSTINGS)
+def listed(vectors: DataFrame, small: bool) -> DataFrame:
+    """Vectors dealt to the folders of their lists; a large list is several files."""
+    if small:
+        return vectors.coalesce(1).sortWithinPartitions("list_id")
+    return vectors.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(8)))
+
+
+def _rewrite(snap: Snapshot, table: str, df: DataFrame) -> list[Folder]:
+    """Write rows of several batches, with their ``batch``, in one job; the folders that came of it."""
+    write = uuid.uuid4().hex
+    root = f"{snap.path}/{table}/write={write}"
+    if table == "postings":
+        df = df.sortWithinPartitions("batch", "bucket", "lexeme")
+    df.write.partitionBy("batch", *PARTITIONED.get(table, ())).parquet(root)
+    schema = T.StructType([*TABLES[table].fields, T.StructField("batch", T.StringType())])
+    written = snap.spark.read.schema(schema).parquet(root)
+    counts = written.groupBy("batch").count().collect()  # one row for each batch
+    return [Folder(table, r["batch"], write, r["count"] if table in ("parents", "chunks") else -1) for r in counts]
+
+
+def _replace(snap: Snapshot, added: list[Folder], removed: list[Folder]) -> None:
+    snap.commit(added, removed)
+    log = _log(snap.spark, snap.path)
+    twice = log.filter("not added").groupBy("table", "batch", "write").count().filter("count > 1")
+    if twice.join(snap.spark.createDataFrame([_columns(f)[:3] for f in removed], "table string, batch string, write string"),
+                  ["table", "batch", "write"], "left_semi").count():
+        raise RuntimeError("another writer has replaced the same folders; delete or compact again, one at a time")
+
+
+KEEP_BY = {"postings": "id", "vectors": "id"}  # tables that follow the chunks
 
 
 def delete_from_store(spark: SparkSession, path: str, titles: DataFrame) -> None:
-    """Take documents ``titles(title)`` out of parents, chunks and postings.
+    """Take documents ``titles(title)`` out of all tables, in one commit.
 
-    Only the batches that hold one of them are rewritten: parents first, so that
-    a run that dies in between shows no document without its chunks.
+    Only the batches that hold one of them are rewritten, all in one job for each table.
     """
+    snap = snapshot(spark, path)
     doomed = materialise(titles.select("title").distinct())
-    parents, chunks = read_parents(spark, path), read_chunks(spark, path)
-    if "batch" not in parents.columns:
+    held = snap.read("parents").join(doomed, "title", "left_semi").select("batch").distinct()
+    batches = sorted(r["batch"] for r in held.collect())  # batches, not documents
+    if not batches:
         return
-    held = parents.join(doomed, "title", "left_semi").select("batch").distinct()
-    for batch in sorted(r["batch"] for r in held.collect()):  # batches, not documents
-        mine = [df.filter(F.col("batch") == batch) for df in (parents, chunks)]
-        kept, left = map(materialise, delete_documents(*mine, doomed))
-        postings = read_postings(spark, f"{path}/postings").filter(F.col("batch") == batch)
-        words = materialise(postings.join(left.select("id"), "id", "left_semi").drop("batch", "bucket"))
-        conform(kept, PARENTS).write.mode("overwrite").parquet(f"{path}/parents/batch={batch}")
-        conform(left, CHUNKS).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-        write_postings(words, f"{path}/postings/batch={batch}")
+    old = {table: snap.read(table, batches) for table in TABLES}
+    gone = old["parents"].join(doomed, "title", "left_semi").select(F.col("id").alias("parent_id"))
+    gone = materialise(gone)
+    lost = materialise(old["chunks"].join(gone, "parent_id", "left_semi").select("id"))
+    new = {
+        "parents": old["parents"].join(doomed, "title", "left_anti"),
+        "chunks": old["chunks"].join(gone, "parent_id", "left_anti"),
+        "families": old["families"].join(gone, "parent_id", "left_anti"),
+        "title_postings": old["title_postings"].join(doomed, "title", "left_anti"),
+        **{table: old[table].join(lost, key, "left_anti") for table, key in KEEP_BY.items()},
+    }
+    added = []
+    for table, df in new.items():
+        if snap.of(table, batches):
+            added += _rewrite(snap, table, df.select(old[table].columns))
+    _replace(snap, added, [f for table in new for f in snap.of(table, batches)])
+
+
+def compact(spark: SparkSession, path: str, small: int = 100_000) -> int:
+    """Join the batches of fewer than ``small`` chunks into one; the number joined.
+
+    Rows and results stay as they are. A batch that is repeated later finds its titles
+    known and adds nothing.
+    """
+    snap = snapshot(spark, path)
+    rows = {b: 0 for b in snap.batches()}
+    for f in snap.of("chunks"):
+        rows[f.batch] += f.rows
+    batches = sorted(b for b, n in rows.items() if 0 <= n < small)
+    if len(batches) < 2:
+        return 0
+    name = f"joined-{uuid.uuid4().hex}"
+    total = sum(rows[b] for b in batches)
+    added, removed = [], []
+    for table in TABLES:
+        old = snap.of(table, batches)
+        if not old or table == "centroids":
+            continue
+        df = snap.read(table, batches).drop("batch")
+        if table == "postings":
+            df = bucketed(df.drop("bucket"), total < small)
+        elif table == "radii":
+            df = df.groupBy("list_id").agg(F.max("radius").alias("radius"), F.sum("vectors").alias("vectors"))
+        elif table == "vectors":
+            df = listed(df, total < small)
+        else:
+            df = df.coalesce(max(1, -(-total // small)))
+        added.append(write_batch(path, table, df, name, sum(f.rows for f in old) if table in ("parents", "chunks") else -1))
+        removed += old
+    _replace(snap, added, removed)
+    return len(batches)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the folders that some commit has replaced; the number deleted.
+
+    Call it when no search that began before those commits is still running.
+    """
+    log = _log(spark, path)
+    if log is None:
+        return 0
+    gone = log.filter("not added").select("table", "batch", "write").distinct().collect()
+    done = 0
+    for r in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(Folder(r.table, r.batch, r.write).path(path))
+        done += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return done
 
 
 def delete_documents(

@@ -24,14 +24,15 @@ from belegwerk.operators.postings import build_postings, fts_match, fts_rank
 from belegwerk.operators.question_block import QuestionBlock, prepare_questions
 from belegwerk.operators.substring import match_terms
 from belegwerk.operators.vector_join import vector_join
-from belegwerk.operators.vector_lists import build_vector_lists, list_join, nearest_lists, recall
+from belegwerk.operators.vector_lists import VectorLists, build_vector_lists, list_join, recall
 from belegwerk.plans import search
 from belegwerk.plans.answer import answer_requests
 from belegwerk.plans.corpus_build import build_corpus
 from belegwerk.plans.ingest import ingest
-from belegwerk.session import materialise, shared_folder
+from belegwerk.plans.vector_index import index_vectors
+from belegwerk.session import Limits, materialise, shared_folder
 from belegwerk.sources.files import new_sources
-from belegwerk.sources.store import delete_documents, read_chunks, read_parents
+from belegwerk.sources.store import compact, delete_documents, delete_from_store, read_chunks, read_parents, snapshot
 from belegwerk.streaming.ingest import stream_ingest
 from belegwerk.streaming.questions import stream_questions
 from checks import views
@@ -100,14 +101,24 @@ def vector_best_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("qid", "parent_id", F.round("final_score", 6).alias("final_score"))
 
 
+@register
+def vector_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of many questions: blocks of a few questions meet shards of chunks by key."""
+    hits = vector_join(
+        views.given_questions(spark, sf_dir), views.given_vectors(spark, sf_dir),
+        GIVEN_SIMILARITY, search.VECTOR_CHUNKS, Limits(rows=16),
+    )
+    return scored(hits, "qid", "chunk_id", "rank")
+
+
 @register
 def vector_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact join through the clustered table."""
-    lists = build_vector_lists(views.given_vectors(spark, sf_dir))
+    """Exact join through the stored lists of the given vectors."""
+    lists = VectorLists.stored(snapshot(spark, views.listed_vectors(spark, sf_dir)))
     hits = list_join(
         views.given_questions(spark, sf_dir), lists, GIVEN_SIMILARITY, search.VECTOR_CHUNKS
     )
-    return scored(hits, "qid", "chunk_id", "rank")
+    return scored(hits.withColumn("chunk_id", F.col("chunk_id").cast("long")), "qid", "chunk_id", "rank")
 
 
 @register
@@ -366,6 +377,39 @@ def _stored_counts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@register
+def ingest_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch, then a stream that meets its titles again, then compaction; ranked keyword search."""
+    path = shared_folder(spark)
+    docs = views.table(spark, sf_dir, "documents")
+    some = views.titled(docs.filter("doc_id % 3 = 0")).select("title", "text")
+    ingest(some, f"{path}/corpus", method="fixed")
+    every = views.titled(_stream(spark, sf_dir, "documents")).select("title", "text")
+    stream_ingest(every, f"{path}/corpus", f"{path}/checkpoint", method="fixed").awaitTermination()
+    compact(spark, f"{path}/corpus", 1 << 30)
+    hits = search.keyword_search(views.questions(spark, sf_dir), search.stored_corpus(spark, f"{path}/corpus"))
+    return scored(hits, "qid", "chunk_id", "parent_id")
+
+
+@register
+def delete_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, vector lists, and all documents labelled toxic deleted; best parents."""
+    path = shared_folder(spark)
+    docs = views.table(spark, sf_dir, "documents")
+    for part in (0, 1):
+        some = views.titled(docs.filter(F.col("doc_id") % 2 == part)).select("title", "text")
+        ingest(some, path, method="fixed")
+        if part == 0:
+            index_vectors(spark, path)
+    toxic = views.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    delete_from_store(spark, path, views.titled(docs).join(toxic, "doc_id", "left_semi"))
+    corpus = search.stored_corpus(spark, path)
+    questions = prepare_questions(views.questions(spark, sf_dir))
+    hits = list_join(questions, corpus.lists, search.PASSAGE_MIN_SIMILARITY, search.VECTOR_CHUNKS)
+    best = retrieval.best_per_parent(hits)
+    return best.select("qid", "parent_id", F.round("final_score", 6).alias("final_score"))
+
+
 @register
 def corpus_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as parents keyed by text, all documents as chunks."""

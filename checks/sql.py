@@ -339,10 +339,13 @@ def markdown(html: str) -> str:
 def queries() -> dict[str, str]:
     """SQL per registered query; those left out have no SQL form."""
     q: dict[str, str] = {}
-    q["vector_topk"] = q["vector_lists"] = given(0.2)
+    q["vector_topk"] = q["vector_topk_blocks"] = q["vector_lists"] = given(0.2)
     q["vector_topk_strict"] = given(0.6)
     sims = ASKED + EMBEDDED + [similar(0.60), ("vec", ranked("sim", 25))]
     q["vector_best_parent"] = query(*sims, final="""SELECT qid, parent_id, round(max(score), 6) AS final_score
+FROM vec GROUP BY ALL""")
+    clean = ("docs", DOCS[1] + "\nWHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+    q["delete_then_search"] = query(*after([clean], sims), final="""SELECT qid, parent_id, round(max(score), 6) AS final_score
 FROM vec GROUP BY ALL""")
     q["hashed_embedding"] = query(
         DOCS, *embedding("dv", "docs", "title", "text"),
@@ -367,7 +370,7 @@ FROM occ GROUP BY ALL""")
   sum(pos)::BIGINT AS position_sum FROM dtok JOIN stem USING (token) GROUP BY lexeme""")
     q["fts_match"] = query(*FTS, final="SELECT qid, id FROM full_hit")
     q["cover_density"] = query(*FTS, final="SELECT qid, id, round(score, 6) AS score FROM fts")
-    q["keyword_topk"] = query(*KEYWORD, final="""SELECT qid, chunk_id, parent_id, round(score, 6) AS score FROM kw""")
+    q["keyword_topk"] = q["ingest_then_search"] = query(*KEYWORD, final="""SELECT qid, chunk_id, parent_id, round(score, 6) AS score FROM kw""")
 
     q["hybrid_fusion"] = query(*HYBRID, final="""SELECT qid, parent_id, title, source_url, summary,
   md5(full_text) AS text_md5, round(final_score, 6) AS final_score, fused_rank FROM cand""")

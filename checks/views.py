@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from belegwerk.functions import dialog
 from belegwerk.plans.ingest import ingest
-from belegwerk.plans.search import Corpus
+from belegwerk.plans.search import Corpus, stored_corpus
+from belegwerk.plans.vector_index import index_vectors
+from belegwerk.schemas import PARENTS
 from belegwerk.session import shared_folder, spread
-from belegwerk.sources.store import read_chunks, read_parents, read_postings
+from belegwerk.sources.store import snapshot, write_batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +96,22 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     and asked many times; the ``corpus_build`` query times the building itself.
     """
     path = _stored_corpus(spark, sf_dir)
-    return Corpus(
-        read_parents(spark, path), read_chunks(spark, path),
-        read_postings(spark, f"{path}/postings"),
+    return stored_corpus(spark, path)
+
+
+@functools.lru_cache(maxsize=None)
+def listed_vectors(spark: SparkSession, sf_dir: str) -> str:
+    """A store of the given vectors with their lists, written on first use.
+
+    Ids are padded, so that they sort as numbers do.
+    """
+    path = shared_folder(spark)
+    chunks = given_vectors(spark, sf_dir).select(
+        F.lpad(F.col("id").cast("string"), 12, "0").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), "embedding",
+        F.lit(None).cast("string").alias("content"),
     )
+    parents = spark.createDataFrame([], PARENTS)
+    added = [write_batch(path, "parents", parents, "given", 0), write_batch(path, "chunks", chunks, "given", 0)]
+    snapshot(spark, path).commit(added)
+    index_vectors(spark, path)
+    return path

@@ -14,7 +14,7 @@ from belegwerk.operators.models import batch_model, lead_summary, summarise, tex
 from belegwerk.plans import search
 from belegwerk.plans.ingest import ingest
 from belegwerk.sources.files import list_sources, read_documents, stream_sources
-from belegwerk.sources.store import delete_documents, read_chunks, read_parents
+from belegwerk.sources.store import delete_documents, read_chunks, read_errors, read_parents
 from belegwerk.streaming.ingest import stream_ingest
 from belegwerk.streaming.questions import stream_questions
 
@@ -84,7 +84,7 @@ def test_folder_to_corpus(spark, tmp_path):
     parents = read_parents(spark, path)
     assert sorted((r.title, r.full_text) for r in parents.collect()) == [
         ("a.TXT", "Alpha Text."), ("b c.html", "Beta")]
-    errors = spark.read.parquet(f"{path}/ingest_errors").collect()
+    errors = read_errors(spark, path).collect()
     assert [(r.title, r.error) for r in errors] == [("d.pdf", "no text")]
     # Known names stay as they are, whatever they now hold; new ones come in.
     (folder / "a.TXT").write_text("anderer Text")

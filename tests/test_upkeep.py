@@ -31,7 +31,7 @@ def test_two_streams_into_one_corpus(spark, tmp_path):
 
 def found(spark, path, word):
     corpus = search.Corpus(
-        read_parents(spark, path), read_chunks(spark, path), read_postings(spark, f"{path}/postings")
+        read_parents(spark, path), read_chunks(spark, path), read_postings(spark, path)
     )
     asked = spark.createDataFrame([(1, word)], "qid long, question string")
     rows = search.hybrid_search(asked, corpus)
@@ -40,7 +40,7 @@ def found(spark, path, word):
 
 def test_postings_follow_ingestion_and_deletion(spark, tmp_path):
     path = str(tmp_path / "corpus")
-    assert read_postings(spark, f"{path}/postings").count() == 0
+    assert read_postings(spark, path).count() == 0
     ingest(documents(spark, ("a.txt", "Der Leuchtturm steht."), ("b.txt", "Ein Boot.")), path)
     first = found(spark, path, "Leuchtturm")
     ingest(documents(spark, ("c.txt", "Noch ein Leuchtturm."), ("d.txt", None)), path)
@@ -59,7 +59,7 @@ def test_postings_follow_ingestion_and_deletion(spark, tmp_path):
     assert [t for t, _ in found(spark, path, "Leuchtturm")] == ["c.txt"]
     assert files() == before
     chunk_ids = {r.id for r in read_chunks(spark, path).collect()}
-    assert {r.id for r in read_postings(spark, f"{path}/postings").collect()} == chunk_ids
+    assert {r.id for r in read_postings(spark, path).collect()} == chunk_ids
 
 
 def test_of_equal_titles_a_fixed_one_goes_in(spark, tmp_path):
