@@ -188,7 +188,7 @@ def slot_arrays(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         top = levels_of(slots, min(SLOTS_BITS, depth_of(count)))[-1][0]
         return pa.table({
             "g": pa.array([table.column("g")[0].as_py()], pa.string()), "block": [table.column("block")[0].as_py()], "count": [count],
-            "root": [top.decode()], "slots": [b"".join(slots)], **{c: [table.column(c).to_pylist()] for c in keep},
+            "root": [top.decode()], "slots": [b"".join(slots)], **{c: pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in keep},
         })
 
     dealt = nodes.withColumn("block", F.shiftright("index", SLOTS_BITS)).select("g", "block", "count", "index", "digest", *keep)
