@@ -141,7 +141,9 @@ def learn(docs: DataFrame, per_language: int = 2000, smooth: float = 0.5, least_
     )
     keys = usable.select("doc_id", "lang").distinct()
     drawn = top_k(keys, per_language, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")])
-    sample = materialise(usable.join(drawn.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi"))
+    # Written, so that Spark knows the size of the keys and moves the texts only if there are very many.
+    drawn = materialise(drawn.select("doc_id", "lang"))
+    sample = materialise(usable.join(drawn, ["doc_id", "lang"], "left_semi"))
     found = feature_counts(sample).toArrow()  # languages times features
     names = sorted(set(found.column("lang").to_pylist()))
     own = np.searchsorted(np.array(names, object), found.column("lang").to_pylist()) if names else np.zeros(0, np.int64)
