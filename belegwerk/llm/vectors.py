@@ -89,8 +89,9 @@ def join_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 
 def _matrix(table: pa.Table) -> np.ndarray:
     lists = table.column("v").combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(table.num_rows, -1)
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    # By a power of two, which is exact: squares of very large or small entries stay in range.
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, initial=0, keepdims=True))[1])
 
 
 def near_duplicates(
@@ -148,7 +149,10 @@ def near_duplicates(
         "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("component_id", "rep").alias("component_id"),
     )
-    return rows.join(found, "v", "left").select(
+    # Vectors that are none take no part in the join, where their nulls would meet in one task.
+    named = rows.filter("v is not null").join(found, "v", "left").select("id", "n_links", "component_id")
+    none = rows.filter("v is null").select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast(kind).alias("component_id"))
+    return named.unionByName(none).select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept"),

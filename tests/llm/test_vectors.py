@@ -90,3 +90,10 @@ def test_op1(spark):
     want = brute(rows)
     got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op1_near_vectors(spark, sf).collect()}
     assert got == {rows[n][0]: v for n, v in want.items()}
+
+
+def test_very_large_and_small_entries(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e200]), (4, [1e199, 1e199]), (5, [1e-320, 1e-320]), (6, [0.0, 3.0]), (7, [0.0, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 6), 7: (1, 6)}
