@@ -9,14 +9,16 @@
 4. In each cluster a signature tree over the whole sets tests pairs exactly until all
    are linked or told apart. Links between classes give the components.
 
-Groups above ``CELL`` sets are split by number into blocks, and each pair of blocks is
-a cell of its own: memory stays bounded and no pair is lost. Only spanning pairs leave
-a task, never all pairs of a group.
+Groups whose sets have more than ``CELL`` units of ``UNIT`` shingles are split into blocks,
+and each pair of blocks is a cell of its own: memory stays bounded, however many or long
+the texts are, and no pair is lost. Only spanning pairs leave a task, never all pairs of
+a group.
 
 Defined results: null and empty texts and those without words have no shingles, link
 with nothing and are their own component; a row without an id links with nothing and
-has no component; repeated rows are one class; rows with one id are taken as one
-document; an empty table gives an empty one. Ids are
+has no component; repeated rows are one class. Rows with one id are one document, for
+which the row of the least set stands (by size, then by hash): all of them get its
+component, each its own number of shingles. An empty table gives an empty one. Ids are
 integers. Only the named columns are read.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.arrow_text import slices
+from belegwerk.llm.arrow_text import flat, slices, spread, strings
 from belegwerk.llm.components import connected_components
 from belegwerk.llm.hashing import mix
 from belegwerk.llm.shingles import ROWS, shingle_sets
@@ -37,7 +39,8 @@ from belegwerk.llm.signature_tree import Signatures, bitmap, join_group, needed
 from belegwerk.llm.vectors import join_labels
 from belegwerk.session import materialise
 
-CELL = 2048
+CELL, UNIT = 2048, 512  # units of a block, shingles of a unit: 8 MB of hashes
+WORK = 8 << 20  # bytes of groups worked on at once
 SAMPLED = 64  # one text in so many shows which shingles are frequent
 FREQUENT = 3  # texts of the sample that have a frequent shingle
 MOST_FREQUENT = 100_000  # frequent shingles that the order knows, the commonest first
@@ -58,6 +61,16 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(top.column("code").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def set_hashes(codes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set, whatever the order of its elements."""
+    out = []
+    for k in (1, 2):
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mix(codes + np.uint64(0xA5A5 * k)), out=total[1:])
+        out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return out
+
+
 def text_sets(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """``(doc_id, n, s1, s2, keys, sig)``: set size, set hashes, prefix keys and bitmap."""
 
@@ -75,10 +88,7 @@ def text_sets(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 keys = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(prefix)), pa.int32()), pa.array(codes[order][first].view(np.int64))
                 )
-                total = [np.zeros(len(codes) + 1, np.uint64) for _ in range(2)]
-                for k, t in enumerate(total):
-                    np.cumsum(mix(codes + np.uint64(0xA5A5 * (k + 1))), out=t[1:])
-                s1, s2 = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
+                s1, s2 = set_hashes(codes, bounds)
                 sig = [bitmap(codes[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(s1), pa.array(s2), keys, pa.array(sig, pa.binary())],
@@ -92,60 +102,54 @@ def text_sets(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """``(key, id, place)`` of keys that more than one row has, numbered within the key.
+    """``(key, id, n, place)`` of keys that more than one row has.
 
-    Rows stream past in the order of their key; one row is held at a time.
+    ``place`` adds up the units of the rows before it with the same key. Rows stream past
+    in the order of their key; one row is held at a time.
     """
-    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place = None, 0
+        held, before, alone = None, 0, True  # the last row, its place, whether it is its key's first
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            ids = batch.column(1).to_numpy()
+            key, ids, n = (batch.column(c).to_numpy() for c in range(3))
             if not len(key):
                 continue
             if held is not None:
-                key, ids = np.append(held[0], key), np.append(held[1], ids)
+                key, ids, n = (np.append(h, c) for h, c in zip(held, (key, ids, n)))
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
+            units = -(-n // UNIT)
+            place = np.cumsum(units) - units
             start = np.flatnonzero(first)
-            number = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-            run_on = place if held is not None else 0
-            number += np.where(np.cumsum(first) == 1, run_on, 0)
-            more = np.append(key[1:] == key[:-1], False)
-            shared = (number > 0) | more
+            place -= np.repeat(place[start], np.diff(np.append(start, len(key))))
+            run_on = np.cumsum(first) == 1
+            if held is not None:
+                place += np.where(run_on, before, 0)
+                first[0] = alone
+            shared = ~first | np.append(key[1:] == key[:-1], False)
             shared[-1] = False  # decided with the next batch
             out = np.flatnonzero(shared)
-            held, place = (key[-1:], ids[-1:]), int(number[-1])
+            held, before, alone = (key[-1:], ids[-1:], n[-1:]), int(place[-1]), bool(first[-1])
             if len(out):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[out]), pa.array(ids[out]), pa.array(number[out])], ["key", "id", "place"]
-                )
-        if held is not None and place > 0:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held[0]), pa.array(held[1]), pa.array([place], pa.int64())], ["key", "id", "place"]
-            )
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (key, ids, n, place)], ["key", "id", "n", "place"])
+        if held is not None and not alone:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array([before], pa.int64())], ["key", "id", "n", "place"])
 
-    return rows.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(
-        run, f"key long, id {kind}, place long"
+    return rows.select("key", "id", "n").repartition("key").sortWithinPartitions("key", "id").mapInArrow(
+        run, "key long, id long, n long, place long"
     )
 
 
 def into_cells(rows: DataFrame, cell: int) -> DataFrame:
-    """``rows`` with cell numbers ``i <= j``; a group of up to ``cell`` rows is one cell.
+    """``(key, i, j, id)`` with cell numbers ``i <= j``; a group of up to ``cell`` units is one cell.
 
-    Needs ``key`` and ``place``. A row of a larger group goes to every cell of its block.
+    Needs ``key``, ``id`` and ``place``. A row of a larger group goes to every cell of its block.
     """
-    large = rows.filter((F.col("place") > 0) & (F.col("place") % cell == 0)).groupBy("key").agg(
-        (F.max("place") / cell + 1).cast("int").alias("blocks")
-    )
+    large = rows.filter(F.col("place") >= cell).groupBy("key").agg((F.max("place") / cell + 1).cast("int").alias("blocks"))
     own = F.floor(F.col("place") / cell).cast("int")
-    return rows.join(large, "key", "left").withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    ).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop(
-        "own", "other", "blocks", "place"
-    )
+    return rows.join(large, "key", "left").select("key", "id", own.alias("own"), F.explode(
+        F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    ).alias("other")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
 
 
 class Classes:
@@ -169,24 +173,32 @@ class Classes:
 def by_group(
     rows: DataFrame, payload: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]
 ) -> DataFrame:
-    """Apply ``work`` to whole groups ``(key, i, j)``, many at a time, as they stream past.
+    """Apply ``work`` to whole groups ``(key, i, j)``, some at a time, as they stream past.
 
-    ``work`` gets a table and the first row of each group; it returns pairs of ids.
+    ``work`` gets a table and the first row of each group; it returns pairs of ids. It gets
+    groups of ``WORK`` bytes together, or one that is larger.
     """
-    kind = rows.schema["id"].dataType.simpleString()
+
+    def group_starts(table: pa.Table) -> np.ndarray:
+        new = np.ones(table.num_rows, bool)
+        new[1:] = False
+        for c in ("key", "i", "j"):
+            v = table.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def some(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(starts, table.num_rows)[1:]
+        most = max(1, table.num_rows * WORK // max(1, table.nbytes))  # rows
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + most, "right")))
+            yield work(table.slice(starts[lo], ends[hi - 1] - starts[lo]), starts[lo:hi] - starts[lo])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count, waiting = 0, 1
-
-        def group_starts(table: pa.Table) -> np.ndarray:
-            new = np.ones(table.num_rows, bool)
-            new[1:] = False
-            for c in ("key", "i", "j"):
-                v = table.column(c).to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            return np.flatnonzero(new)
-
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
@@ -196,16 +208,16 @@ def by_group(
             starts = group_starts(table)
             cut = int(starts[-1]) if len(starts) else 0
             if cut:
-                yield work(table.slice(0, cut), starts[:-1])
+                yield from some(table.slice(0, cut), starts[:-1])
             rest = table.slice(cut)
             held, count = rest.to_batches(), rest.num_rows
-            waiting = 2 * count  # a long group is not copied again for every batch
+            waiting = 2 * count  # a long group is not looked at again for every batch
         if count:
             table = pa.Table.from_batches(held)
-            yield work(table, group_starts(table))
+            yield from some(table, group_starts(table))
 
     ordered = rows.select("key", "i", "j", "id", *payload).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def small_and_large(starts: np.ndarray, total: int, most: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -223,23 +235,25 @@ def small_and_large(starts: np.ndarray, total: int, most: int) -> tuple[np.ndarr
     return np.concatenate([empty, *x]), np.concatenate([empty, *y]), large
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """Sets of all documents and the links between their classes.
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, their classes, and the links between those.
 
-    ``(doc_id, n, s1, s2, rep)`` and ``(a, b)``: spanning links of representatives,
-    each with a similarity of at least ``percent``.
+    ``(row, doc_id, n, s1, s2)``; ``(doc_id, rep)``, the class of each document, by the
+    number of one of its rows; and spanning links ``(a, b)`` of classes with a similarity of
+    at least ``percent``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialise(text_sets(docs, size, percent, frequent_shingles(docs, size)))
+    sets = text_sets(docs, size, percent, frequent_shingles(docs, size))
+    sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()))
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = materialise(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    keys = known.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    own = known.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "row")).alias("own")).select("doc_id", "own.*")
+    own = materialise(own)
+    reps = materialise(own.groupBy("n", "s1", "s2").agg(F.min("row").alias("rep")))
+    keys = known.select(F.col("row").alias("id"), "n", F.explode("keys").alias("key"))
     alone = reps.select(F.col("rep").alias("id"))
     # Copies leave first, so that only classes count for the size of a group.
-    shared = shared_rows(shared_rows(keys.select("key", "id")).join(alone, "id", "left_semi"))
-    members = into_cells(materialise(shared), cell).join(
-        known.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id"]), "id"
-    )
+    shared = materialise(shared_rows(shared_rows(keys).join(alone, "id", "left_semi")))
+    members = into_cells(shared, cell).join(known.select(F.col("row").alias("id"), "n", "sig"), "id")
 
     def candidates(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         classes = Classes(table.column("id").to_numpy())
@@ -255,29 +269,41 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int =
             join_group(signatures, rows, percent, classes.of, classes.merge)
         return classes.spanning()
 
-    near = connected_components(by_group(members, ["n", "sig"], candidates)).select(
-        F.col("id").alias("doc_id"), F.col("component_id").alias("key")
-    )
-    return sets.join(reps, ["n", "s1", "s2"], "left"), exact_links(docs, near, size, percent, cell)
+    near = connected_components(by_group(members, ["n", "sig"], candidates)).withColumnRenamed("component_id", "key")
+    near = materialise(near.join(own.select(F.col("row").alias("id"), "doc_id", "n", "s1", "s2"), "id"))
+    return sets.drop("keys", "sig"), own.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep"), exact_links(docs, near, size, percent, cell)
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, cell: int) -> DataFrame:
-    """Spanning links ``(a, b)`` within clusters ``(doc_id, key)``, tested on whole sets."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """Spanning links ``(a, b)`` within clusters ``(key, id, doc_id, n, s1, s2)``, tested on whole sets."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for lo, hi, body, at in slices(batch.column(2), rows=ROWS):
+            for lo, hi, body, at in slices(batch.column(5), rows=ROWS):
                 codes, bounds = shingle_sets(body, at, size)
-                blobs = [codes[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(blobs, pa.binary())], ["key", "id", "codes"]
-                )
+                found = np.stack([np.diff(bounds), *set_hashes(codes, bounds)], 1)
+                ids = batch.column(0).slice(lo, hi - lo).to_numpy()
+                # Of rows with one id, those of the set that stands for it; repeated rows come together.
+                fits = (found == np.stack([batch.column(c).slice(lo, hi - lo).to_numpy() for c in (1, 2, 3)], 1)).all(1)
+                fit = np.flatnonzero(fits)
+                fit = fit[np.append(True, ids[fit][1:] != ids[fit][:-1])[:len(fit)]]
+                if len(fit) and ids[fit[0]] == last:
+                    fit = fit[1:]
+                if not len(fit):
+                    continue
+                last = ids[fit[-1]]
+                n = np.diff(bounds)[fit]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[fit]), batch.column(4).slice(lo, hi - lo).take(pa.array(fit)),
+                    strings(codes[spread(bounds[fit], n)].view(np.uint8), np.append(0, np.cumsum(8 * n))),
+                ], ["id", "cells", "codes"])
 
     def links(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         classes = Classes(table.column("id").to_numpy())
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("codes").to_pylist()]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        body, at = flat(table.column("codes"))
+        sets = [body[a:b].view(np.uint64) for a, b in zip(at.tolist(), at[1:].tolist())]
+        sizes = np.diff(at) // 8
         signatures = Signatures(sizes, [bitmap(s) for s in sets])
 
         def test(x: np.ndarray, y: np.ndarray) -> None:
@@ -294,23 +320,26 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, c
             join_group(signatures, rows, percent, classes.of, test)
         return classes.spanning()
 
-    numbered = shared_rows(clusters.select("key", F.col("doc_id").alias("id")))
-    placed = into_cells(numbered, cell)
-    texts = docs.withColumnRenamed("doc_id", "id")
+    # Hashes are made of each text once and travel once, to all cells of their set.
+    cells = into_cells(shared_rows(clusters), cell).groupBy("id").agg(F.collect_list(F.struct("key", "i", "j")).alias("cells"))
     # One plan at every size: clusters grow with the input, so they are never broadcast.
-    chosen = clusters.select("key", F.col("doc_id").alias("id")).hint("shuffle_merge")
-    rows = chosen.join(texts, "id").select("key", "id", "text")
-    sets = rows.mapInArrow(whole, f"key {kind}, id {kind}, codes binary").dropDuplicates(["key", "id"])
-    return materialise(by_group(placed.join(sets, ["key", "id"]), ["codes"], links))
+    chosen = clusters.join(cells, "id").select("id", "n", "s1", "s2", "cells", "doc_id").hint("shuffle_merge")
+    rows = chosen.join(docs, "doc_id").select("id", "n", "s1", "s2", "cells", "text")
+    kind = "id long, cells array<struct<key:long,i:int,j:int>>, codes binary"
+    sets = rows.mapInArrow(whole, kind).select("id", F.explode("cells").alias("cell"), "codes").select("id", "cell.*", "codes")
+    return materialise(by_group(sets, ["codes"], links))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
-    sets, links = link_classes(docs, size, percent, cell)
-    components = connected_components(links).withColumnRenamed("id", "rep")
-    return sets.join(components, "rep", "left").select(
+    sets, classes, links = link_classes(docs, size, percent, cell)
+    found = connected_components(links).withColumnRenamed("id", "rep")
+    whole = classes.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("whole"))
+    whole = materialise(whole)
+    named = whole.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    return sets.join(whole.join(named, "whole"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
@@ -320,5 +349,5 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows without an id stay; rows with one id stay or go together.
     """
     found = near_duplicates(docs, size, percent)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -70,19 +70,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, offset: float |
     return w
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_text_column(
     docs: DataFrame, name: str, kind: str, work: Callable[[pa.Array], pa.Array], text: str = "text"
 ) -> DataFrame:
-    """``docs`` with one more column that ``work`` makes of each batch of texts."""
-    if name in docs.columns:
+    """``docs`` with one more column that ``work`` makes of each batch of texts.
+
+    Only the text leaves the JVM and only the new column comes back, so other columns
+    may have any names and types.
+    """
+    if fresh(docs, name) != name:
         raise ValueError(f"there is a column {name} already")
-    at = docs.columns.index(text)
-    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">") + f",{name}:{kind}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, work(batch.column(at))], [*batch.schema.names, name]
-            )
+    def run(texts: pa.Array) -> pa.Array:
+        return work(texts)
 
-    return docs.mapInArrow(run, f"struct<{schema}>")
+    # Else Spark would work twice where a filter and a column use the result.
+    made = F.arrow_udf(run, kind).asNondeterministic()
+    return docs.withColumn(name, made(F.col(text)))

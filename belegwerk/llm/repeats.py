@@ -17,9 +17,10 @@ An exact copy of a text with a smaller id goes as a whole, if it is long enough
 hold a string at all.
 
 Defined results: a null text is empty; texts below ``WIDTH`` bytes stay whole; rows
-without an id stay whole and remove nothing; rows with one id are taken as one
-document and never remove from each other; an empty table gives an empty one. Ids are
-integers. Only the named columns are read.
+without an id stay whole and remove nothing; rows with one id are one document: they
+never remove from each other, and each loses the places that any of them loses; an
+empty table gives an empty one. Ids are integers.
+Only the named columns are read; others stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ from belegwerk.llm.anchors import PLACE_BITS, WIDTH, fragments
 from belegwerk.llm.arrow_text import flat, slices, spread
 from belegwerk.llm.collection_bwt import common_prefix_groups, suffix_order
 from belegwerk.llm.hashing import RunHash
+from belegwerk.llm.labelled import fresh
 from belegwerk.session import materialise
 
 SEVERAL = (1 << 40) - 1  # in place of a text's hash: more than one text
 CELL_TEXTS = 30_000  # fragments that one suffix order holds
 PIECE = 1 << (PLACE_BITS - 1)
+COPY_PARTS = 16  # parts of the copies of one text
 SLICE = 1 << 20  # bytes hashed at once: every byte costs about a hundred of arrays
 
 
@@ -72,7 +75,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 def cell_bits(total: int, each: int) -> int:
     """Cells, as a power of two, that hold about ``each`` of ``total`` bytes."""
-    return min(20, max(4, int(-(-total // each)).bit_length()))
+    return min(30, max(4, int(-(-total // each)).bit_length()))
 
 
 def shared_anchors(docs: DataFrame, total: int) -> tuple[bytes, int]:
@@ -149,7 +152,7 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-FRAGMENTS = ("cell int, texts binary, sizes binary, text binary, doc binary, start binary, "
+FRAGMENTS = ("cell int, texts binary, sizes binary, anchors binary, text binary, doc binary, start binary, "
              "begin binary, end binary")
 
 
@@ -198,52 +201,76 @@ def deal_fragments(docs: DataFrame, marks, bits: int, cells: int) -> DataFrame:
                 rest = np.arange(a, b)[~least[a:b]]
                 out.append((
                     c, text[spread(text_at[h], size[h])].tobytes(), size[h].astype(np.int32).tobytes(),
-                    (group[mine] - group[a]).astype(np.int32).tobytes(),
+                    code[h].astype(np.uint32).tobytes(), (group[mine] - group[a]).astype(np.int32).tobytes(),
                     np.append(doc[mine], doc[rest]).astype(np.int64).tobytes(), start[mine].astype(np.int64).tobytes(),
                     start[rest].astype(np.int64).tobytes(), (start[rest] + size[rest]).astype(np.int64).tobytes(),
                 ))
-            kinds = [pa.int32(), *[pa.binary()] * 7]
-            names = ["cell", "texts", "sizes", "text", "doc", "start", "begin", "end"]
+            kinds = [pa.int32(), *[pa.binary()] * 8]
+            names = ["cell", "texts", "sizes", "anchors", "text", "doc", "start", "begin", "end"]
             for lot in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[lot:lot + 256]), kinds)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, FRAGMENTS)
 
 
-def window_owners(texts: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def equal_windows(texts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fragment, offset and group of every window, from the suffix order of the fragments."""
+    owner, length = suffix_order(texts, at)
+    long, new = common_prefix_groups(texts, at, owner, length, WIDTH)
+    owner, length = owner[long], length[long]
+    return owner, np.diff(at)[owner] - length, np.cumsum(new) - 1
+
+
+def orders(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Fragments in lots of at most ``most``, those of one anchor in one lot.
+
+    Equal windows have equal anchors, so no string is in two lots. An anchor of more
+    fragments is a lot by itself.
+    """
+    order = np.argsort(anchor, kind="stable")
+    first = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    ends = np.append(first, len(order))[1:]
+    lo = 0
+    while lo < len(order):
+        fit = int(np.searchsorted(ends, lo + most, "right"))
+        hi = int(ends[fit - 1]) if fit and ends[fit - 1] > lo else int(ends[fit])
+        yield order[lo:hi]
+        lo = hi
+
+
+def window_owners(
+    texts: np.ndarray, at: np.ndarray, anchor: np.ndarray, doc: np.ndarray, most: int = CELL_TEXTS
+) -> np.ndarray:
     """Smallest document of each window's string, windows of all fragments in order.
 
-    More fragments than one suffix order should hold are cut into their windows,
-    dealt to several orders by content.
+    A cell is worked on in suffix orders of at most ``most`` fragments. Only the fragments of one
+    anchor that alone has more are cut into windows, dealt to orders by their content.
     """
     windows = np.diff(at) - WIDTH + 1
     base = np.cumsum(windows) - windows
     out = np.repeat(doc, windows)
-    if len(windows) <= CELL_TEXTS:
-        owner, length = suffix_order(texts, at)
-        long, new = common_prefix_groups(texts, at, owner, length, WIDTH)
-        place = base[owner[long]] + np.diff(at)[owner[long]] - length[long]
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(doc[owner[long]], first)
-        out[place] = np.repeat(least, np.diff(np.append(first, len(long))))
-        return out
-    begin = spread(at[:-1], windows)
-    code = RunHash(texts).of(begin, begin + WIDTH)
-    parts = -(-len(begin) // CELL_TEXTS)
-    part = (code >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-    for a, b in zip(cut.tolist(), cut[1:].tolist()):
-        own = order[a:b]
-        size = np.full(len(own), WIDTH)
-        small = texts[spread(begin[own], size)]
-        small_at = np.arange(len(own) + 1) * WIDTH
-        owner, length = suffix_order(small, small_at)
-        long, new = common_prefix_groups(small, small_at, owner, length, WIDTH)
-        first = np.flatnonzero(new)
-        if len(first):
-            least = np.minimum.reduceat(out[own[owner[long]]], first)
-            out[own[owner[long]]] = np.repeat(least, np.diff(np.append(first, len(long))))
+
+    def settle(spots: np.ndarray, group: np.ndarray) -> None:
+        if len(group):
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            least = np.minimum.reduceat(out[spots], first)
+            out[spots] = np.repeat(least, np.diff(np.append(first, len(spots))))
+
+    for lot in orders(anchor, most):
+        size = np.diff(at)[lot]
+        if len(lot) <= most:
+            own, offset, group = equal_windows(texts[spread(at[lot], size)], np.append(0, np.cumsum(size)))
+            settle(base[lot[own]] + offset, group)
+            continue
+        spots = spread(base[lot], windows[lot])
+        begin = spread(at[lot], windows[lot])
+        parts = -(-len(spots) // most)
+        part = (RunHash(texts).of(begin, begin + WIDTH) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        for k in range(parts):
+            mine = np.flatnonzero(part == k)
+            each = np.full(len(mine), WIDTH)
+            own, _, group = equal_windows(texts[spread(begin[mine], each)], np.arange(len(mine) + 1) * WIDTH)
+            settle(spots[mine[own]], group)
     return out
 
 
@@ -251,17 +278,18 @@ def cell_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, begin and end of every span of repeats that a cell shows."""
     columns = {c: table.column(c).to_pylist() for c in table.column_names if c != "cell"}
     number: dict[bytes, int] = {}
-    texts, text, doc, start, done = [], [], [], [], []
+    texts, anchors, text, doc, start, done = [], [], [], [], [], []
     for k in range(table.num_rows):
         sizes = np.frombuffer(columns["sizes"][k], np.int32)
         ends = np.cumsum(sizes)
         blob, own = columns["texts"][k], []
-        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        for a, b, anchor in zip((ends - sizes).tolist(), ends.tolist(), np.frombuffer(columns["anchors"][k], np.uint32).tolist()):
             t = blob[a:b]
             n = number.get(t)
             if n is None:
                 n = number[t] = len(texts)
                 texts.append(t)
+                anchors.append(anchor)
             own.append(n)
         places = np.frombuffer(columns["text"][k], np.int32)
         docs = np.frombuffer(columns["doc"][k], np.int64)
@@ -274,7 +302,7 @@ def cell_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum([len(t) for t in texts], out=at[1:])
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, text, doc)
-    owners = window_owners(np.frombuffer(b"".join(texts), np.uint8), at, least)
+    owners = window_owners(np.frombuffer(b"".join(texts), np.uint8), at, np.array(anchors, np.uint32), least)
     windows = np.diff(at) - WIDTH + 1
     base = np.cumsum(windows) - windows
     # Runs of repeated windows of every place a fragment has.
@@ -338,44 +366,60 @@ def union_of(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[new, 0], reach[last]], 1).astype("<i8")
 
 
-def drop_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, spans, kept)`` and ``carry`` of every document.
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-    ``spans`` are the maximal removed runs of bytes, ``kept`` the remaining bytes
-    (a cut may fall inside a character). ``carry`` is a struct of columns of ``docs``.
-    """
-    whole = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.struct(*carry, F.lit(0).alias("_")).alias("carry"),
-    )
-    texts = whole.select("doc_id", "text")
+
+def removed(raw: bytes, spans: bytes | None, copies: list[str] | None) -> list[list[int]]:
+    """Maximal removed runs of a text."""
+    if copies and hashlib.md5(raw).hexdigest() in copies:
+        return [[0, len(raw)]]
+    pairs = np.minimum(np.frombuffer(spans, "<i8").reshape(-1, 2), len(raw)) if spans else np.zeros((0, 2), np.int64)
+    return pairs[pairs[:, 0] < pairs[:, 1]].tolist()
+
+
+def kept_bytes(raw: bytes, gone: list[list[int]]) -> bytes:
+    edges = [0, *(e for pair in gone for e in pair), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def with_cuts(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: spans to cut, and hashes of texts that go whole."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(texts)
     named = texts.filter("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").alias("n"))
     firsts = named.filter(F.col("n") >= WIDTH).groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    copies = named.join(firsts.filter("rows > 1"), ["h", "n"]).filter("doc_id > first").select("doc_id", F.lit(True).alias("whole")).distinct()
-    cuts = spans.join(copies, "doc_id", "full")
+    # A text may have very many copies: they meet its first id in parts.
+    firsts = firsts.filter("rows > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))))
+    named = named.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_PARTS)).cast("int"))
+    copies = named.join(firsts, ["h", "n", "part"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("whole"))
+    names = [fresh(docs, c) for c in ("cut_id", "cut_spans", "cut_whole")]
+    cuts = spans.join(copies, "doc_id", "full").toDF(*names)
+    return docs.join(cuts, F.col("doc_id").cast("long") == F.col(names[0]), "left").drop(names[0]), names[1], names[2]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, blob, copied in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                raw = text.encode()
-                gone = [[0, len(raw)]] if copied else np.frombuffer(blob, "<i8").reshape(-1, 2).tolist() if blob else []
-                edges = [0, *(e for pair in gone for e in pair), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((len(raw), len(raw) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept))
-            span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            kinds = (pa.int64(), pa.int64(), span, pa.binary())
-            columns = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(list(v), k) for v, k in zip(columns, kinds)), batch.column(4)],
-                ["doc_id", "n_bytes", "n_removed", "spans", "kept", "carry"],
-            )
-
-    kind = whole.schema["carry"].dataType.simpleString()
-    return whole.join(cuts, "doc_id", "left").select("doc_id", "text", "spans", "whole", "carry").mapInArrow(
-        cut, f"doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary, carry {kind}"
-    )
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, spans, kept)`` of every document.
+
+    ``spans`` are the maximal removed runs of bytes, ``kept`` the remaining bytes
+    (a cut may fall inside a character).
+    """
+    found, spans, whole = with_cuts(docs.select("doc_id", "text"))
+
+    def cut(texts: pa.Array, spans: pa.Array, whole: pa.Array) -> pa.Array:
+        out = []
+        for text, blob, copied in zip(texts.to_pylist(), spans.to_pylist(), whole.to_pylist()):
+            raw = (text or "").encode()
+            gone = removed(raw, blob, copied)
+            kept = kept_bytes(raw, gone)
+            out.append((len(raw), len(raw) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept))
+        columns = zip(*out) if out else [[]] * 4
+        kinds = (pa.int64(), pa.int64(), SPANS, pa.binary())
+        return pa.StructArray.from_arrays(
+            [pa.array(list(v), k) for v, k in zip(columns, kinds)], ["n_bytes", "n_removed", "spans", "kept"]
+        )
+
+    made = F.arrow_udf(cut, "struct<n_bytes:long,n_removed:long,spans:array<struct<begin:long,end:long>>,kept:binary>")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), made.asNondeterministic()("text", spans, whole).alias("cut")).select("doc_id", "cut.*")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -383,18 +427,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes of a character that a cut has split go with the rest of it.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = drop_repeats(docs, tuple(others))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["doc_id", "text", "carry"])
-
-    kind = kept.schema["carry"].dataType.simpleString()
-    out = kept.select("doc_id", "kept", "carry").mapInArrow(decode, f"doc_id long, text string, carry {kind}")
-    count = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
-    return out.select(*[
-        F.col(c) if c in ("doc_id", "text") else count.alias(c) if c == "n_chars" else F.col(f"carry.`{c}`").alias(c)
-        for c in docs.columns
-    ])
+    found, spans, whole = with_cuts(docs)
+
+    def cut(texts: pa.Array, spans: pa.Array, whole: pa.Array) -> pa.Array:
+        out = []
+        for text, blob, copied in zip(texts.to_pylist(), spans.to_pylist(), whole.to_pylist()):
+            raw = (text or "").encode()
+            out.append(kept_bytes(raw, removed(raw, blob, copied)).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
+
+    made = F.arrow_udf(cut, "string").asNondeterministic()
+    out = found.withColumn("text", made("text", spans, whole)).drop(spans, whole)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -8,7 +8,8 @@ every word of every text give the spans and, aggregated, the document's score.
 
 Defined results: a null or empty text has no span and the score of a text without
 any toxic word; repeated rows each get the same score; an empty table gives an
-empty one; without both classes among the learnable labels no word is toxic.
+empty one; without both classes among the learnable labels, or without a word that
+tells them apart, no word and no text is toxic.
 Only the named columns are read; labels never enter a score.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from belegwerk.llm.arrow_text import LOWER, slices, words
 from belegwerk.llm.hashing import RunHash, mix
-from belegwerk.llm.labelled import held_out, logistic, training_sample, with_text_column
+from belegwerk.llm.labelled import fresh, held_out, logistic, training_sample, with_text_column
 from belegwerk.session import materialise
 
 BITS = 18
@@ -308,11 +309,12 @@ class Detector:
         the log of the expected number of toxic words.
         """
         constant, by_odds, by_count = self.rule
-        p = F.least(F.greatest(F.col("_tags.highest"), F.lit(1e-5)), F.lit(1 - 1e-5))
-        z = constant + by_odds * F.log(p / (1 - p)) + by_count * F.log1p("_tags.expected")
-        return tag(docs, self.field, "_tags").withColumn(
-            name, F.struct((1 / (1 + F.exp(-z))).alias("score"), F.col("_tags.spans").alias("spans"))
-        ).drop("_tags")
+        tags = fresh(docs, "_tags")
+        p = F.least(F.greatest(F.col(tags)["highest"], F.lit(1e-5)), F.lit(1 - 1e-5))
+        z = constant + by_odds * F.log(p / (1 - p)) + by_count * F.log1p(F.col(tags)["expected"])
+        return tag(docs, self.field, tags).withColumn(
+            name, F.struct((1 / (1 + F.exp(-z))).alias("score"), F.col(tags)["spans"].alias("spans"))
+        ).drop(tags)
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Detector:
@@ -322,11 +324,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Detector
     """
     chosen = training_sample(labels, "toxic", per_class)
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    model = train(*sentences(sample, telling(sample)))
+    known = telling(sample)
+    model = train(*sentences(sample, known))
     seen = tag(sample, model, "t").select("doc_id", "label", "t.highest", "t.expected").toPandas()
     seen = seen.drop_duplicates("doc_id").sort_values("doc_id")
     y = seen["label"].to_numpy(float)
-    if len(np.unique(y)) < 2:
+    if len(np.unique(y)) < 2 or not len(known):
         return Detector(model, (-6.0, 1.0, 0.0))
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     share = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -346,5 +349,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_cla
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 6000) -> DataFrame:
     """The rows of ``docs`` with a score below ``threshold``, unchanged."""
-    scored = learn(docs, labels, per_class).score(docs)
-    return scored.filter(F.col("_toxic.score") < threshold).drop("_toxic")
+    name = fresh(docs, "_toxic")
+    scored = learn(docs, labels, per_class).score(docs, name)
+    return scored.filter(F.col(name)["score"] < threshold).drop(name)

@@ -149,3 +149,11 @@ def test_op10_held_out(spark):
     got = queries.op10_quality_ranking(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
     got = got[got.held_out]
     assert (got.predicted == got.quality).mean() >= 0.95
+
+
+def test_few_toxic_labels_leave_all_texts_clean(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(12)), int(k % 3 == 0)) for k in range(1, 13)]
+    docs, labels = tables(spark, rows)
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == 12 and not any(r.predicted or r.spans for r in got)
+    assert toxicity.keep_clean(docs, labels).count() == 12

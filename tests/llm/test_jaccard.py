@@ -78,6 +78,31 @@ def test_edge_cases(spark):
     assert jaccard.near_duplicates(empty).collect() == []
 
 
+def test_rows_of_one_id(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(5, one), (5, two + " more"), (5, two + " more"), (6, one), (7, two + " more"), (8, two + " most"), (9, three), (9, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_duplicates(df).collect()
+    # The smaller set stands for id 5, so it is with 6 and not with 7 and 8.
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [
+        (5, 26, 5), (5, 27, 5), (5, 27, 5), (6, 26, 5), (7, 27, 7), (8, 27, 7), (9, 0, 9), (9, 0, 9), (9, 26, 9),
+    ]
+    assert sorted({r.doc_id for r in jaccard.keep_one(df).collect()}) == [5, 7, 9]
+
+
+def test_long_texts_in_split_groups(spark):
+    r = random.Random(12)
+    base = [f"q{k}" for k in range(3000)]
+    rows = [(k, varied(r, base, r.randrange(60))) for k in range(12)] + [(20, "q1 q2 q3 q4 q5 q6")]
+    same(spark, rows, cell=8)
+
+
+def test_odd_columns(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f", 1, 2, 3), (1, "a b c d e f", 1, 2, 3)], "doc_id long, text string, `a.b` int, `a b` int, gone int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_frequent_shingles_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SAMPLED", 1)
     r = random.Random(9)

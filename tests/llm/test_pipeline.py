@@ -93,7 +93,10 @@ def test_nulls_empty_and_extra_columns(spark):
     kind = spark.read.parquet(f"{SF}/documents.parquet").schema
     blank = [tuple(None if f.name != "doc_id" else k for f in kind) for k in (None, 1, 1, 2)]
     for given in ([], blank):
-        docs = spark.createDataFrame(given, kind).selectExpr("*", "1 as label", "'x' as tags", "2 as n")
+        docs = spark.createDataFrame(given, kind).selectExpr(
+            "*", "1 as label", "'x' as tags", "2 as n", "3 as `a b`", "4 as `a.b`", "5 as `_`", "6 as _quality", "7 as _tags", "8 as _toxic",
+            "9 as cut_id", "10 as gone",
+        )
         for _, stage in corpus_pipeline.STAGES[:-1]:
             found = stage(spark, docs, SF)
             assert found.columns == docs.columns and found.count() <= len(given)
