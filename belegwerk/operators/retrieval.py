@@ -44,6 +44,7 @@ def vector_branch(
 def keyword_branch(
     block: QuestionBlock, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
     sets: LexemeSets, k: int = KEYWORD_CHUNKS, families: DataFrame | None = None,
+    wildcards: bool = False,
 ) -> DataFrame:
     """Best chunks by cover density, filled up with substring hits of score 0.
 
@@ -60,7 +61,7 @@ def keyword_branch(
     first = families
     if first is None:
         first = chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))
-    hits = term_hits(parents, "full_text", ["id"], words)
+    hits = term_hits(parents, "full_text", ["id"], words, wildcards)
     per_term = first_per_term(
         hits.join(first, hits["id"] == first["parent_id"])
         .select("parent_id", "first_chunk", "term_ids"),
@@ -129,7 +130,7 @@ def document_vector_branch(
 
 
 def document_title_branch(
-    block: QuestionBlock, parents: DataFrame, k: int | None = FINAL_DOCUMENTS,
+    block: QuestionBlock, parents: DataFrame, k: int | None = FINAL_DOCUMENTS, wildcards: bool = False,
 ) -> DataFrame:
     """Documents whose title holds any term: ``(qid, title, source_url, score)``.
 
@@ -140,7 +141,7 @@ def document_title_branch(
     asked = block.asker_frame()
     documents = parents.select("title", "source_url").distinct()
     by_name = ["title", "source_url"]
-    hits = term_hits(documents, "title", ["title", "source_url"], words)
+    hits = term_hits(documents, "title", ["title", "source_url"], words, wildcards)
     if k is None:
         per_term = hits.select(*by_name, F.explode("term_ids").alias("term_id"))
     else:

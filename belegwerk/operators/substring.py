@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -50,6 +51,75 @@ def any_marker(text: Column, markers: Iterable[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in markers])
 
 
+class _Patterns:
+    """Terms cut into literal pieces, which one automaton finds in a single pass.
+
+    A term without wildcards is one piece. With them, ``%`` cuts a term into segments that
+    follow each other with any gap, ``_`` stands for one character: the pieces of a
+    segment lie at fixed distances. So the places of the pieces decide, and
+    only texts that hold a term's longest piece are looked at.
+    """
+
+    def __init__(self, words: list[str], wildcards: bool):
+        self.always = [i for i, w in enumerate(words) if not w.strip("%" if wildcards else "")]
+        self.pieces: dict[str, list[int]] = {}  # terms that are this piece
+        self.wild: dict[str, list[tuple]] = {}  # patterns by their longest piece
+        self.blank: list[tuple] = []  # patterns without a literal
+        self.placed: set[str] = set()  # pieces whose places are needed
+        for i, w in enumerate(words):
+            if i in self.always:
+                continue
+            if not wildcards or not ("%" in w or "_" in w):
+                self.pieces.setdefault(w, []).append(i)
+                continue
+            segments = []
+            for segment in filter(None, w.split("%")):
+                parts = [(m.start(), m.group()) for m in re.finditer("[^_]+", segment)]
+                segments.append((len(segment), parts))
+                self.placed.update(piece for _, piece in parts)
+            literal = [piece for _, parts in segments for _, piece in parts]
+            if literal:
+                self.wild.setdefault(max(literal, key=len), []).append((i, segments))
+            else:
+                self.blank.append((i, segments))
+        self.always = list(self.always)
+        self.finder = ahocorasick.Automaton()
+        for piece in sorted(self.placed | set(self.pieces)):
+            self.finder.add_word(piece, piece)
+        if len(self.finder):
+            self.finder.make_automaton()
+
+    def found(self, text: str) -> set[int]:
+        """The terms that a lower-cased text holds."""
+        out, places = set(self.always), {}
+        if len(self.finder):
+            for end, piece in self.finder.iter(text):
+                if piece in self.placed:
+                    places.setdefault(piece, []).append(end - len(piece) + 1)
+                out.update(self.pieces.get(piece, ()))
+        tried = self.blank + [p for piece in places for p in self.wild.get(piece, ())]
+        out.update(i for i, segments in tried if follow(segments, places, len(text)))
+        return out
+
+
+def follow(segments: list[tuple[int, list]], places: dict[str, list[int]], size: int) -> bool:
+    """Whether segments can follow each other; the first fit of each leaves most to the rest."""
+    at = 0
+    for length, parts in segments:
+        if not parts:
+            at += length
+            continue
+        (first, lead), rest = parts[0], parts[1:]
+        for place in places.get(lead, ()):
+            begin = place - first
+            if begin >= at and begin + length <= size and all(begin + gap in places.get(p, ()) for gap, p in rest):
+                at = begin + length
+                break
+        else:
+            return False
+    return at <= size
+
+
 class _Matcher:
     """Finds the distinct terms of each row's lower-cased text in one pass.
 
@@ -57,25 +127,13 @@ class _Matcher:
     questions per term, a row becomes one row per question it answers.
     """
 
-    def __init__(self, terms, askers=None, qids: pa.Array | None = None):
-        self.terms, self.askers, self.qids = terms, askers, qids
+    def __init__(self, terms, askers=None, qids: pa.Array | None = None, wildcards: bool = False):
+        self.terms, self.askers, self.qids, self.wildcards = terms, askers, qids, wildcards
 
     def _find(self, batches: Iterator[pa.RecordBatch]):
-        words = self.terms.value
-        finder = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            if w:
-                finder.add_word(w, i)
-        always = {i for i, w in enumerate(words) if not w}
-        if len(finder):
-            finder.make_automaton()
+        patterns = _Patterns(self.terms.value, self.wildcards)
         for batch in batches:
-            hits = []
-            for text in batch.column("__text").to_pylist():
-                row = set(always)
-                if len(finder):
-                    row.update(i for _, i in finder.iter(text))
-                hits.append(row)
+            hits = [patterns.found(text) for text in batch.column("__text").to_pylist()]
             yield batch.drop_columns(["__text"]), hits
 
     def term_lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +162,9 @@ def _lowered(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(*keep, F.lower(text).alias("__text"))
 
 
-def term_hits(df: DataFrame, text: str, keep: list[str], words: list[str]) -> DataFrame:
+def term_hits(
+    df: DataFrame, text: str, keep: list[str], words: list[str], wildcards: bool = False
+) -> DataFrame:
     """The ``keep`` columns plus ``term_ids``: which of ``words`` the text holds.
 
     Linear in the text however many words there are, and one row stays one row.
@@ -112,7 +172,7 @@ def term_hits(df: DataFrame, text: str, keep: list[str], words: list[str]) -> Da
     schema = T.StructType(
         [df.schema[c] for c in keep] + [T.StructField("term_ids", T.ArrayType(T.IntegerType()))]
     )
-    matcher = _Matcher(df.sparkSession.sparkContext.broadcast(words))
+    matcher = _Matcher(df.sparkSession.sparkContext.broadcast(words), wildcards=wildcards)
     hits = _lowered(df, text, keep).mapInArrow(matcher.term_lists, schema)
     return hits.filter(F.size("term_ids") > 0)
 
@@ -176,9 +236,12 @@ def first_per_term(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
 
 def match_terms(
     questions: DataFrame, df: DataFrame, text: str, keep: list[str],
-    terms: str = "terms", limits: Limits = LIMITS,
+    terms: str = "terms", limits: Limits = LIMITS, wildcards: bool = False,
 ) -> DataFrame:
-    """Rows ``(qid, *keep)`` whose text holds any term of the question, literally.
+    """Rows ``(qid, *keep)`` whose text holds any term of the question.
+
+    Terms match literally, but for case; with ``wildcards`` their ``%`` stands for any
+    characters and ``_`` for one (a backslash is taken as itself).
 
     ``questions(qid, terms array<string>)``. The texts are read once per block
     and never shuffled; a pair comes out once, so nothing needs de-duplication.
@@ -195,7 +258,7 @@ def match_terms(
         qids = block.table["qid"].combine_chunks().unique()
         place = {q: i for i, q in enumerate(qids.to_pylist())}
         masks = [functools.reduce(operator.or_, (1 << place[q] for q in who)) for who in asking]
-        matcher = _Matcher(sc.broadcast(words), sc.broadcast(masks), qids)
+        matcher = _Matcher(sc.broadcast(words), sc.broadcast(masks), qids, wildcards)
         return _lowered(df, text, keep).mapInArrow(matcher.question_rows, schema)
 
     return in_blocks(asked, "qid", ["__all"], run, limits)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.fixed_values import DEFAULT_FILE_BASE_URL
+from belegwerk.fixed_values import DEFAULT_FILE_BASE_URL, SUMMARY_INPUT_CHARS
+from belegwerk.functions.prompts import summary_prompt
 from belegwerk.functions.text import document_key
 from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators.chunking import split_children, split_parents
@@ -14,20 +15,27 @@ from belegwerk.operators.models import Model, lead_summary, summarise
 
 def prepare_documents(
     docs: DataFrame, base_url: str = DEFAULT_FILE_BASE_URL, summary_model: Model = lead_summary,
+    summary_template: str | None = None, summary_chars: int | None = SUMMARY_INPUT_CHARS,
 ) -> DataFrame:
-    """``(title, text)`` plus ``source_url`` and ``summary``, once per document."""
+    """``(title, text)`` plus ``source_url`` and ``summary``, once per document.
+
+    With ``summary_template`` the model gets the prompt around the first ``summary_chars``
+    characters (None: all), else the text.
+    """
+    text = F.col("text")
+    asked = text if summary_template is None else summary_prompt(text, summary_template, summary_chars)
     return docs.select(
         "title", "text",
         F.concat(F.lit(base_url), F.col("title")).alias("source_url"),
-        summarise(F.col("text"), summary_model).alias("summary"),
+        summarise(asked, summary_model).alias("summary"),
     )
 
 
 def build_parents(
     docs: DataFrame, method: str = "recursive", base_url: str = DEFAULT_FILE_BASE_URL,
-    summary_model: Model = lead_summary,
+    summary_model: Model = lead_summary, summary_template: str | None = None,
 ) -> DataFrame:
-    return split_parents(prepare_documents(docs, base_url, summary_model), method)
+    return split_parents(prepare_documents(docs, base_url, summary_model, summary_template), method)
 
 
 def build_chunks(
@@ -42,10 +50,11 @@ def build_chunks(
 def build_corpus(
     docs: DataFrame, method: str = "recursive", base_url: str = DEFAULT_FILE_BASE_URL,
     summary_model: Model = lead_summary, embedding_model: Model = hashed_embedding,
+    summary_template: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Lazy ``(parents, chunks)`` of documents ``(title, text)``.
 
     Every step is narrow: one row in, its parts out, on the same executor.
     """
-    parents = build_parents(docs, method, base_url, summary_model)
+    parents = build_parents(docs, method, base_url, summary_model, summary_template)
     return parents, build_chunks(parents, method, embedding_model)

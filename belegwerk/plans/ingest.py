@@ -23,7 +23,7 @@ SMALL_BATCH = 20_000  # chunks; their postings are one file
 def ingest(
     docs: DataFrame, path: str, method: str = "recursive", base_url: str = DEFAULT_FILE_BASE_URL,
     summary_model: Model = lead_summary, embedding_model: Model = hashed_embedding,
-    batch: str | None = None,
+    batch: str | None = None, summary_template: str | None = None,
 ) -> None:
     """Append documents ``(title, text)`` that the corpus at ``path`` does not hold.
 
@@ -48,7 +48,7 @@ def ingest(
         return folder, Snapshot(spark, path, (folder,)).read(table).drop("batch")
 
     parents_at, parents = written(
-        "parents", build_parents(fresh.filter("text is not null"), method, base_url, summary_model)
+        "parents", build_parents(fresh.filter("text is not null"), method, base_url, summary_model, summary_template)
     )
     chunks_at, chunks = written("chunks", build_chunks(parents, method, embedding_model))
     failed = parents.join(

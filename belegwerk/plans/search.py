@@ -62,6 +62,7 @@ class Settings:
     rerank_model: Model = term_share
     rerank_template: str | None = None
     route: object = None
+    wildcards: bool = False  # % and _ inside a term match freely
     limits: Limits = field(default_factory=lambda: LIMITS)
 
 
@@ -82,7 +83,7 @@ def _keyword(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFr
     sets = LexemeSets(words, "words", corpus.config, settings.limits)
     return retrieval.keyword_branch(
         block, corpus.parents, corpus.chunks, corpus.keyword_index(), sets,
-        settings.keyword_chunks, corpus.families,
+        settings.keyword_chunks, corpus.families, settings.wildcards,
     )
 
 
@@ -154,7 +155,7 @@ def document_search(
         vector = retrieval.document_vector_branch(
             block, corpus.parents, chunks, settings.document_similarity, route, settings.documents
         )
-        title = retrieval.document_title_branch(block, corpus.parents, settings.documents)
+        title = retrieval.document_title_branch(block, corpus.parents, settings.documents, settings.wildcards)
         return retrieval.ranked_documents(vector, title, k=settings.documents)
 
     return _blocks(questions, settings, run)

@@ -5,21 +5,21 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.fixed_values import CHILD_OVERLAP, CHILD_SIZE, VECTOR_LISTS
+from belegwerk.fixed_values import CHILD_OVERLAP, CHILD_SIZE, PARENT_SIZE, VECTOR_LISTS
 from belegwerk.functions import dialog
 from belegwerk.functions.html import html_to_markdown
-from belegwerk.functions.prompts import system_prompt
-from belegwerk.functions.text import lexemes, search_terms
+from belegwerk.functions.prompts import RERANK_TEMPLATE, intent_prompt, system_prompt
+from belegwerk.functions.text import lexemes, search_terms, trim_blanks
 from belegwerk.functions.urls import extension, file_name, is_supported, safe_url, source_url
 from belegwerk.functions.vectors import hashed_embedding, quantize_half
 from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.chunking import chunk_recursive
 from belegwerk.operators.integrity import corpus_stats, validate_corpus
 from belegwerk.operators.metrics import RunMetrics, passage_counts
-from belegwerk.operators.models import lead_summary
+from belegwerk.operators.models import lead_summary, term_share
 from belegwerk.operators.postings import build_postings, fts_match, fts_rank
 from belegwerk.operators.question_block import QuestionBlock, prepare_questions
 from belegwerk.operators.substring import match_terms
@@ -27,7 +27,7 @@ from belegwerk.operators.vector_join import vector_join
 from belegwerk.operators.vector_lists import VectorLists, build_vector_lists, list_join, recall
 from belegwerk.plans import search
 from belegwerk.plans.answer import answer_requests
-from belegwerk.plans.corpus_build import build_corpus
+from belegwerk.plans.corpus_build import build_corpus, prepare_documents
 from belegwerk.plans.ingest import ingest
 from belegwerk.plans.vector_index import index_vectors
 from belegwerk.session import Limits, materialise, shared_folder
@@ -184,6 +184,35 @@ def text_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _wild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's first term with ``_`` for a letter, and its first two with ``%`` between."""
+    asked = _asked(spark, sf_dir)
+    one, two = F.col("terms")[0], F.try_element_at("terms", F.lit(2))
+    gap = F.concat(F.substring(one, 1, 1), F.lit("_"), F.expr("substring(terms[0], 3)"))
+    return asked.select("qid", F.filter(F.array(gap, F.concat(one, F.lit("%"), two)), lambda t: t.isNotNull()).alias("terms"))
+
+
+@register
+def wildcard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parents match a pattern of a question, with the first and the last."""
+    hits = match_terms(
+        _wild(spark, sf_dir), views.corpus(spark, sf_dir).parents, "full_text", ["id"], wildcards=True
+    )
+    return hits.groupBy("qid").agg(
+        F.count("*").alias("parents"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
+@register
+def wildcard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that match a pattern of a question, by the document search's title branch."""
+    pattern = F.concat(F.lit("src_%"), (F.col("qid") % 10).cast("string"), F.lit("_.txt"))
+    patterns = views.questions(spark, sf_dir).select("qid", F.array(pattern).alias("terms"))
+    block = QuestionBlock(patterns)
+    found = retrieval.document_title_branch(block, views.corpus(spark, sf_dir).parents, wildcards=True)
+    return found.select("qid", "title")
+
+
 @register
 def title_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = views.corpus(spark, sf_dir).parents
@@ -259,6 +288,20 @@ def rerank_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def rerank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranking by a model that gets the rendered instruction, and the instruction it got."""
+    def model(prompt: Column, passage: Column) -> Column:
+        return term_share(F.substring_index(prompt, "Query: ", -1), passage)
+
+    settings = search.Settings(rerank_model=model, rerank_template=RERANK_TEMPLATE)
+    found = search.top_passages(views.questions(spark, sf_dir), views.corpus(spark, sf_dir), settings)
+    return found.select(
+        "qid", "pos", "parent_id", F.round("rerank_score", 6).alias("rerank_score"),
+        F.md5(assemble.rerank_prompt(F.col("question"))).alias("prompt_md5"),
+    )
+
+
 @register
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = assemble.contexts(_top_passages(spark, sf_dir))
@@ -353,6 +396,36 @@ def q_chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def chunk_recursive_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the recursive chunks of every document, counted."""
+    docs = views.documents(spark, sf_dir)
+    parents = chunk_recursive(docs, "text", out="full_text", index="parent_idx")
+    children = chunk_recursive(
+        parents.select("title", "text", "parent_idx", "full_text"), "full_text",
+        CHILD_SIZE, CHILD_OVERLAP, "content", "child_idx",
+    )
+
+    def broken(rows: DataFrame, whole: str, part: str, size: int, kind: str) -> DataFrame:
+        inside = F.contains(whole, part) & (F.length(part) <= size) & (F.length(part) > 0) & (trim_blanks(F.col(part)) == F.col(part))
+        return rows.groupBy("title").agg(
+            F.sum(F.when(inside, 0).otherwise(1)).alias(f"{kind}_broken"), F.min(kind + "_idx").alias(f"{kind}_first"),
+        )
+
+    return broken(parents, "text", "full_text", PARENT_SIZE, "parent").join(
+        broken(children, "full_text", "content", CHILD_SIZE, "child"), "title", "left"
+    )
+
+
+@register
+def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by a model that answers the prompt over the whole text with its hash."""
+    docs = prepare_documents(
+        views.documents(spark, sf_dir), summary_model=F.md5, summary_template="Drei Sätze über: {text}\nEnde", summary_chars=None
+    )
+    return docs.select("title", "summary")
+
+
 @register
 def lead3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.documents(spark, sf_dir).select("title", lead_summary(F.col("text")).alias("summary"))
@@ -484,6 +557,25 @@ def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "turn", "reply", "intent", "search_query")
 
 
+@register
+def intent_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's prompt for every request, with its history."""
+    asked = views.requests(spark, sf_dir)
+    return asked.select("qid", F.md5(intent_prompt(F.col("message"), F.col("history"))).alias("prompt_md5"))
+
+
+@register
+def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as clients send them: a JSON list of messages, plain text, or an empty list."""
+    turns = views.table(spark, sf_dir, "conversations")
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    messages = F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    sent = turns.groupBy(F.col("conv_id").alias("qid")).agg(F.to_json(messages).alias("list"), F.max_by("text", "turn").alias("last"))
+    question = F.when(F.col("qid") % 5 == 3, F.col("last")).when(F.col("qid") % 5 == 4, "[]").otherwise(F.col("list"))
+    read = dialog.read_requests(sent.select("qid", question.alias("question")))
+    return read.select("qid", "message", "history", F.size("messages").alias("n_messages"))
+
+
 @register
 def intent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies in all shapes: plain, in brackets, with two queries, missing."""
@@ -533,6 +625,12 @@ def q_stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "qid", "parent_id", "fused_rank", F.round("final_score", 6).alias("final_score"))
 
 
+@register
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the stages of a run report, without their times."""
+    return run_metrics(spark, sf_dir).select("stage", "rows")
+
+
 @register
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and wall time of the chunking and the search stage."""

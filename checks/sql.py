@@ -357,6 +357,14 @@ SELECT qid::VARCHAR AS key, array_to_string(terms, ' ') AS terms FROM terms
 UNION ALL SELECT title, array_to_string({terms_of('text')}, ' ') FROM docs, stops""")
     q["text_any_match"] = query(*TERMS, *KEYWORD, final="""SELECT qid, count(*) AS parents,
   min(parent_id) AS first_id, max(parent_id) AS last_id FROM phit GROUP BY qid""")
+    wild = ("wild", """SELECT qid, unnest([substring(terms[1], 1, 1) || '_' || substring(terms[1], 3),
+  terms[1] || '%' || terms[2]]) AS pattern FROM terms""")
+    q["wildcard_match"] = query(*TERMS, wild, *PARENTS, final="""SELECT qid, count(*) AS parents, min(id) AS first_id, max(id) AS last_id
+FROM (SELECT DISTINCT qid, id FROM (SELECT DISTINCT pattern, id FROM (SELECT DISTINCT pattern FROM wild) p
+  JOIN (SELECT id, lower(full_text) AS t FROM parents) ON t LIKE '%' || pattern || '%') JOIN wild USING (pattern)) GROUP BY qid""")
+    q["wildcard_titles"] = query(QUESTIONS, DOCS, final="""SELECT qid, title FROM questions JOIN (SELECT DISTINCT title, source_url FROM docs)
+ON lower(title) LIKE '%src_%' || (qid % 10) || '_.txt%'
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title, source_url) <= 35""")
     names = PARENTS + [DOCSEARCH[1], DOCSEARCH[2]]
     q["title_any_match"] = query(*TERMS, *names, final="SELECT qid, title, source_url, score FROM dtitle")
     q["postings"] = query(*LEXED, final="""SELECT lexeme, id, array_to_string(list(pos ORDER BY pos), ',') AS positions
@@ -385,6 +393,8 @@ FROM questions LEFT JOIN dfirst USING (qid) GROUP BY qid""")
     top = HYBRID + TOP6
     q["rerank_top6"] = query(*top, final="""SELECT qid, pos, parent_id, fused_rank,
   round(rerank_score, 6) AS rerank_score FROM top6""")
+    q["rerank_pairs"] = query(*top, final=r"""SELECT qid, pos, parent_id, round(rerank_score, 6) AS rerank_score,
+  md5(concat(E'Instruct: Welche Abschnitte helfen, diese Frage zu beantworten?\nQuery: ', question)) AS prompt_md5 FROM top6 JOIN questions USING (qid)""")
     q["context_blocks"] = query(*top, final="""SELECT qid, length(context) AS n_chars, md5(context) AS context_md5
 FROM context""")
     q["passages_per_question"] = query(*top, final="SELECT qid, count(*) AS passages FROM top6 GROUP BY qid")
@@ -407,6 +417,9 @@ FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
     q["html_to_markdown"] = f"SELECT page_id, length(markdown) AS n_chars, markdown FROM (SELECT page_id, {md} AS markdown FROM pages)"
     q["chunk_fixed"] = query(*CHUNKS, final="""SELECT id, parent_id, child_idx, md5(content) AS content_md5 FROM chunks""")
     q["lead3_summary"] = query(DOCS, final="SELECT title, summary FROM docs")
+    q["summary_prompts"] = query(DOCS, final=r"""SELECT title, md5(concat('Drei Sätze über: ', text, E'\nEnde')) AS summary FROM docs""")
+    q["chunk_recursive_checks"] = query(DOCS, final=f"""SELECT title, 0::BIGINT AS parent_broken, 0::BIGINT AS parent_first,
+  0::BIGINT AS child_broken, 0::BIGINT AS child_first FROM docs WHERE {trimmed('text')} <> ''""")
     q["corpus_build"] = q["stream_ingest"] = query(*CHUNKS, final=STORED)
     q["corpus_checks"] = query(
         ("p", "SELECT md5(text) AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
@@ -438,6 +451,17 @@ UNION ALL SELECT conv_id, turn, CASE WHEN role = 'user' OR turn = max(turn) OVER
         STOPS, ("t", f"SELECT *, {terms_of('text')} AS terms FROM conversations, stops"),
         ("r", f"SELECT *, {rule_reply('text', 'terms')} AS reply FROM t"),
         final=f"SELECT conv_id, turn, reply, {INTENT} AS intent, {reply_query('text')} AS search_query FROM r")
+    q["intent_prompts"] = query(NEWEST, HISTORY, REQUESTS[3], final=r"""SELECT qid, md5(concat(
+  E'Ordne die Nachricht ein und nenne knappe Suchbegriffe.\nSMALLTALK: Gruß, Dank oder allgemeines Gespräch.\n',
+  E'SEARCH: es werden Dokumente oder eine Liste von Dateien verlangt.\nRAG: Fachfrage, die aus den Dokumenten zu beantworten ist.\n',
+  E'Der Verlauf zählt nur, wenn die Nachricht sich auf ihn bezieht.\n',
+  E'Antworte in zwei Zeilen:\nTYPE: <Klasse>\nQUERY: <Suchbegriffe>\n\nNachricht:\n', message, E'\n\nVerlauf:\n', history)) AS prompt_md5
+FROM requests JOIN history ON conv_id = qid""")
+    q["raw_requests"] = query(NEWEST, HISTORY, final="""SELECT conv_id AS qid,
+  CASE WHEN conv_id % 5 = 4 THEN '' ELSE max(text) FILTER (back = 1) END AS message,
+  CASE WHEN conv_id % 5 >= 3 THEN '' ELSE max(history) END AS history,
+  CASE WHEN conv_id % 5 >= 3 THEN 1 ELSE count(*) END AS n_messages
+FROM newest JOIN history USING (conv_id) GROUP BY conv_id""")
     q["intent_parse"] = query(
         ("r", r"""SELECT *, CASE turn WHEN 0 THEN concat(E'TYPE: SEARCH\nQUERY:  ', text, E' \n')
   WHEN 1 THEN concat(E'TYPE: [SEARCH]\nQUERY: ', text)
@@ -459,4 +483,9 @@ FROM routed r LEFT JOIN context USING (qid) LEFT JOIN refs USING (qid)"""),
         final=f"""SELECT qid, intent, search_query, md5(context) AS context_md5, md5(prompt) AS prompt_md5,
   CASE WHEN length(sentence) > 0 THEN sentence ELSE prompt END AS answer, refs FROM prompted
 UNION ALL SELECT qid, NULL, NULL, md5(''), NULL, message, '' FROM requests WHERE {any_of('message', MARKERS)}""")
+    half = """list_max([abs(x::DOUBLE - round_even(x::DOUBLE / pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10), 0)
+    * pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10)) FOR x IN embedding IF x <> 0])"""
+    q["half_precision"] = f"SELECT vec_id AS id, round({half}, 6) AS largest_gap FROM embeddings"
+    q["metric_rows"] = query(*HYBRID, final="""SELECT 'chunk' AS stage, count(*) AS rows FROM chunks
+UNION ALL SELECT 'search', count(*) FROM cand""")
     return q
