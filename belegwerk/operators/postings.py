@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +13,7 @@ from pyspark.sql import types as T
 
 from belegwerk.fixed_values import COVER_WEIGHT
 from belegwerk.functions.text import lexemes, stem_batches
-from belegwerk.operators.question_block import LexemeSets
-from belegwerk.session import LIMITS, Limits, in_blocks, top_k
+from belegwerk.session import LIMITS, Limits, materialise, sized, top_k
 
 POSTING_BUCKETS = 64
 ALL_LEXEMES = -1  # bucket of a small batch, whose postings are one file
@@ -97,34 +97,58 @@ def cover_density(positions: str, weight: float = COVER_WEIGHT) -> Column:
     return F.expr(_COVER_DENSITY.format(positions=positions, weight=weight))
 
 
+@dataclass(frozen=True)
+class LexemeSets:
+    """Distinct lexeme sets of questions, as rows, and the questions that ask each.
+
+    Questions with the same lexemes have the same matches, so every set is ranked once.
+    Questions without lexemes are in no set.
+    """
+
+    members: DataFrame  # (set_id, n, lexeme)
+    askers: DataFrame  # (set_id, qid)
+
+
+def lexeme_sets(questions: DataFrame, text: str, config: str, limits: Limits = LIMITS) -> LexemeSets:
+    wanted = F.array_sort(F.collect_set("lexeme")).alias("wanted")
+    asked = materialise(lexemes(questions, text, ["qid"], config).groupBy("qid").agg(wanted))
+    sets = materialise(asked.select("wanted").distinct().withColumn("set_id", F.monotonically_increasing_id()))
+    members = sets.select("set_id", F.size("wanted").alias("n"), F.explode("wanted").alias("lexeme"))
+    return LexemeSets(members, sized(asked.join(sets, "wanted").select("set_id", "qid"), limits))
+
+
 def match_sets(
-    sets: LexemeSets, postings: DataFrame, key: str, k: int | None
+    sets: LexemeSets, postings: DataFrame, key: str, k: int | None, limits: Limits = LIMITS
 ) -> DataFrame:
     """Texts that hold all lexemes of a set: ``(qid, <key>, score)``.
 
     Candidates come from the rarest lexeme of every set; the other lexemes are
     looked up in the candidates by ``(lexeme, key)``. A lexeme that a third of
-    all texts hold is therefore never expanded, and no join key is hot.
+    all texts hold is therefore never expanded, and no join key is hot. The tables of the
+    questions are written and broadcast where they are small; beyond that the same joins
+    shuffle.
     """
-    spark = postings.sparkSession
-    vocabulary = sets.vocabulary
-    words = spark.createDataFrame(pa.table({"lexeme": pa.array(vocabulary, pa.string())}))
+    words = sized(sets.members.select("lexeme").distinct(), limits)
     if "bucket" in postings.columns:
         # Stored postings are partitioned by this hash: name the directories of
-        # the asked lexemes, so that only those are listed and read.
+        # the asked lexemes, at most all, so that only those are listed and read.
         asked = [str(r[0]) for r in words.select(lexeme_bucket(F.col("lexeme"))).distinct().collect()]
         postings = postings.filter(f"bucket in ({', '.join([*asked, str(ALL_LEXEMES)])})" if asked else "false")
-    needed = postings.join(F.broadcast(words), "lexeme", "left_semi").select("lexeme", key, "positions")
-    df = dict(needed.groupBy("lexeme").count().toArrow().to_pandas().itertuples(index=False))
-    single, several = sets.rarest_frames(df)
+    needed = postings.join(words, "lexeme", "left_semi").select("lexeme", key, "positions")
+    counts = needed.groupBy("lexeme").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = sets.members.join(counts, "lexeme").groupBy("set_id", "n").agg(
+        F.count(F.lit(1)).alias("found"), F.min_by("lexeme", F.struct("texts", "lexeme")).alias("lexeme")
+    )
+    rarest = sized(rarest.filter("found = n").select("set_id", "n", "lexeme"), limits)
     # A lone lexeme is its own cover at every place: weight times frequency.
-    alone = needed.join(F.broadcast(single), "lexeme").select(
+    alone = needed.join(rarest.filter("n = 1"), "lexeme").select(
         "set_id", key, F.round(F.lit(COVER_WEIGHT) * F.size("positions"), 9).alias("score")
     )
     if k is not None:
         alone = top_k(alone, k, ["set_id"], [F.desc("score"), F.asc(key)]).drop("rank")
-    members = F.broadcast(sets.member_frame())
-    candidates = needed.select("lexeme", key).join(F.broadcast(several), "lexeme").select("set_id", key)
+    several = rarest.filter("n > 1")
+    members = sized(sets.members.join(several.select("set_id"), "set_id", "left_semi"), limits)
+    candidates = needed.select("lexeme", key).join(several.select("set_id", "lexeme"), "lexeme").select("set_id", key)
     found = candidates.join(members, "set_id").join(needed, ["lexeme", key])
     hits = (
         found.groupBy("set_id", key)
@@ -134,9 +158,7 @@ def match_sets(
     )
     if k is not None:
         hits = top_k(hits, k, ["set_id"], [F.desc("score"), F.asc(key)]).drop("rank")
-    return hits.unionByName(alone).join(F.broadcast(sets.asker_frame()), "set_id").select(
-        F.explode("qids").alias("qid"), key, "score"
-    )
+    return hits.unionByName(alone).join(sets.askers, "set_id").select("qid", key, "score")
 
 
 def fts_rank(
@@ -148,10 +170,7 @@ def fts_rank(
     ``k`` keeps the best rows per question (score, then key). A question whose
     text has no lexeme matches nothing.
     """
-    def run(block: DataFrame) -> DataFrame:
-        return match_sets(LexemeSets(block, text, config, limits), postings, key, k)
-
-    return in_blocks(questions, "qid", [text], run, limits)
+    return match_sets(lexeme_sets(questions, text, config, limits), postings, key, k, limits)
 
 
 def fts_match(

@@ -1,8 +1,9 @@
-"""The branches of both search modes and their fusion, per block of questions.
+"""The branches of both search modes and their fusion, over tables of questions.
 
-A block holds ``questions(qid, question, terms, embedding)``; the corpus is
+Questions are ``(qid, question, terms, embedding)``, in any number; the corpus is
 ``parents(id, title, source_url, full_text, summary)``,
-``chunks(id, parent_id, content, embedding)``.
+``chunks(id, parent_id, content, embedding)``. Small tables that come of the questions
+are written and broadcast; beyond the limits the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from belegwerk.fixed_values import (
 )
 from belegwerk.functions.text import document_key
 from belegwerk.functions.urls import safe_url
-from belegwerk.operators.postings import match_sets
-from belegwerk.operators.question_block import LexemeSets, QuestionBlock
-from belegwerk.operators.substring import first_per_term, term_hits
-from belegwerk.operators.vector_join import block_hits
-from belegwerk.session import ranked, top_k
+from belegwerk.operators.postings import lexeme_sets, match_sets
+from belegwerk.operators.substring import AskedTerms, first_per_term, term_hits
+from belegwerk.operators.vector_join import vector_join
+from belegwerk.operators.vector_lists import VectorLists, list_join
+from belegwerk.session import LIMITS, Limits, ranked, sized, top_k
 
 
 def by_score() -> list:
@@ -27,24 +28,27 @@ def by_score() -> list:
 
 
 def vector_branch(
-    block: QuestionBlock, chunks: DataFrame, min_similarity: float,
-    k: int | None = VECTOR_CHUNKS, route=None,
+    questions: DataFrame, chunks: DataFrame, min_similarity: float, k: int | None = VECTOR_CHUNKS,
+    lists: VectorLists | None = None, route=None, limits: Limits = LIMITS, group: str | None = None,
 ) -> DataFrame:
     """Best chunks by similarity: ``(qid, chunk_id, parent_id, score)``.
 
     A chunk's parent is taken from its foreign key; ``validate_corpus`` checks
-    that key, so no join is spent on it here.
+    that key, so no join is spent on it here. Clustered ``lists`` are read instead of the
+    chunks where there are any.
     """
-    hits = block_hits(
-        block, chunks.filter(F.col("parent_id").isNotNull()), min_similarity, k, route
-    )
-    return hits if k is None else top_k(hits, k, ["qid"], by_score()).drop("rank")
+    if lists is not None and route is None:
+        hits = list_join(questions, lists, min_similarity, k, limits=limits, group=group)
+    else:
+        whole = chunks.filter(F.col("parent_id").isNotNull())
+        hits = vector_join(questions, whole, min_similarity, k, limits, route, group=group)
+    return hits.select("qid", "chunk_id", "parent_id", "score")
 
 
 def keyword_branch(
-    block: QuestionBlock, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
-    sets: LexemeSets, k: int = KEYWORD_CHUNKS, families: DataFrame | None = None,
-    wildcards: bool = False,
+    questions: DataFrame, parents: DataFrame, chunks: DataFrame, postings: DataFrame,
+    config: str = "german", k: int = KEYWORD_CHUNKS, families: DataFrame | None = None,
+    wildcards: bool = False, limits: Limits = LIMITS,
 ) -> DataFrame:
     """Best chunks by cover density, filled up with substring hits of score 0.
 
@@ -54,32 +58,28 @@ def keyword_branch(
     term keeps ``k`` parents, whatever share of all parents it matches. The first chunk of
     each parent is read from stored ``families(parent_id, first_chunk)``, if there are any.
     """
-    ranked = match_sets(sets, postings, "id", k).withColumnRenamed("id", "chunk_id")
+    words = questions.select("qid", F.array_join("terms", " ").alias("words"))
+    sets = lexeme_sets(words, "words", config, limits)
+    matched = sized(match_sets(sets, postings, "id", k, limits).withColumnRenamed("id", "chunk_id"), limits)
 
-    words, _ = block.askers
-    asked = block.asker_frame()
+    asked = AskedTerms(questions.select("qid", "terms"), limits)
     first = families
     if first is None:
         first = chunks.groupBy("parent_id").agg(F.min("id").alias("first_chunk"))
-    hits = term_hits(parents, "full_text", ["id"], words, wildcards)
+    hits = term_hits(parents, "full_text", ["id"], asked, wildcards)
     per_term = first_per_term(
         hits.join(first, hits["id"] == first["parent_id"])
         .select("parent_id", "first_chunk", "term_ids"),
         k, ["first_chunk", "parent_id"],
     )
-    chosen = (
-        per_term.join(F.broadcast(asked), "term_id")
-        .select(F.explode("qids").alias("qid"), "parent_id", "first_chunk").distinct()
-    )
-    chosen = top_k(chosen, k, ["qid"], [F.asc("first_chunk")]).select("qid", "parent_id")
+    chosen = per_term.join(asked.askers, "term_id").select("qid", "parent_id", "first_chunk").distinct()
+    chosen = sized(top_k(chosen, k, ["qid"], [F.asc("first_chunk")]).select("qid", "parent_id"), limits)
     family = chunks.select("parent_id", F.col("id").alias("chunk_id"))
-    fill = family.join(F.broadcast(chosen), "parent_id").select(
+    fill = family.join(chosen, "parent_id").select(
         "qid", "chunk_id", "parent_id", F.lit(0.0).alias("score")
     )
     fill = top_k(fill, k, ["qid"], [F.asc("chunk_id")]).drop("rank")
-    scored = family.join(F.broadcast(ranked), "chunk_id").select(
-        "qid", "chunk_id", "parent_id", "score"
-    )
+    scored = family.join(matched, "chunk_id").select("qid", "chunk_id", "parent_id", "score")
     both = scored.unionByName(fill).groupBy("qid", "chunk_id", "parent_id").agg(
         F.max("score").alias("score")
     )
@@ -94,23 +94,23 @@ def best_per_parent(*branches: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "parent_id").agg(F.max("score").alias("final_score"))
 
 
-def with_passages(fused: DataFrame, parents: DataFrame) -> DataFrame:
+def with_passages(fused: DataFrame, parents: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Rank fused parents per question and fetch their wide columns.
 
-    The fused side is small by construction (two top-k lists per question of
-    one block), so it is broadcast; it is ranked while narrow, and the texts stay where they are.
+    The fused side is two top-k lists per question. It is ranked while narrow, so that
+    texts never go through a window.
     """
-    there = parents.select(F.col("id").alias("parent_id")).join(F.broadcast(fused), "parent_id")
+    there = parents.select(F.col("id").alias("parent_id")).join(sized(fused, limits), "parent_id")
     order = ranked(there, ["qid"], [F.desc("final_score"), F.asc("parent_id")], "fused_rank")
     wide = parents.select(F.col("id").alias("parent_id"), "title", "source_url", "full_text", "summary")
-    return wide.join(F.broadcast(order), "parent_id").select(
+    return wide.join(sized(order, limits), "parent_id").select(
         "parent_id", "title", "source_url", "full_text", "summary", "qid", "final_score", "fused_rank"
     )
 
 
 def document_vector_branch(
-    block: QuestionBlock, parents: DataFrame, chunks: DataFrame, min_similarity: float,
-    route=None, k: int = FINAL_DOCUMENTS,
+    questions: DataFrame, parents: DataFrame, chunks: DataFrame, min_similarity: float,
+    k: int = FINAL_DOCUMENTS, lists: VectorLists | None = None, route=None, limits: Limits = LIMITS,
 ) -> DataFrame:
     """Best similarity of the ``k`` best documents: ``(qid, title, source_url, score)``.
 
@@ -119,10 +119,9 @@ def document_vector_branch(
     that do not carry their ``document`` get it from their parent first.
     """
     names = parents.select(F.col("id").alias("parent_id"), "title", "source_url")
-    chunks = chunks.filter(F.col("parent_id").isNotNull())
-    if "document" not in chunks.columns:
+    if lists is None and "document" not in chunks.columns:
         chunks = chunks.join(names.select("parent_id", document_key().alias("document")), "parent_id")
-    hits = block_hits(block, chunks, min_similarity, k, route, "document")
+    hits = vector_branch(questions, chunks, min_similarity, k, lists, route, limits, "document")
     best = hits.groupBy("qid", "parent_id").agg(F.max("score").alias("score"))
     return best.join(names, "parent_id").groupBy("qid", "title", "source_url").agg(
         F.max("score").alias("score")
@@ -130,25 +129,23 @@ def document_vector_branch(
 
 
 def document_title_branch(
-    block: QuestionBlock, parents: DataFrame, k: int | None = FINAL_DOCUMENTS, wildcards: bool = False,
+    questions: DataFrame, parents: DataFrame, k: int | None = FINAL_DOCUMENTS, wildcards: bool = False,
+    limits: Limits = LIMITS,
 ) -> DataFrame:
-    """Documents whose title holds any term: ``(qid, title, source_url, score)``.
+    """Documents whose title holds any term of ``questions(qid, terms)``: ``(qid, title, source_url, score)``.
 
     All scores are equal, so only the first ``k`` by title and URL can be used;
     every term keeps ``k`` documents before questions are attached.
     """
-    words, _ = block.askers
-    asked = block.asker_frame()
+    asked = AskedTerms(questions.select("qid", "terms"), limits)
     documents = parents.select("title", "source_url").distinct()
     by_name = ["title", "source_url"]
-    hits = term_hits(documents, "title", ["title", "source_url"], words, wildcards)
+    hits = term_hits(documents, "title", ["title", "source_url"], asked, wildcards)
     if k is None:
         per_term = hits.select(*by_name, F.explode("term_ids").alias("term_id"))
     else:
         per_term = first_per_term(hits, k, by_name)
-    rows = per_term.join(F.broadcast(asked), "term_id").select(
-        F.explode("qids").alias("qid"), "title", "source_url"
-    ).distinct()
+    rows = per_term.join(asked.askers, "term_id").select("qid", "title", "source_url").distinct()
     if k is not None:
         rows = top_k(rows, k, ["qid"], [F.asc(c) for c in by_name]).drop("rank")
     return rows.withColumn("score", F.lit(float(TITLE_SCORE)))

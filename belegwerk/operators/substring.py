@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from belegwerk.operators.question_block import QuestionBlock
-from belegwerk.session import LIMITS, Limits, in_blocks, top_k
+from belegwerk.session import LIMITS, Limits, in_blocks, materialise, sized, top_k
 
 ROWS_PER_BATCH = 1 << 16
 
@@ -123,12 +123,12 @@ def follow(segments: list[tuple[int, list]], places: dict[str, list[int]], size:
 class _Matcher:
     """Finds the distinct terms of each row's lower-cased text in one pass.
 
-    Without ``askers`` a row gains ``term_ids``. With it, a bit mask of
-    questions per term, a row becomes one row per question it answers.
+    Without ``askers`` a row gains ``term_ids``, the numbers of its terms. With it, a bit
+    mask of questions per term, a row becomes one row per question it answers.
     """
 
-    def __init__(self, terms, askers=None, qids: pa.Array | None = None, wildcards: bool = False):
-        self.terms, self.askers, self.qids, self.wildcards = terms, askers, qids, wildcards
+    def __init__(self, terms, askers=None, qids: pa.Array | None = None, wildcards: bool = False, ids: np.ndarray | None = None):
+        self.terms, self.askers, self.qids, self.wildcards, self.ids = terms, askers, qids, wildcards, ids
 
     def _find(self, batches: Iterator[pa.RecordBatch]):
         patterns = _Patterns(self.terms.value, self.wildcards)
@@ -138,7 +138,7 @@ class _Matcher:
 
     def term_lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, hits in self._find(batches):
-            lists = pa.array([sorted(h) for h in hits], pa.list_(pa.int32()))
+            lists = pa.array([self.ids[sorted(h)] for h in hits], pa.list_(pa.int64()))
             yield batch.append_column("term_ids", lists)
 
     def question_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,19 +162,41 @@ def _lowered(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(*keep, F.lower(text).alias("__text"))
 
 
-def term_hits(
-    df: DataFrame, text: str, keep: list[str], words: list[str], wildcards: bool = False
-) -> DataFrame:
-    """The ``keep`` columns plus ``term_ids``: which of ``words`` the text holds.
+class AskedTerms:
+    """Distinct lower-cased terms of a table ``(qid, terms)``, and the questions that ask each."""
+
+    def __init__(self, questions: DataFrame, limits: Limits = LIMITS):
+        # Lower-casing happens in Spark, where the texts are lower-cased too.
+        rows = questions.select("qid", F.explode("terms").alias("term")).select("qid", F.lower("term").alias("term"))
+        rows = materialise(rows.filter("term is not null").distinct())
+        self.limits = limits
+        self.words = materialise(rows.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+        self.askers = sized(rows.join(self.words, "term").select("term_id", "qid"), limits)
+
+    def lots(self) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Numbers and terms, as many at a time as may be broadcast."""
+        size = self.words.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
+        n = max(1, -(-size // self.limits.bytes))
+        for k in range(n):
+            lot = self.words.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).toArrow()
+            yield lot["term_id"].to_numpy(), lot["term"].to_pylist()
+
+
+def term_hits(df: DataFrame, text: str, keep: list[str], terms: AskedTerms, wildcards: bool = False) -> DataFrame:
+    """The ``keep`` columns plus ``term_ids``: which of the asked terms the text holds.
 
-    Linear in the text however many words there are, and one row stays one row.
+    Linear in the text however many terms there are. A row comes once for each lot of
+    terms, of which there is one unless the terms are more than may be broadcast.
     """
     schema = T.StructType(
-        [df.schema[c] for c in keep] + [T.StructField("term_ids", T.ArrayType(T.IntegerType()))]
+        [df.schema[c] for c in keep] + [T.StructField("term_ids", T.ArrayType(T.LongType()))]
     )
-    matcher = _Matcher(df.sparkSession.sparkContext.broadcast(words), wildcards=wildcards)
-    hits = _lowered(df, text, keep).mapInArrow(matcher.term_lists, schema)
-    return hits.filter(F.size("term_ids") > 0)
+    sc = df.sparkSession.sparkContext
+    parts = []
+    for ids, words in terms.lots():
+        matcher = _Matcher(sc.broadcast(words), wildcards=wildcards, ids=ids)
+        parts.append(_lowered(df, text, keep).mapInArrow(matcher.term_lists, schema))
+    return functools.reduce(DataFrame.unionByName, parts).filter(F.size("term_ids") > 0)
 
 
 class _FirstPerTerm:
@@ -207,7 +229,7 @@ class _FirstPerTerm:
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         kept = self._kept(term)
         out = pa.Table.from_batches([batch.drop_columns(["term_ids"]).take(pa.array(row[kept]))])
-        return out.append_column("term_id", pa.array(term[kept], pa.int32()))
+        return out.append_column("term_id", pa.array(term[kept], pa.int64()))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pa.Table | None = None
@@ -228,7 +250,7 @@ def first_per_term(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
     """
     schema = T.StructType(
         [f for f in hits.schema.fields if f.name != "term_ids"]
-        + [T.StructField("term_id", T.IntegerType())]
+        + [T.StructField("term_id", T.LongType())]
     )
     local = hits.mapInArrow(_FirstPerTerm(k, order).__call__, schema)
     return top_k(local, k, ["term_id"], [F.asc(c) for c in order]).drop("rank")

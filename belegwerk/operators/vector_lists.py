@@ -174,7 +174,7 @@ def _routed(route: Callable[[np.ndarray], dict], dim: int, vector: Column) -> Co
 
 def list_join(
     questions: DataFrame, lists: VectorLists, min_similarity: float, k: int | None,
-    nprobe: int | None = None, limits: Limits = LIMITS,
+    nprobe: int | None = None, limits: Limits = LIMITS, group: str | None = None,
 ) -> DataFrame:
     """``vector_join`` over a clustered table.
 
@@ -191,7 +191,7 @@ def list_join(
         _routed(route, lists.centroids.shape[1], F.col("embedding")), F.col("list_id"),
         F.element_at(parts, F.col("shard") + 1),
     ]
-    return vector_join(questions, lists.chunks, min_similarity, k, limits, route, shards)
+    return vector_join(questions, lists.chunks, min_similarity, k, limits, route, shards, group)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

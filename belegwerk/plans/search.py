@@ -15,9 +15,9 @@ from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.models import Model, term_share
 from belegwerk.operators.postings import build_postings
-from belegwerk.operators.question_block import LexemeSets, QuestionBlock, prepare_questions
-from belegwerk.operators.vector_lists import VectorLists, reachable_lists
-from belegwerk.session import LIMITS, Limits, in_blocks, materialise
+from belegwerk.operators.question_block import prepare_questions
+from belegwerk.operators.vector_lists import VectorLists
+from belegwerk.session import LIMITS, Limits, materialise, sized, sound_unions
 from belegwerk.sources.store import snapshot
 
 
@@ -66,49 +66,33 @@ class Settings:
     limits: Limits = field(default_factory=lambda: LIMITS)
 
 
-PAYLOAD = ["question", "embedding"]
+def _prepared(questions: DataFrame, settings: Settings) -> DataFrame:
+    """Questions with their terms and vectors, written: both branches read them."""
+    sound_unions(questions.sparkSession)
+    return materialise(prepare_questions(questions, settings.embedding_model))
 
 
-def _block(questions: DataFrame, settings: Settings) -> QuestionBlock:
-    prepared = prepare_questions(questions, settings.embedding_model)
-    return QuestionBlock(prepared, settings.limits)
-
-
-def _blocks(questions: DataFrame, settings: Settings, run) -> DataFrame:
-    return in_blocks(questions, "qid", PAYLOAD, run, settings.limits)
-
-
-def _keyword(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFrame:
-    words = block.frame("qid", "terms").select("qid", F.array_join("terms", " ").alias("words"))
-    sets = LexemeSets(words, "words", corpus.config, settings.limits)
+def _keyword(prepared: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
     return retrieval.keyword_branch(
-        block, corpus.parents, corpus.chunks, corpus.keyword_index(), sets,
-        settings.keyword_chunks, corpus.families, settings.wildcards,
+        prepared, corpus.parents, corpus.chunks, corpus.keyword_index(), corpus.config,
+        settings.keyword_chunks, corpus.families, settings.wildcards, settings.limits,
     )
 
 
-def _vectors(corpus: Corpus, settings: Settings, min_similarity: float) -> tuple[DataFrame, object]:
-    """The table that holds the vectors, and the route of questions to its lists."""
-    if corpus.lists is None:
-        return corpus.chunks, settings.route
-    return corpus.lists.chunks, settings.route or reachable_lists(corpus.lists, min_similarity)
-
-
 def keyword_search(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
     """Keyword branch alone: ``(qid, chunk_id, parent_id, score)``."""
-    return _blocks(questions, settings,
-                   lambda part: _keyword(_block(part, settings), corpus, settings))
+    return _keyword(_prepared(questions, settings), corpus, settings)
 
 
-def _fused(block: QuestionBlock, corpus: Corpus, settings: Settings) -> DataFrame:
-    chunks, route = _vectors(corpus, settings, settings.passage_similarity)
+def _fused(prepared: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
     vector = retrieval.vector_branch(
-        block, chunks, settings.passage_similarity, settings.vector_chunks, route
+        prepared, corpus.chunks, settings.passage_similarity, settings.vector_chunks,
+        corpus.lists, settings.route, settings.limits,
     )
-    fused = retrieval.best_per_parent(vector, _keyword(block, corpus, settings))
-    return retrieval.with_passages(fused, corpus.parents)
+    fused = retrieval.best_per_parent(vector, _keyword(prepared, corpus, settings))
+    return retrieval.with_passages(fused, corpus.parents, settings.limits)
 
 
 def hybrid_search(
@@ -118,23 +102,20 @@ def hybrid_search(
 
     ``(qid, parent_id, title, source_url, full_text, summary, final_score, fused_rank)``.
     """
-    return _blocks(questions, settings,
-                   lambda part: _fused(_block(part, settings), corpus, settings))
+    return _fused(_prepared(questions, settings), corpus, settings)
 
 
 def top_passages(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
     """Reranked passages: the columns of ``hybrid_search`` plus ``rerank_score, pos``."""
-    def run(part: DataFrame) -> DataFrame:
-        block = _block(part, settings)
-        fused = _fused(block, corpus, settings)
-        paired = fused.join(F.broadcast(block.frame("qid", "question")), "qid")
-        return assemble.rerank(
-            paired, settings.rerank_model, settings.passages, "question", settings.rerank_template
-        )
-
-    return _blocks(questions, settings, run)
+    prepared = _prepared(questions, settings)
+    paired = _fused(prepared, corpus, settings).join(
+        sized(prepared.select("qid", "question"), settings.limits), "qid"
+    )
+    return assemble.rerank(
+        paired, settings.rerank_model, settings.passages, "question", settings.rerank_template
+    )
 
 
 def passage_answers(
@@ -149,16 +130,15 @@ def document_search(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:
     """Documents per question: ``(qid, pos, title, url, score)``."""
-    def run(part: DataFrame) -> DataFrame:
-        block = _block(part, settings)
-        chunks, route = _vectors(corpus, settings, settings.document_similarity)
-        vector = retrieval.document_vector_branch(
-            block, corpus.parents, chunks, settings.document_similarity, route, settings.documents
-        )
-        title = retrieval.document_title_branch(block, corpus.parents, settings.documents, settings.wildcards)
-        return retrieval.ranked_documents(vector, title, k=settings.documents)
-
-    return _blocks(questions, settings, run)
+    prepared = _prepared(questions, settings)
+    vector = retrieval.document_vector_branch(
+        prepared, corpus.parents, corpus.chunks, settings.document_similarity, settings.documents,
+        corpus.lists, settings.route, settings.limits,
+    )
+    title = retrieval.document_title_branch(
+        prepared, corpus.parents, settings.documents, settings.wildcards, settings.limits
+    )
+    return retrieval.ranked_documents(vector, title, k=settings.documents)
 
 
 def document_answers(

@@ -66,6 +66,15 @@ def input_size(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def sized(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Write a frame, and mark it for broadcast if it turned out small enough.
+
+    Its files are compressed; in memory they may take some eight times as much.
+    """
+    out = materialise(df)
+    return F.broadcast(out) if 8 * input_size(out) <= limits.bytes else out
+
+
 def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
     """Use every core on a small table that sits in too few row groups.
 

@@ -21,7 +21,7 @@ from belegwerk.operators.integrity import corpus_stats, validate_corpus
 from belegwerk.operators.metrics import RunMetrics, passage_counts
 from belegwerk.operators.models import lead_summary, term_share
 from belegwerk.operators.postings import build_postings, fts_match, fts_rank
-from belegwerk.operators.question_block import QuestionBlock, prepare_questions
+from belegwerk.operators.question_block import prepare_questions
 from belegwerk.operators.substring import match_terms
 from belegwerk.operators.vector_join import vector_join
 from belegwerk.operators.vector_lists import VectorLists, build_vector_lists, list_join, recall
@@ -208,16 +208,14 @@ def wildcard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that match a pattern of a question, by the document search's title branch."""
     pattern = F.concat(F.lit("src_%"), (F.col("qid") % 10).cast("string"), F.lit("_.txt"))
     patterns = views.questions(spark, sf_dir).select("qid", F.array(pattern).alias("terms"))
-    block = QuestionBlock(patterns)
-    found = retrieval.document_title_branch(block, views.corpus(spark, sf_dir).parents, wildcards=True)
+    found = retrieval.document_title_branch(patterns, views.corpus(spark, sf_dir).parents, wildcards=True)
     return found.select("qid", "title")
 
 
 @register
 def title_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = views.corpus(spark, sf_dir).parents
-    block = QuestionBlock(_asked(spark, sf_dir).select("qid", "terms"))
-    return retrieval.document_title_branch(block, parents, k=None)
+    return retrieval.document_title_branch(_asked(spark, sf_dir), parents, k=None)
 
 
 @register

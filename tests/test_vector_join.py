@@ -105,7 +105,7 @@ def test_documents_leave_a_task_at_most_k_times(spark):
         key = (qid, f"t{parent % 23:02}", f"u{parent % 3}")
         want[key] = max(score, want.get(key, 0))
     k = 5
-    branch = retrieval.document_vector_branch(block, parents, c, 0.1, k=k)
+    branch = retrieval.document_vector_branch(q, parents, c, 0.1, k=k)
     got = {(x.qid, x.title, x.source_url): round(x.score, 7) for x in branch.collect()}
     for qid in range(4):
         best = sorted(((-s, t, u) for (q_, t, u), s in want.items() if q_ == qid))[:k]
