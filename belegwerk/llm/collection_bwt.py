@@ -12,12 +12,18 @@ import numpy as np
 
 
 def columns(texts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Symbols of each string by distance from its end: row, distance 1 and up."""
+    """Symbols of each string by distance from its end, from 1 up; 0 is before the string.
+
+    Symbols are numbered from 1 in their order.
+    """
     size = np.diff(at)
-    out = np.zeros((len(size), int(size.max(initial=0)) + 2), np.uint8)
+    used = np.bincount(texts, minlength=256) > 0
+    kind = np.uint8 if used.sum() < 256 else np.uint16
+    code = np.cumsum(used).astype(kind)
+    out = np.zeros((len(size), int(size.max(initial=0)) + 2), kind)
     for back in range(1, out.shape[1] - 1):
         own = np.flatnonzero(size >= back)
-        out[own, back] = texts[at[own + 1] - back]
+        out[own, back] = code[texts[at[own + 1] - back]]
     return out
 
 
@@ -33,13 +39,11 @@ def suffix_order(texts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(size)
     # A suffix is string * width + length; the empty ones come first in every round.
     empty = np.arange(n, dtype=np.int32 if n * width < 1 << 31 else np.int64) * width
-    limit = empty + size.astype(empty.dtype)  # the whole string
     order = empty
     for _ in range(int(size.max(initial=0))):
         front = flat[order + 1]  # the transform: the symbol in front of each suffix
-        open_ = order < limit[order // width]
-        order, front = order[open_], front[open_]
-        order = np.concatenate([empty, order[np.argsort(front, kind="stable")] + 1])
+        place = np.argsort(front, kind="stable")[len(front) - np.count_nonzero(front):]  # whole strings have none
+        order = np.concatenate([empty, order[place] + 1])
     order = order[n:]
     return order // width, order % width
 

@@ -9,8 +9,9 @@ with a smaller id; strings are judged on the input, and never cross documents.
    costs time.
 2. Fragments with a marked anchor are dealt to cells by their anchor, equal ones of a
    batch once, so every repeat meets in one cell. In a cell the suffixes of all
-   fragments are sorted by column-wise construction of the collection's transform;
-   neighbours with a common prefix of ``WIDTH`` are the same string.
+   fragments, as far as another one has the bytes next to their anchor, are sorted by
+   column-wise construction of the collection's transform; neighbours with a common prefix
+   of ``WIDTH`` are the same string.
 3. The spans found are merged for each document and cut from its text.
 
 An exact copy of a text with a smaller id goes as a whole, if it is long enough to
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.anchors import PLACE_BITS, WIDTH, fragments
+from belegwerk.llm.anchors import GRAM, PLACE_BITS, WIDTH, fragments
 from belegwerk.llm.arrow_text import flat, slices, spread
 from belegwerk.llm.collection_bwt import common_prefix_groups, suffix_order
 from belegwerk.llm.hashing import RunHash
@@ -152,7 +153,7 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-FRAGMENTS = ("cell int, texts binary, sizes binary, anchors binary, text binary, doc binary, start binary, "
+FRAGMENTS = ("cell int, texts binary, sizes binary, text binary, doc binary, start binary, "
              "begin binary, end binary")
 
 
@@ -201,12 +202,12 @@ def deal_fragments(docs: DataFrame, marks, bits: int, cells: int) -> DataFrame:
                 rest = np.arange(a, b)[~least[a:b]]
                 out.append((
                     c, text[spread(text_at[h], size[h])].tobytes(), size[h].astype(np.int32).tobytes(),
-                    code[h].astype(np.uint32).tobytes(), (group[mine] - group[a]).astype(np.int32).tobytes(),
+                    (group[mine] - group[a]).astype(np.int32).tobytes(),
                     np.append(doc[mine], doc[rest]).astype(np.int64).tobytes(), start[mine].astype(np.int64).tobytes(),
                     start[rest].astype(np.int64).tobytes(), (start[rest] + size[rest]).astype(np.int64).tobytes(),
                 ))
-            kinds = [pa.int32(), *[pa.binary()] * 8]
-            names = ["cell", "texts", "sizes", "anchors", "text", "doc", "start", "begin", "end"]
+            kinds = [pa.int32(), *[pa.binary()] * 7]
+            names = ["cell", "texts", "sizes", "text", "doc", "start", "begin", "end"]
             for lot in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[lot:lot + 256]), kinds)], names)
 
@@ -221,14 +222,13 @@ def equal_windows(texts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner, np.diff(at)[owner] - length, np.cumsum(new) - 1
 
 
-def orders(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Fragments in lots of at most ``most``, those of one anchor in one lot.
+def orders(key: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Items in lots of at most ``most``, those of one key in one lot.
 
-    Equal windows have equal anchors, so no string is in two lots. An anchor of more
-    fragments is a lot by itself.
+    A key of more items is a lot by itself.
     """
-    order = np.argsort(anchor, kind="stable")
-    first = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
     ends = np.append(first, len(order))[1:]
     lo = 0
     while lo < len(order):
@@ -238,17 +238,47 @@ def orders(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def window_owners(
-    texts: np.ndarray, at: np.ndarray, anchor: np.ndarray, doc: np.ndarray, most: int = CELL_TEXTS
-) -> np.ndarray:
-    """Smallest document of each window's string, windows of all fragments in order.
+def shared_stretches(texts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Fragment, first window, windows and key of stretches that may share a window with another.
 
-    A cell is worked on in suffix orders of at most ``most`` fragments. Only the fragments of one
-    anchor that alone has more are cut into windows, dealt to orders by their content.
+    A window holds its anchor and besides it ``WIDTH - GRAM`` bytes, so the half of them that
+    follow it or the half before it. So windows of two fragments can only be equal
+    where both have the same bytes from the anchor on, or both up to its end; those
+    bytes are the key. Windows of equal keys lie at the same side of their anchor.
+    """
+    half = (WIDTH - GRAM) // 2
+    run = RunHash(texts)
+    code = run.every(GRAM) & ~np.uint64((1 << PLACE_BITS) - 1)
+    place = np.arange(len(code))
+    owner = np.searchsorted(at, place, "right") - 1
+    code[place + GRAM > at[owner + 1]] = np.iinfo(np.uint64).max  # runs into the next fragment
+    least = np.flatnonzero(code == np.minimum.reduceat(code, at[:-1])[owner])
+    anchor = least[np.append(True, owner[least][1:] != owner[least][:-1])]  # the leftmost, as for windows
+    windows = np.diff(at) - WIDTH + 1
+    first = np.clip(anchor - at[:-1] - half, 0, windows)  # windows from here on hold the bytes after the anchor
+    out = []
+    for side, (begin, end) in enumerate(((first, windows), (np.zeros_like(first), first))):
+        own = np.flatnonzero(begin < end)
+        spot = anchor[own] - (half if side else 0)
+        key = run.of(spot, spot + GRAM + half) ^ np.uint64(side)
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep = count[which] > 1
+        out.append((own[keep], begin[own[keep]], (end - begin)[own[keep]], key[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def window_owners(texts: np.ndarray, at: np.ndarray, doc: np.ndarray, most: int = CELL_TEXTS) -> np.ndarray:
+    """Smallest document of each window's string, windows of all (different) fragments in order.
+
+    The stretches that may share windows are worked on in suffix orders of at most
+    ``most``. Only those of one key that alone has more are cut into windows, which
+    are dealt to orders by their content.
     """
     windows = np.diff(at) - WIDTH + 1
     base = np.cumsum(windows) - windows
     out = np.repeat(doc, windows)
+    if not len(windows):
+        return out
 
     def settle(spots: np.ndarray, group: np.ndarray) -> None:
         if len(group):
@@ -256,20 +286,21 @@ def window_owners(
             least = np.minimum.reduceat(out[spots], first)
             out[spots] = np.repeat(least, np.diff(np.append(first, len(spots))))
 
-    for lot in orders(anchor, most):
-        size = np.diff(at)[lot]
+    owner, begin, count, key = shared_stretches(texts, at)
+    start, spot = at[owner] + begin, base[owner] + begin
+    for lot in orders(key, most):
         if len(lot) <= most:
-            own, offset, group = equal_windows(texts[spread(at[lot], size)], np.append(0, np.cumsum(size)))
-            settle(base[lot[own]] + offset, group)
+            size = count[lot] + WIDTH - 1
+            own, offset, group = equal_windows(texts[spread(start[lot], size)], np.append(0, np.cumsum(size)))
+            settle(spot[lot[own]] + offset, group)
             continue
-        spots = spread(base[lot], windows[lot])
-        begin = spread(at[lot], windows[lot])
+        spots, begins = spread(spot[lot], count[lot]), spread(start[lot], count[lot])
         parts = -(-len(spots) // most)
-        part = (RunHash(texts).of(begin, begin + WIDTH) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        part = (RunHash(texts).of(begins, begins + WIDTH) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         for k in range(parts):
             mine = np.flatnonzero(part == k)
             each = np.full(len(mine), WIDTH)
-            own, _, group = equal_windows(texts[spread(begin[mine], each)], np.arange(len(mine) + 1) * WIDTH)
+            own, _, group = equal_windows(texts[spread(begins[mine], each)], np.arange(len(mine) + 1) * WIDTH)
             settle(spots[mine[own]], group)
     return out
 
@@ -278,18 +309,17 @@ def cell_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, begin and end of every span of repeats that a cell shows."""
     columns = {c: table.column(c).to_pylist() for c in table.column_names if c != "cell"}
     number: dict[bytes, int] = {}
-    texts, anchors, text, doc, start, done = [], [], [], [], [], []
+    texts, text, doc, start, done = [], [], [], [], []
     for k in range(table.num_rows):
         sizes = np.frombuffer(columns["sizes"][k], np.int32)
         ends = np.cumsum(sizes)
         blob, own = columns["texts"][k], []
-        for a, b, anchor in zip((ends - sizes).tolist(), ends.tolist(), np.frombuffer(columns["anchors"][k], np.uint32).tolist()):
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
             t = blob[a:b]
             n = number.get(t)
             if n is None:
                 n = number[t] = len(texts)
                 texts.append(t)
-                anchors.append(anchor)
             own.append(n)
         places = np.frombuffer(columns["text"][k], np.int32)
         docs = np.frombuffer(columns["doc"][k], np.int64)
@@ -302,7 +332,7 @@ def cell_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum([len(t) for t in texts], out=at[1:])
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, text, doc)
-    owners = window_owners(np.frombuffer(b"".join(texts), np.uint8), at, np.array(anchors, np.uint32), least)
+    owners = window_owners(np.frombuffer(b"".join(texts), np.uint8), at, least)
     windows = np.diff(at) - WIDTH + 1
     base = np.cumsum(windows) - windows
     # Runs of repeated windows of every place a fragment has.

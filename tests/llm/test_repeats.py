@@ -87,17 +87,51 @@ def test_long_text_in_pieces(monkeypatch):
         assert sorted(seen) == list(range(len(raw) - WIDTH + 1))
 
 
-@pytest.mark.parametrize("most", [1, 3, 30_000])
-def test_owners_of_windows_in_split_cells(monkeypatch, most):
-    monkeypatch.setattr(repeats, "CELL_TEXTS", most)
+@pytest.mark.parametrize("most", [1, 3, 10, 30_000])
+def test_owners_of_windows_in_split_cells(most):
     r = random.Random(11)
-    base = prose(r, 200).encode()
-    texts = [base[a:a + r.randrange(50, 80)] for a in (r.randrange(100) for _ in range(30))]
-    docs = np.array([r.randrange(20) for _ in texts])
+    base = [prose(r, 120).encode() for _ in range(3)]
+    whole = [prose(r, 40).encode() + b + prose(r, 40).encode() for b in base for _ in range(12)]
+    body = np.frombuffer(b"".join(whole), np.uint8)
+    first, end, code, row = fragments(body, np.append(0, np.cumsum([len(t) for t in whole])))
+    assert max(np.unique(code, return_counts=True)[1]) >= 10
+    least = {}
+    for a, b, d in zip(first.tolist(), end.tolist(), (row % 20).tolist()):
+        t = body[a:b + WIDTH - 1].tobytes()
+        least[t] = min(d, least.get(t, d))
+    texts, docs = list(least), np.array(list(least.values()))
     at = np.append(0, np.cumsum([len(t) for t in texts]))
-    got = repeats.window_owners(np.frombuffer(b"".join(texts), np.uint8), at, docs)
+    got = repeats.window_owners(np.frombuffer(b"".join(texts), np.uint8), at, docs, most)
     windows = [(t[k:k + WIDTH], d) for t, d in zip(texts, docs.tolist()) for k in range(len(t) - WIDTH + 1)]
-    assert got.tolist() == [min(d for s, d in windows if s == w) for w, _ in windows]
+    least = {}
+    for w, d in windows:
+        least[w] = min(d, least.get(w, d))
+    assert got.tolist() == [least[w] for w, _ in windows]
+
+
+def test_lots_keep_anchors_whole():
+    r = np.random.default_rng(1)
+    for most in (1, 2, 5, 100):
+        anchor = r.integers(0, 9, 60).astype(np.uint32)
+        lots = list(repeats.orders(anchor, most))
+        assert sorted(np.concatenate(lots).tolist()) == list(range(60))
+        owners = [set(anchor[lot].tolist()) for lot in lots]
+        assert sum(map(len, owners)) == len(set().union(*owners))
+        assert all(len(lot) <= most or len(own) == 1 for lot, own in zip(lots, owners))
+
+
+def test_rows_of_one_id_and_odd_columns(spark):
+    r = random.Random(6)
+    a, b = prose(r, 200), prose(r, 120)
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, "no repeat"), (3, a[:90])]
+    docs = spark.createDataFrame([(*row, 5, "x", "y", "z") for row in rows], "doc_id long, text string, n_chars int, `a b` string, `a.b` string, cut_spans string")
+    out = repeats.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in out.collect())
+    # Row 2 with the text of row 1 goes; places that it loses go from no longer text of its id.
+    assert (1, a, 200) in got and (2, "", 0) in got
+    assert (3, "", 0) in got
+    assert [tuple(x)[3:] for x in out.collect()] == [("x", "y", "z")] * 6
 
 
 def test_suffix_order_is_lexical():
