@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +31,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, F.round(dot(a, b) / length, SCORE_DIGITS))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _half(vectors: pd.Series) -> pd.Series:
-    def one(v):
-        return None if v is None else np.asarray(v, dtype=np.float16).astype(np.float32)
-
-    return vectors.map(one)
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _half(vectors: pa.Array) -> pa.Array:
+    flat = vectors.flatten()  # of a batch's vectors that are not null
+    with np.errstate(over="ignore"):
+        half = flat.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    at = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    blank = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
+    return pa.ListArray.from_arrays(at, pa.array(half, pa.float32(), mask=blank), mask=vectors.is_null())
 
 
 def quantize_half(vector: Column) -> Column:

@@ -7,7 +7,7 @@ tests and oracles can check the plumbing around a model exactly.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,24 @@ from belegwerk.functions.vectors import let
 Model = Callable[..., Column]
 
 
+def bisected(predict: Callable[[Sequence], Sequence], rows: Sequence) -> list:
+    """Predictions of all rows; a failing batch is halved until only failing rows are null.
+
+    One bad row among ``n`` costs about ``2 log2 n`` more calls, not ``n``. A batch with another
+    number of predictions than rows has failed too.
+    """
+    try:
+        out = list(predict(rows))
+        if len(out) == len(rows):
+            return out
+    except Exception:
+        pass
+    if len(rows) < 2:
+        return [None] * len(rows)
+    half = len(rows) // 2
+    return bisected(predict, rows[:half]) + bisected(predict, rows[half:])
+
+
 def batch_model(
     make_predict: Callable[[], Callable[..., np.ndarray]], return_type: T.DataType,
     batch_size: int = 64,
@@ -40,25 +58,31 @@ def text_model(
 ) -> Model:
     """A text-to-text model whose failures become null rather than a lost task.
 
-    A failing batch is tried again row by row; only rows that fail alone are
-    null, for the caller to ``coalesce`` with a fallback.
+    Only rows that fail alone are null, for the caller to ``coalesce`` with a fallback.
     """
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return column_model(make_predict, "string", batch_size)
+
+
+def column_model(
+    make_predict: Callable[[], Callable[..., Sequence]], return_type: str, batch_size: int = 64
+) -> Model:
+    """A model of any columns, row tuples in and values out, with the same rule for failures.
+
+    ``predict`` gets one list per column. Use it for scores or vectors of a model that
+    may fail on some rows; a missing vector keeps a document out of the corpus, a
+    missing score ranks last.
+    """
+    @F.pandas_udf(return_type)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         predict = make_predict()
-        for texts in batches:
-            out: list[str | None] = []
-            values = texts.tolist()
-            for lo in range(0, len(values), batch_size):
-                part = values[lo:lo + batch_size]
-                try:
-                    out.extend(predict(part))
-                except Exception:
-                    for one in part:
-                        try:
-                            out.extend(predict([one]))
-                        except Exception:
-                            out.append(None)
+
+        def rows(part: Sequence[tuple]) -> Sequence:
+            return predict(*map(list, zip(*part)))
+
+        for columns in batches:
+            given = columns if isinstance(columns, tuple) else (columns,)  # one column comes bare
+            values = list(zip(*(c.tolist() for c in given)))
+            out = [x for lo in range(0, len(values), batch_size) for x in bisected(rows, values[lo:lo + batch_size])]
             yield pd.Series(out, dtype=object)
 
     return run

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from belegwerk.fixed_values import CHILD_OVERLAP, CHILD_SIZE, PARENT_SIZE, VECTOR_LISTS
 from belegwerk.functions import dialog
 from belegwerk.functions.html import html_to_markdown
+from belegwerk.functions.markup import page_markdown
 from belegwerk.functions.prompts import RERANK_TEMPLATE, intent_prompt, system_prompt
 from belegwerk.functions.text import lexemes, search_terms, trim_blanks
 from belegwerk.functions.urls import extension, file_name, is_supported, safe_url, source_url
@@ -19,7 +20,7 @@ from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.chunking import chunk_recursive
 from belegwerk.operators.integrity import corpus_stats, validate_corpus
 from belegwerk.operators.metrics import RunMetrics, passage_counts
-from belegwerk.operators.models import lead_summary, term_share
+from belegwerk.operators.models import lead_summary, summarise, term_share, text_model
 from belegwerk.operators.postings import build_postings, fts_match, fts_rank
 from belegwerk.operators.question_block import prepare_questions
 from belegwerk.operators.substring import match_terms
@@ -373,6 +374,18 @@ def q_html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length(text).alias("n_chars"), text.alias("markdown"))
 
 
+@register
+def q_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, links and all letters and digits of the pages' Markdown."""
+    pages = views.table(spark, sf_dir, "pages").select("page_id", page_markdown(F.col("html")).alias("md"))
+    seen = F.regexp_replace("md", r"\]\([^)]*\)", "]")
+    return pages.select(
+        "page_id", F.regexp_extract("md", r"(?m)^# (.*)$", 1).alias("title"),
+        F.size(F.regexp_extract_all("md", F.lit(r"(\]\([^)]*\))"))).alias("links"),
+        F.md5(F.regexp_replace(seen, r"[^\p{L}\p{N}]+", "")).alias("letters_md5"),
+    )
+
+
 @register
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents, chunks = build_corpus(views.documents(spark, sf_dir), method="fixed")
@@ -424,6 +437,21 @@ def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("title", "summary")
 
 
+@register
+def model_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by a model that fails on every batch with a text of a certain length."""
+    def make_predict():
+        def predict(texts: list[str]) -> list[str]:
+            if any(len(t) % 7 == 3 for t in texts):
+                raise ValueError("a text that the model cannot read")
+            return [f" {len(t)} " for t in texts]
+
+        return predict
+
+    docs = views.documents(spark, sf_dir)
+    return docs.select("title", summarise(F.col("text"), text_model(make_predict)).alias("summary"))
+
+
 @register
 def lead3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.documents(spark, sf_dir).select("title", lead_summary(F.col("text")).alias("summary"))

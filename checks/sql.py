@@ -330,6 +330,10 @@ def markdown(html: str) -> str:
     out = html
     for pattern, text, flags in MARKDOWN_RULES:
         out = f"regexp_replace({out}, '{pattern}', E'{text}', '{flags}')"
+    return entities(out)
+
+
+def entities(out: str) -> str:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                        ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&middot;", "·")):
         out = f"replace({out}, '{name}', '{char}')"
@@ -415,7 +419,16 @@ WHERE ext IN ('.pdf', '.docx', '.pptx', '.xlsx', '.html', '.asc', '.md', '.txt',
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
     md = markdown("html")
     q["html_to_markdown"] = f"SELECT page_id, length(markdown) AS n_chars, markdown FROM (SELECT page_id, {md} AS markdown FROM pages)"
+    seen = "html"
+    for pattern in ("<!--.*?-->", r"<(script|style|head)\b.*?</(script|style|head)>"):
+        seen = f"regexp_replace({seen}, '{pattern}', '', 'gs')"
+    q["page_markdown"] = f"""SELECT page_id, trim({entities("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS title,
+  len(regexp_extract_all(html, '<a href=')) AS links,
+  md5(regexp_replace({entities(f"regexp_replace({seen}, '<[^>]*>', ' ', 'g')")}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS letters_md5
+FROM pages"""
     q["chunk_fixed"] = query(*CHUNKS, final="""SELECT id, parent_id, child_idx, md5(content) AS content_md5 FROM chunks""")
+    q["model_fallbacks"] = query(DOCS, final="""SELECT title, CASE WHEN length(text) % 7 = 3 THEN 'Keine Zusammenfassung verfügbar.'
+  ELSE length(text)::VARCHAR END AS summary FROM docs""")
     q["lead3_summary"] = query(DOCS, final="SELECT title, summary FROM docs")
     q["summary_prompts"] = query(DOCS, final=r"""SELECT title, md5(concat('Drei Sätze über: ', text, E'\nEnde')) AS summary FROM docs""")
     q["chunk_recursive_checks"] = query(DOCS, final=f"""SELECT title, 0::BIGINT AS parent_broken, 0::BIGINT AS parent_first,

@@ -12,6 +12,7 @@ from belegwerk.functions.prompts import fill_template, summary_prompt, system_pr
 from belegwerk.functions.text import german_stem, german_stop_words, lexemes, search_terms, trim_blanks
 from belegwerk.functions.urls import extension, safe_url
 from belegwerk.functions.vectors import cosine, hashed_embedding, quantize_half
+from belegwerk.operators.models import bisected, column_model
 from belegwerk.operators.substring import any_literal, any_term
 
 
@@ -161,3 +162,32 @@ def test_html(spark):
             "<p>eins<br>zwei</p><ul><li>x</li><li>y</li></ul></body></html>")
     assert values(column(spark, [html]), html_to_markdown(F.col("x"))) == [
         "# A & B\n\neins\nzwei\n\n- x\n- y"]
+
+
+def test_failing_batches_are_halved(spark):
+    calls = []
+
+    def predict(rows):
+        calls.append(len(rows))
+        if 13 in rows or 40 in rows:
+            raise ValueError
+        return [2 * r for r in rows]
+
+    assert bisected(predict, list(range(64))) == [None if r in (13, 40) else 2 * r for r in range(64)]
+    assert len(calls) < 30
+    assert bisected(lambda rows: rows[:-1], [1, 2]) == [None, None] and bisected(predict, []) == []
+
+    def make():
+        def score(a, b):
+            return [x / y for x, y in zip(a, b)]
+
+        return score
+
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (3.0, 1.0)], "a double, b double")
+    assert [r.s for r in df.select(column_model(make, "double", 2)("a", "b").alias("s")).collect()] == [0.5, None, 3.0]
+
+
+def test_half_precision_of_odd_vectors(spark):
+    given = [[1.0, None, 70000.0], None, [], [1e-8, -2.5]]
+    got = values(column(spark, given, "array<float>"), quantize_half(F.col("x")))
+    assert got == [[1.0, None, float("inf")], None, [], [0.0, -2.5]]
