@@ -110,5 +110,90 @@ FROM p
 """
 
 
+# The smallest id that links reach, from ``links(a, b)`` in both directions.
+REACHED = """reach(id, other) AS (
+    SELECT a, b FROM links UNION SELECT id, b FROM reach JOIN links ON a = other
+),
+component AS (SELECT id, least(id, min(other)) AS component_id FROM reach GROUP BY id)"""
+
+VECTORS = f"""
+WITH RECURSIVE sound AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links(a, b) AS (
+    SELECT x.vec_id, y.vec_id FROM sound x JOIN sound y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+),
+{REACHED}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, coalesce(component_id, vec_id) AS component_id,
+    coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN component ON id = vec_id
+"""
+
+CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, n, ['user', 'assistant'][n + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) t(n)
+),
+coded AS (
+    SELECT *, replace(replace(replace(role, '%', '%25'), E'\n', '%0A'), E'\r', '%0D') AS line FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || E'\n' || text || E'\n', '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length('<|im_start|>') + length(line) + len(regexp_extract_all(line, '<\\*\|')) + 1
+        + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM coded GROUP BY conv_id
+"""
+
+SHINGLES = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'
+    ) AS w FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(
+        list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))
+    ) END AS s FROM words
+),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links(a, b) AS (
+    SELECT x.doc_id, y.doc_id FROM items x JOIN items y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+),
+{REACHED}
+SELECT doc_id, len(s) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN component ON id = doc_id
+"""
+
+# Bytes are pairs of hexadecimal digits here.
+REPEATS = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+    SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM texts)
+),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE first < doc_id),
+begun AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INT AS new FROM hits),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM begun),
+runs AS (SELECT doc_id, run, min(i) AS b, max(i) + 50 AS e FROM numbered GROUP BY ALL),
+parts AS (
+    SELECT doc_id, b, e, substring(h, 2 * coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) + 1,
+        2 * (b - coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0))) AS kept FROM runs JOIN texts USING (doc_id)
+),
+cut AS (
+    SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(kept, '' ORDER BY b) AS kept
+    FROM parts GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+
 def queries() -> dict[str, str]:
-    return {"op11_merkle_manifest": MERKLE, "op12_fill_in_middle": MIDDLE}
+    return {
+        "op1_near_vectors": VECTORS, "op3_chat_format": CHAT, "op5_shingle_join": SHINGLES, "op8_repeated_strings": REPEATS,
+        "op11_merkle_manifest": MERKLE, "op12_fill_in_middle": MIDDLE,
+    }
