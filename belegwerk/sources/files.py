@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belegwerk.fixed_values import SUPPORTED_EXTENSIONS
-from belegwerk.functions.html import html_to_markdown
+from belegwerk.functions.markup import page_markdown
 from belegwerk.functions.urls import extension, file_name, is_supported
 
 TEXT_EXTENSIONS = (".md", ".txt", ".asc")
@@ -46,7 +46,7 @@ def document_text(name: Column, content: Column) -> Column:
     """Text of a file; null where its format needs a converter of its own."""
     text = F.try_validate_utf8(content.cast("string"))
     kind = extension(name)
-    return F.when(kind == ".html", html_to_markdown(text)).when(kind.isin(*TEXT_EXTENSIONS), text)
+    return F.when(kind == ".html", page_markdown(text)).when(kind.isin(*TEXT_EXTENSIONS), text)
 
 
 def read_documents(files: DataFrame) -> DataFrame:
