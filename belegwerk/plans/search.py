@@ -11,13 +11,14 @@ from belegwerk.fixed_values import (
     DOCUMENT_MIN_SIMILARITY, DOCUMENTS_DONE, FINAL_DOCUMENTS, FINAL_PASSAGES, KEYWORD_CHUNKS,
     PASSAGE_MIN_SIMILARITY, VECTOR_CHUNKS,
 )
+from belegwerk.functions.text import search_terms
 from belegwerk.functions.vectors import hashed_embedding
 from belegwerk.operators import assemble, retrieval
 from belegwerk.operators.models import Model, term_share
-from belegwerk.operators.postings import build_postings
+from belegwerk.operators.postings import build_postings, fts_rank
 from belegwerk.operators.question_block import prepare_questions
 from belegwerk.operators.vector_lists import VectorLists
-from belegwerk.session import LIMITS, Limits, materialise, sized, sound_unions
+from belegwerk.session import LIMITS, Limits, materialise, sized, sound_unions, top_k
 from belegwerk.sources.store import snapshot
 
 
@@ -31,6 +32,7 @@ class Corpus:
     config: str = "german"
     families: DataFrame | None = None
     lists: VectorLists | None = None
+    title_postings: DataFrame | None = None
 
     def keyword_index(self) -> DataFrame:
         if self.postings is not None:
@@ -44,7 +46,7 @@ def stored_corpus(spark: SparkSession, path: str, config: str = "german") -> Cor
     snap = snapshot(spark, path)
     return Corpus(
         snap.read("parents"), snap.read("chunks"), snap.read("postings"), config,
-        snap.read("families"), VectorLists.stored(snap),
+        snap.read("families"), VectorLists.stored(snap), snap.read("title_postings"),
     )
 
 
@@ -141,6 +143,22 @@ def document_search(
     return retrieval.ranked_documents(vector, title, k=settings.documents)
 
 
+def title_search(
+    questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
+) -> DataFrame:
+    """Documents whose title holds all lexemes of a question, by cover density.
+
+    ``(qid, title, score, rank)``, from the stored title postings if there are any.
+    """
+    index = corpus.title_postings
+    if index is None:
+        titles = corpus.parents.select("title").distinct()
+        index = materialise(build_postings(titles.withColumn("words", F.col("title")), "words", "title", corpus.config))
+    asked = questions.select("qid", F.array_join(search_terms(F.col("question")), " ").alias("words"))
+    hits = fts_rank(asked, index, "words", "title", corpus.config, settings.documents, settings.limits)
+    return top_k(hits.distinct(), settings.documents, ["qid"], [F.desc("score"), F.asc("title")])
+
+
 def document_answers(
     questions: DataFrame, corpus: Corpus, settings: Settings = Settings()
 ) -> DataFrame:

@@ -276,6 +276,14 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(found, "qid", "pos", "title", "url")
 
 
+@register
+def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that name a source, through the stored title postings."""
+    sources = views.table(spark, sf_dir, "documents").select("source").distinct()
+    asked = sources.select(F.col("source").alias("qid"), F.concat(F.lit("txt "), "source").alias("question"))
+    return scored(search.title_search(asked, views.corpus(spark, sf_dir)), "qid", "title", "rank")
+
+
 def _top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_passages(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
 

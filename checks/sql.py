@@ -375,6 +375,9 @@ QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title, source_url) <= 35"""
 FROM occ GROUP BY ALL""")
     title_tokens = [STOPS, DOCS, ("ttok", token_rows("(SELECT title, title AS t FROM docs)", "title", "t"))]
     live = "(SELECT token FROM {} WHERE NOT list_contains((SELECT l FROM stops), token))"
+    q["title_search"] = query(DOCS, ("hits", """SELECT source AS qid, title, round(0.1 / 3, 6) AS score
+FROM (SELECT DISTINCT source FROM documents) JOIN docs ON string_split(title, '_')[1] = source"""),
+        final=f"SELECT qid, title, rank, score FROM ({ranked('hits', 35, order='title')})")
     q["postings_title"] = query(*title_tokens, *stems(live.format("ttok")), final="""SELECT lexeme, title,
   array_to_string(list(pos ORDER BY pos), ',') AS positions FROM ttok JOIN stem USING (token) GROUP BY ALL""")
     q["stemmed_terms"] = query(STOPS, DOCS, ("dtok", token_rows("docs", "title", "text")),
