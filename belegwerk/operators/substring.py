@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from belegwerk.operators.question_block import QuestionBlock
-from belegwerk.session import LIMITS, Limits, in_blocks, materialise, sized, top_k
+from belegwerk.session import LIMITS, Limits, materialise, sized, top_k
 
 ROWS_PER_BATCH = 1 << 16
 
@@ -265,22 +265,23 @@ def match_terms(
     Terms match literally, but for case; with ``wildcards`` their ``%`` stands for any
     characters and ``_`` for one (a backslash is taken as itself).
 
-    ``questions(qid, terms array<string>)``. The texts are read once per block
-    and never shuffled; a pair comes out once, so nothing needs de-duplication.
+    ``questions(qid, terms array<string>)``. The texts are read once and never shuffled
+    while the questions are within the limits: a pair comes out once, by a broadcast mask
+    of questions for each term. Beyond them the terms found are joined to who asks them.
     """
-    asked = questions.select(
-        "qid", F.transform(terms, F.lower).alias("terms"), F.array_join(terms, " ").alias("__all")
-    )
+    asked = questions.select("qid", F.transform(terms, F.lower).alias("terms"))
+    size = F.sum(F.octet_length(F.array_join("terms", " ")))
+    rows, total = asked.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if rows > limits.rows or total > limits.bytes:
+        found = AskedTerms(asked, limits)
+        hits = term_hits(df, text, keep, found, wildcards).select(*keep, F.explode("term_ids").alias("term_id"))
+        return hits.join(found.askers, "term_id").select("qid", *keep).distinct()
+    sc = df.sparkSession.sparkContext
+    block = QuestionBlock(asked, limits)
+    words, asking = block.askers
+    qids = block.table["qid"].combine_chunks().unique()
+    place = {q: i for i, q in enumerate(qids.to_pylist())}
+    masks = [functools.reduce(operator.or_, (1 << place[q] for q in who)) for who in asking]
+    matcher = _Matcher(sc.broadcast(words), sc.broadcast(masks), qids, wildcards)
     schema = T.StructType([questions.schema["qid"]] + [df.schema[c] for c in keep])
-
-    def run(part: DataFrame) -> DataFrame:
-        sc = df.sparkSession.sparkContext
-        block = QuestionBlock(part.select("qid", "terms"), limits)
-        words, asking = block.askers
-        qids = block.table["qid"].combine_chunks().unique()
-        place = {q: i for i, q in enumerate(qids.to_pylist())}
-        masks = [functools.reduce(operator.or_, (1 << place[q] for q in who)) for who in asking]
-        matcher = _Matcher(sc.broadcast(words), sc.broadcast(masks), qids, wildcards)
-        return _lowered(df, text, keep).mapInArrow(matcher.question_rows, schema)
-
-    return in_blocks(asked, "qid", ["__all"], run, limits)
+    return _lowered(df, text, keep).mapInArrow(matcher.question_rows, schema)

@@ -1,11 +1,10 @@
-"""Session settings, the shared scratch folder and bounded question blocks."""
+"""Session settings, the shared scratch folder, written tables and ranks."""
 
 from __future__ import annotations
 
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
-    """Size bounds of what one pass may broadcast; larger inputs take more passes."""
+    """Size bounds of what may be broadcast; larger tables are joined by shuffle."""
 
     rows: int = 4096
     bytes: int = 64 << 20
@@ -93,37 +92,6 @@ def collect_bounded(df: DataFrame, limits: Limits = LIMITS) -> pa.Table:
     return table
 
 
-def in_blocks(
-    questions: DataFrame, key: str, payload: list[str],
-    run: Callable[[DataFrame], DataFrame], limits: Limits = LIMITS,
-) -> DataFrame:
-    """Apply ``run`` to blocks of questions, each small enough to broadcast.
-
-    One aggregate measures the table. A table within the bounds is one lazy
-    block. A larger one is cut by a hash of ``key`` and its blocks run one after
-    another, each result written to the shared folder, so that the driver never
-    holds more than one block. ``run`` must treat questions independently.
-    """
-    sound_unions(questions.sparkSession)
-    width = F.lit(0).cast("long")
-    for name in payload:
-        kind = dict(questions.dtypes).get(name)
-        if kind is None:
-            continue
-        size = F.octet_length(name) if kind == "string" else 8 * F.greatest(F.size(name), F.lit(0))
-        width = width + F.coalesce(size, F.lit(0))
-    n, total = questions.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    if n <= limits.rows and total <= limits.bytes:
-        return run(questions)
-    # Aim at half-full blocks: hash blocks are not all of one size.
-    blocks = 2 * max(-(-n // limits.rows), -(-total // limits.bytes))
-    parts = []
-    for b in range(blocks):
-        part = questions.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        parts.append(materialise(run(part)))
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
 def ranked(df: DataFrame, by: list[str], order: list, rank: str = "rank") -> DataFrame:
     """Every row with its 1-based rank within its key."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
