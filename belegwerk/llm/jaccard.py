@@ -235,12 +235,11 @@ def small_and_large(starts: np.ndarray, total: int, most: int) -> tuple[np.ndarr
     return np.concatenate([empty, *x]), np.concatenate([empty, *y]), large
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of all rows, their classes, and the links between those.
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int = CELL) -> tuple[DataFrame, ...]:
+    """Sets of all rows, of all documents, and of all classes, and the links between those.
 
-    ``(row, doc_id, n, s1, s2)``; ``(doc_id, rep)``, the class of each document, by the
-    number of one of its rows; and spanning links ``(a, b)`` of classes with a similarity of
-    at least ``percent``.
+    ``(doc_id, n, s1, s2)`` twice, ``(id, n, s1, s2)`` with the smallest document of each set,
+    and spanning links ``(a, b)`` of classes with a similarity of at least ``percent``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = text_sets(docs, size, percent, frequent_shingles(docs, size))
@@ -248,12 +247,15 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int =
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     own = known.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "row")).alias("own")).select("doc_id", "own.*")
     own = materialise(own)
-    reps = materialise(own.groupBy("n", "s1", "s2").agg(F.min("row").alias("rep")))
+    reps = own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
+    # A class goes by its smallest document; ``row`` finds the set of that one.
+    alone = materialise(reps.join(own.select(F.col("doc_id").alias("id"), "row"), "id"))
     keys = known.select(F.col("row").alias("id"), "n", F.explode("keys").alias("key"))
-    alone = reps.select(F.col("rep").alias("id"))
     # Copies leave first, so that only classes count for the size of a group.
-    shared = materialise(shared_rows(shared_rows(keys).join(alone, "id", "left_semi")))
-    members = into_cells(shared, cell).join(known.select(F.col("row").alias("id"), "n", "sig"), "id")
+    some = shared_rows(keys).withColumnRenamed("id", "row").join(alone.select("row", "id"), "row")
+    shared = materialise(shared_rows(some))
+    bitmaps = known.select("row", "n", "sig").join(alone.select("row", "id"), "row").drop("row")
+    members = into_cells(shared, cell).join(bitmaps, "id")
 
     def candidates(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         classes = Classes(table.column("id").to_numpy())
@@ -270,12 +272,12 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int =
         return classes.spanning()
 
     near = connected_components(by_group(members, ["n", "sig"], candidates)).withColumnRenamed("component_id", "key")
-    near = materialise(near.join(own.select(F.col("row").alias("id"), "doc_id", "n", "s1", "s2"), "id"))
-    return sets.drop("keys", "sig"), own.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep"), exact_links(docs, near, size, percent, cell)
+    near = materialise(near.join(alone, "id").select("key", "id", "n", "s1", "s2"))
+    return sets.drop("keys", "sig", "row"), own.drop("row"), alone.drop("row"), exact_links(docs, near, size, percent, cell)
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, cell: int) -> DataFrame:
-    """Spanning links ``(a, b)`` within clusters ``(key, id, doc_id, n, s1, s2)``, tested on whole sets."""
+    """Spanning links ``(a, b)`` within clusters ``(key, id, n, s1, s2)``, tested on whole sets."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -323,8 +325,8 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, c
     # Hashes are made of each text once and travel once, to all cells of their set.
     cells = into_cells(shared_rows(clusters), cell).groupBy("id").agg(F.collect_list(F.struct("key", "i", "j")).alias("cells"))
     # One plan at every size: clusters grow with the input, so they are never broadcast.
-    chosen = clusters.join(cells, "id").select("id", "n", "s1", "s2", "cells", "doc_id").hint("shuffle_merge")
-    rows = chosen.join(docs, "doc_id").select("id", "n", "s1", "s2", "cells", "text")
+    chosen = clusters.join(cells, "id").select("id", "n", "s1", "s2", "cells").hint("shuffle_merge")
+    rows = chosen.join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", "n", "s1", "s2", "cells", "text")
     kind = "id long, cells array<struct<key:long,i:int,j:int>>, codes binary"
     sets = rows.mapInArrow(whole, kind).select("id", F.explode("cells").alias("cell"), "codes").select("id", "cell.*", "codes")
     return materialise(by_group(sets, ["codes"], links))
@@ -332,12 +334,12 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, c
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
-    sets, classes, links = link_classes(docs, size, percent, cell)
-    found = connected_components(links).withColumnRenamed("id", "rep")
-    whole = classes.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("whole"))
-    whole = materialise(whole)
-    named = whole.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
-    return sets.join(whole.join(named, "whole"), "doc_id", "left").select(
+    sets, own, classes, links = link_classes(docs, size, percent, cell)
+    found = classes.join(connected_components(links), "id", "left").select(
+        "n", "s1", "s2", F.coalesce("component_id", "id").alias("component_id")
+    )
+    named = own.join(materialise(found), ["n", "s1", "s2"]).select("doc_id", "component_id")
+    return sets.join(named, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
