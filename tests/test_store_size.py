@@ -82,3 +82,15 @@ def test_a_task_remembers_a_bounded_number_of_words():
     for lo in range(0, 300_000, 10_000):
         stemmer.stem(pa.array([f"wort{n}en" for n in range(lo, lo + 10_000)]))
     assert len(stemmer.known) <= 80_000
+
+
+def test_only_postings_of_candidates_are_looked_up(spark):
+    rows = [(f"t{i}", "rare often" if i == 7 else "often word") for i in range(40)]
+    index = postings.build_postings(spark.createDataFrame(rows, "id string, content string"), config="simple")
+    rare = index.filter("lexeme = 'rare'").select("id")
+    found = postings._of_candidates(index, rare, "id", postings.LIMITS)
+    assert sorted((r.id, r.lexeme) for r in found.collect()) == [("t7", "often"), ("t7", "rare")]
+    asked = spark.createDataFrame([("q", "often rare"), ("r", "rare"), ("s", "rare word"), ("u", "word often")], "qid string, words string")
+    for limits in (postings.LIMITS, postings.Limits(rows=1, bytes=1)):
+        hits = {(r.qid, r.id) for r in postings.fts_match(asked, index, "words", config="simple", limits=limits).collect()}
+        assert hits == {("q", "t7"), ("r", "t7")} | {("u", f"t{i}") for i in range(40) if i != 7}
