@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from belegwerk.functions.text import Stemmer
-from belegwerk.operators import postings
+from belegwerk.operators import postings, substring
+from belegwerk.operators.chunking import first_children, split_children
 from belegwerk.plans import ingest as plan
-from belegwerk.sources.store import compact, snapshot
+from belegwerk.sources.store import compact, delete_documents, snapshot
 
 
 def texts(spark, n, seed=1):
@@ -94,3 +95,50 @@ def test_only_postings_of_candidates_are_looked_up(spark):
     for limits in (postings.LIMITS, postings.Limits(rows=1, bytes=1)):
         hits = {(r.qid, r.id) for r in postings.fts_match(asked, index, "words", config="simple", limits=limits).collect()}
         assert hits == {("q", "t7"), ("r", "t7")} | {("u", f"t{i}") for i in range(40) if i != 7}
+
+
+def test_the_postings_of_a_text_lie_together(spark):
+    docs = texts(spark, 30).select(F.col("title").alias("id"), F.col("text").alias("content")).coalesce(1)
+    ids = [r.id for r in postings.build_postings(docs).collect()]
+    assert 1 + sum(a != b for a, b in zip(ids, ids[1:])) == len(set(ids)) == 30
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("method", ["fixed", "recursive"])
+def test_first_chunks_need_no_shuffle(spark, method):
+    long = texts(spark, 20).select(F.col("title").alias("id"), F.col("text").alias("full_text"))
+    blocks = long.unionByName(spark.createDataFrame([("blank", ""), ("short", "x")], "id string, full_text string"))
+    found = first_children(blocks, method)
+    assert "hashpartitioning" not in plan_of(found)
+    expected = split_children(blocks, method).groupBy("parent_id").agg(F.min("id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert {r.parent_id for r in found.collect()} >= {"short"} and "blank" not in {r.parent_id for r in found.collect()}
+
+
+@pytest.mark.parametrize("most", [1, 1 << 17])
+def test_extents_equal_sorted_minimum(spark, monkeypatch, most):
+    draw = random.Random(3)
+    rows = [(draw.randrange(40), draw.choice(["a", "B", "ä", "zz", "", "\U0001f600", None])) for _ in range(500)] + [(99, None)]
+    pairs = spark.createDataFrame(rows, "qid long, id string").repartition(3)
+    monkeypatch.setattr(substring._Extents.__init__, "__defaults__", (most,))
+    found = substring.extents_per_question(pairs, "id")
+    assert "Sort" not in plan_of(found).split("MapInArrow")[1]
+    expected = pairs.groupBy("qid").agg(F.count("*"), F.min("id"), F.max("id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_deleting_a_few_documents_shuffles_no_chunks(spark):
+    parents = spark.range(100).selectExpr("string(id) id", "concat(id % 50, '.txt') title")
+    chunks = spark.range(500).selectExpr("string(id) id", "string(id % 101) parent_id")
+    doomed = spark.createDataFrame([("7.txt",), ("7.txt",), (None,)], "title string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, left = delete_documents(parents, chunks, doomed)
+        assert "hashpartitioning" not in plan_of(left) and "hashpartitioning" not in plan_of(kept)
+        assert kept.count() == 98 and {r.parent_id for r in left.collect()} == {str(n) for n in range(101)} - {"7", "57"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
