@@ -142,3 +142,17 @@ def test_deleting_a_few_documents_shuffles_no_chunks(spark):
         assert kept.count() == 98 and {r.parent_id for r in left.collect()} == {str(n) for n in range(101)} - {"7", "57"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_postings_of_a_text_are_shuffled_together(spark):
+    docs = texts(spark, 30).select(F.col("title").alias("id"), F.col("text").alias("content")).coalesce(2)
+    index = postings.build_postings(docs).withColumn("word", F.xxhash64("lexeme"))
+    expected = sorted((r.id, r.word, tuple(r.positions)) for r in index.collect())
+
+    def held(rows):
+        parts = postings.held_together(rows, "id").groupBy("id").agg(F.collect_list(F.struct("words", "ends", "places")).alias("parts"))
+        out = parts.select("id", F.explode(F.expr(postings._HELD)).alias("h")).collect()
+        return sorted((r.id, r.h.word, tuple(r.h.positions)) for r in out)
+
+    assert postings.held_together(index, "id").count() == 30
+    assert held(index) == expected and held(index.orderBy("lexeme")) == expected
