@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from belegwerk.fixed_values import VECTOR_LISTS
 from belegwerk.operators.vector_lists import SAMPLE, assign_lists, fit_centroids, radii_of
-from belegwerk.plans.ingest import SMALL_BATCH
 from belegwerk.sources.store import CENTROIDS, Folder, Snapshot, listed, snapshot, write_batch
 
 
@@ -27,9 +26,9 @@ def index_vectors(
     table = _frame(spark, centroids)
     added = [write_batch(path, "centroids", table.coalesce(1), f"fit-{uuid.uuid4().hex}")]
     for batch in sorted(snap.batches()):  # batches, not documents; compact joins small ones
-        small = sum(f.rows for f in snap.of("chunks", [batch])) <= SMALL_BATCH
+        rows = sum(f.rows for f in snap.of("chunks", [batch]))
         found = assign_lists(snap.read("chunks", [batch]), centroids)
-        folder = write_batch(path, "vectors", listed(found, small), batch)
+        folder = write_batch(path, "vectors", listed(found, rows, centroids.shape[1]), batch)
         vectors = Snapshot(spark, path, (folder,)).read("vectors")
         added += [folder, write_batch(path, "radii", radii_of(vectors, centroids), batch)]
     removed: list[Folder] = [f for t in ("centroids", "vectors", "radii") for f in snap.of(t)]
