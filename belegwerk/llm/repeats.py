@@ -45,6 +45,7 @@ SEVERAL = (1 << 40) - 1  # in place of a text's hash: more than one text
 CELL_TEXTS = 30_000  # fragments that one suffix order holds
 PIECE = 1 << (PLACE_BITS - 1)
 COPY_PARTS = 16  # parts of the copies of one text
+SENT = 4 << 20  # bytes of cells that leave a task together
 SLICE = 1 << 20  # bytes hashed at once: every byte costs about a hundred of arrays
 
 
@@ -163,6 +164,8 @@ def deal_fragments(docs: DataFrame, marks, bits: int, cells: int) -> DataFrame:
     Equal fragments of a batch are sent once, with the places they have in the
     document of the smallest id; in the others they are repeats already, and those
     spans travel with the cell (``doc`` beyond the places, ``begin`` and ``end``).
+    Fragments take several times the bytes of their texts, so they are cut from the batch
+    only as their cells are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +173,7 @@ def deal_fragments(docs: DataFrame, marks, bits: int, cells: int) -> DataFrame:
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            whole, edge = flat(batch.column(1))
             parts = []
             for body, at, rows, begin in pieces(batch.column(1)):
                 first, end, code, row = fragments(body, at)
@@ -177,39 +181,40 @@ def deal_fragments(docs: DataFrame, marks, bits: int, cells: int) -> DataFrame:
                 keep = ((marked[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool) & known[rows[row]]
                 first, end, code, row = first[keep], end[keep], code[keep], row[keep]
                 size = end - first + WIDTH - 1
-                parts.append((
-                    code, RunHash(body).of(first, first + size), ids[rows[row]], first - at[row] + begin[row],
-                    size, body[spread(first, size)],
-                ))
+                parts.append((code, RunHash(body).of(first, first + size), rows[row], first - at[row] + begin[row], size))
             if not parts or not sum(len(p[0]) for p in parts):
                 continue
-            code, same, doc, start, size = (np.concatenate(c) for c in list(zip(*parts))[:5])
-            text = np.concatenate([p[5] for p in parts])
-            text_at = np.cumsum(size) - size
-            order = np.lexsort((start, doc, same, code))
-            code, same, doc, start, size, text_at = (v[order] for v in (code, same, doc, start, size, text_at))
+            code, same, own, start, size = (np.concatenate(c) for c in zip(*parts))
+            parts.clear()
+            order = np.lexsort((start, ids[own], same, code))
+            code, same, own, start, size = (v[order] for v in (code, same, own, start, size))
+            doc, text_at = ids[own], edge[own] + start
             new = np.ones(len(code), bool)
             new[1:] = (same[1:] != same[:-1]) | (code[1:] != code[:-1])
+            del order, own, same
             group = np.cumsum(new) - 1
             head = np.flatnonzero(new)
             least = doc == doc[head][group]
             cell = (code >> np.uint64(64 - cells)).astype(np.int64)
-            out = []
-            for c in np.unique(cell).tolist():
+            kinds = [pa.int32(), *[pa.binary()] * 7]
+            names = ["cell", "texts", "sizes", "text", "doc", "start", "begin", "end"]
+            out, held, full = [], 0, np.unique(cell).tolist()
+            for c in full:
                 a, b = np.searchsorted(cell, [c, c + 1])
                 h = head[np.searchsorted(head, a):np.searchsorted(head, b)]
                 mine = np.arange(a, b)[least[a:b]]
                 rest = np.arange(a, b)[~least[a:b]]
                 out.append((
-                    c, text[spread(text_at[h], size[h])].tobytes(), size[h].astype(np.int32).tobytes(),
+                    c, whole[spread(text_at[h], size[h])].tobytes(), size[h].astype(np.int32).tobytes(),
                     (group[mine] - group[a]).astype(np.int32).tobytes(),
                     np.append(doc[mine], doc[rest]).astype(np.int64).tobytes(), start[mine].astype(np.int64).tobytes(),
                     start[rest].astype(np.int64).tobytes(), (start[rest] + size[rest]).astype(np.int64).tobytes(),
                 ))
-            kinds = [pa.int32(), *[pa.binary()] * 7]
-            names = ["cell", "texts", "sizes", "text", "doc", "start", "begin", "end"]
-            for lot in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[lot:lot + 256]), kinds)], names)
+                held += sum(map(len, out[-1][1:]))
+                if len(out) == 256 or held > SENT or c == full[-1]:
+                    lot = [pa.array(v, k) for v, k in zip(zip(*out), kinds)]
+                    out, held = [], 0
+                    yield pa.RecordBatch.from_arrays(lot, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, FRAGMENTS)
 

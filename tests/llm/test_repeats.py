@@ -159,3 +159,38 @@ def test_op8(spark):
     want = {k: (n, sum(b - a for a, b in s), len(s), hashlib.sha256(kept).hexdigest()) for k, n, s, kept in brute(rows)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op8_repeated_strings(spark, sf).collect()}
     assert got == want
+
+
+def test_a_task_holds_fragments_only_as_it_sends_them(spark, monkeypatch):
+    import tracemalloc
+
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcdefghij ", k=2000)) for _ in range(2000)]
+    monkeypatch.setattr(repeats, "SLICE", 1 << 16)
+    monkeypatch.setattr(repeats, "SENT", 1 << 18, raising=False)
+
+    class Frame:
+        """Keeps the function that the tasks would run."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Marks:
+        value = b"\xff" * (1 << 13)  # every anchor is marked
+
+    run = repeats.deal_fragments(Frame(), Marks, 16, 9)
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        sent, places = 0, 0
+        for part in run(iter([batch])):
+            sent += sum(map(len, part.column("texts").to_pylist()))
+            places += sum(len(b) // 8 for b in part.column("start").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent > 3 * batch.nbytes and places > batch.nbytes // 30
+    assert peak < 11 * batch.nbytes
