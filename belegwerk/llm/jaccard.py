@@ -37,7 +37,7 @@ from belegwerk.llm.hashing import mix
 from belegwerk.llm.shingles import ROWS, shingle_sets
 from belegwerk.llm.signature_tree import Signatures, bitmap, join_group, needed
 from belegwerk.llm.vectors import join_labels
-from belegwerk.session import materialise
+from belegwerk.session import materialise, small_batches
 
 CELL, UNIT = 2048, 512  # units of a block, shingles of a unit: 8 MB of hashes
 WORK = 8 << 20  # bytes of groups worked on at once
@@ -241,6 +241,7 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, cell: int =
     ``(doc_id, n, s1, s2)`` twice, ``(id, n, s1, s2)`` with the smallest document of each set,
     and spanning links ``(a, b)`` of classes with a similarity of at least ``percent``.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = text_sets(docs, size, percent, frequent_shingles(docs, size))
     sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()))

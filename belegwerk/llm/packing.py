@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from belegwerk.llm.arrow_text import slices
 from belegwerk.llm.byte_bpe import Encoder
+from belegwerk.session import small_batches
 
 
 class PieceEncoder(Encoder):
@@ -56,6 +57,7 @@ def token_pieces(
     Only documents above ``capacity`` tokens are cut; all pieces but the first
     are full. ``ids`` holds little-endian unsigned 32-bit numbers.
     """
+    small_batches(docs.sparkSession)
     out = docs.select(key, text)
     kind = out.schema[key].dataType.simpleString()
     end = np.array([end_id], "<u4")

@@ -39,7 +39,7 @@ from belegwerk.llm.arrow_text import flat, slices, spread
 from belegwerk.llm.collection_bwt import common_prefix_groups, suffix_order
 from belegwerk.llm.hashing import RunHash
 from belegwerk.llm.labelled import fresh
-from belegwerk.session import materialise
+from belegwerk.session import large_batches, materialise
 
 SEVERAL = (1 << 40) - 1  # in place of a text's hash: more than one text
 CELL_TEXTS = 30_000  # fragments that one suffix order holds
@@ -364,7 +364,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    marks, bits = shared_anchors(docs, total)
+    with large_batches(spark):  # what a batch has twice is sent once
+        marks, bits = shared_anchors(docs, total)
     cells = cell_bits(total, 3 << 19)
     dealt = deal_fragments(docs, spark.sparkContext.broadcast(marks), bits, cells)
 
@@ -389,7 +390,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             spans = union_of(pairs)
             yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([spans.tobytes()], pa.binary())], ["doc_id", "spans"])
 
-    return materialise(found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(merge, "doc_id long, spans binary"))
+    merged = found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(merge, "doc_id long, spans binary")
+    with large_batches(spark):
+        return materialise(merged)
 
 
 def union_of(pairs: np.ndarray) -> np.ndarray:

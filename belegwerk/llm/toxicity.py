@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from belegwerk.llm.arrow_text import LOWER, slices, words
 from belegwerk.llm.hashing import RunHash, mix
 from belegwerk.llm.labelled import fresh, held_out, logistic, training_sample, with_text_column
-from belegwerk.session import materialise
+from belegwerk.session import materialise, small_batches
 
 BITS = 18
 PREFIXES = (3, 4, 5)
@@ -322,6 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Detector
 
     The field uses 40,000 of their sentences, the rule their marginals.
     """
+    small_batches(docs.sparkSession)
     chosen = training_sample(labels, "toxic", per_class)
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     known = telling(sample)
