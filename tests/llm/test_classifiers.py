@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from belegwerk.llm import quality, queries, toxicity
-from belegwerk.llm.labelled import held_out, training_sample
+from belegwerk.llm.labelled import held_out, logistic, training_sample
 from belegwerk.llm.toxicity import Chains, Field
 
 SF = "/root/testdata/sf0.01"
@@ -134,6 +134,43 @@ def test_ranking_scores_the_quantile_as_asked():
     assert set(same.score(x).round(9)) == {0.7}
 
 
+def slope_over_all_pairs(weights, codes, y, ridge=1e-3):
+    """Gradient of the mean loss of every pair of a good and a bad row, by brute force."""
+    score = weights[codes].sum(1)
+    lost = quality.sigmoid(score[y == 0][None] - score[y == 1][:, None]) / ((y == 0).sum() * (y == 1).sum())
+    own = np.zeros(len(y))
+    own[y == 1], own[y == 0] = -lost.sum(1), lost.sum(0)
+    return np.bincount(codes.ravel(), np.repeat(own, codes.shape[1]), len(weights)) + ridge * weights
+
+
+def test_ranking_learns_from_all_pairs():
+    r = np.random.default_rng(4)
+    y = (np.arange(400) % 4 > 0).astype(int)
+    x = np.stack([r.normal(y * 1.0), r.normal(size=400), r.normal(y * 0.5)], 1)
+    fitted = quality.fit(x, y, 0.75)
+    codes = fitted.bins(x)
+    hot = np.zeros((400, 36))
+    np.put_along_axis(hot, codes, 1.0, 1)
+    every = (hot[y == 1][:, None] - hot[y == 0][None]).reshape(-1, 36)
+    np.testing.assert_allclose(fitted.weights, logistic(every, np.ones(len(every))), atol=1e-5)
+    assert abs(slope_over_all_pairs(fitted.weights, codes, y)).max() < 1e-6
+
+
+def test_ranking_learns_from_all_labelled_documents(spark):
+    """More documents of a class than the 10,000 that were once the most; each pair counts."""
+    rows = spark.sql("""
+        select id as doc_id, if(id % 400 = 0, 0, 1) as quality, concat(if(id % 800 = 0, 'Buy now!!! ', ''),
+          repeat('river stone ', cast(id % 23 as int)), if(id % 11 = 0, 'OK 1 $ ', 'bread. '), id) as text from range(14200)""")
+    docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "quality")
+    fitted = quality.fit_table(docs, labels)
+    known = quality.measures(docs.filter(~held_out("doc_id"))).join(labels, "doc_id").toPandas()
+    y = known["quality"].to_numpy()
+    assert (y == 1).sum() > 10_000 and (y == 0).sum() > 20
+    codes = fitted.bins(np.array(known["x"].tolist()))
+    assert abs(slope_over_all_pairs(fitted.weights, codes, y)).max() < 1e-5
+    assert abs((fitted.score(np.array(known["x"].tolist())) >= 0.7).mean() - y.mean()) < 0.01
+
+
 def test_op2_held_out(spark):
     """Exactly the texts with one of the table's insults; 5 of 94 labels lie on texts without any."""
     insults = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
