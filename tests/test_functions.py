@@ -1,5 +1,7 @@
 """Edge cases of terms, lexemes, URLs, dialogue and prompts."""
 
+import hashlib
+import re
 import urllib.parse
 
 import numpy as np
@@ -90,6 +92,19 @@ def test_cosine_and_half(spark):
     assert values(third, quantize_half(F.col("x"))) == [[float(np.float16(1 / 3))]]
 
 
+def test_hashed_embedding_counts_buckets_of_md5(spark):
+    """Also of texts that are null or empty; in batches, not by an expression of each token."""
+    texts = ["ein Text, ein Wort", None, "", "ÄÖ ß x x x", "Wort " * 700, "…"]
+    df = column(spark, texts).select(hashed_embedding(F.col("x"), 16).alias("v"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    for text, got in zip(texts, [r.v for r in df.collect()]):
+        counts = np.zeros(16)
+        for word in re.findall(r"\w+", (text or "").lower()):
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+        length = np.sqrt((counts ** 2).sum())
+        assert got == (counts / (length or 1)).astype(np.float32).tolist()
+
+
 def test_hashed_embedding_is_unit_or_zero(spark):
     vectors = values(column(spark, ["ein Text, ein Wort", "..."]), hashed_embedding(F.col("x")))
     assert abs(np.linalg.norm(vectors[0]) - 1) < 1e-6 and not any(vectors[1])
