@@ -74,6 +74,25 @@ def test_one_scan_of_the_chunks(spark, tmp_path):
     assert rows(many) == rows(vector_join(q, c, 0.3, 5))
 
 
+def test_large_chunks_are_not_copied_for_each_block(spark, tmp_path):
+    asked = list(enumerate(some(290, 8, 5))) + [(n, [1.0, float(n)]) for n in range(290, 296)] + [(296, None), (297, []), (298, [0.0] * 8), (298, [1.0] * 8)]
+    q, c = tables(spark, asked, [(k, k % 9, v) for k, v in enumerate(some(400, 8, 6) + some(20, 2, 7))])
+    c.withColumn("document", F.concat(F.lit("d"), "parent_id")).write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    small = Limits(rows=40, bytes=2400 * 8)  # eight blocks, and chunks beyond what may be copied
+    many = vector_join(q, c, 0.3, 5, small)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dim" not in plan and 8 <= scans(many) <= 16
+    assert rows(many) == rows(vector_join(q, c, 0.3, 5, Limits(rows=40)))
+
+    def best(limits):
+        hits = vector_join(q, c, 0.3, 5, limits, group="document")
+        top = hits.groupBy("qid", "parent_id").agg(F.max("score").alias("s")).collect()
+        return {n: sorted((-round(r.s, 7), r.parent_id) for r in top if r.qid == n)[:5] for n in range(300)}
+
+    assert best(small) == best(Limits(rows=40))
+
+
 def test_floor_drops_nothing(spark, monkeypatch):
     monkeypatch.setattr(module, "PENDING_HITS", 8)
     scorer_rows = some(500, 4, 9, 30)
