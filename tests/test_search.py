@@ -217,3 +217,14 @@ def test_hybrid_holds_all_vector_parents(spark):
     again = retrieval.best_per_parent(best.withColumnRenamed("final_score", "score"))
     assert {(r.qid, r.parent_id) for r in best.collect()} <= found
     assert sorted(best.collect()) == sorted(again.collect())
+
+
+def test_parents_of_many_terms_are_cut_before_the_shuffle(spark):
+    rows = [(q, f"p{n:03}", f"c{n:03}") for q in (1, 2, None) for n in range(40) for _ in range(n % 4)] + [(3, "p1", "c1")]
+    found = spark.createDataFrame(rows, "qid long, parent_id string, first_chunk string").repartition(4)
+    got = retrieval.first_parents(found, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("dense_rank(") < plan.rindex("Exchange") and "hashpartitioning(qid#" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(" in x and "parent_id" in x.split("hashpartitioning(")[1].split(")")[0]]
+    want = [(q, p) for q in (1, 2, None) for p in sorted({p for a, p, _ in rows if a == q})[:5]] + [(3, "p1")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
